@@ -1,0 +1,16 @@
+"""Confusion counts that are updated as predictions arrive.
+
+The batch metrics keep sums between updates; over a stream the same sums are the state of
+a grouping, one row per label, and the same formulas apply to them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from votespan.operators.metrics import multilabel_confusion
+
+
+def running_confusion(predictions: DataFrame, by="item", mask: str | None = None) -> DataFrame:
+    """Counts per group so far; write in update or complete mode."""
+    return multilabel_confusion(predictions, by, mask)
