@@ -34,8 +34,13 @@ def indices(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).when(n == 0, F.array().cast("array<int>"))
 
 
+# The generators below take an expression, never a plain column: for a column the optimizer
+# adds a filter on its size and pushes that through the projection that computes it, so
+# a costly array would be computed twice.
+
+
 def explode_rows(df: DataFrame, key, arr: str, out: str = "value") -> DataFrame:
-    return df.select(*as_list(key), F.explode(arr).alias(out))
+    return df.select(*as_list(key), F.inline(F.transform(arr, lambda v: F.struct(v.alias(out)))))
 
 
 def arr_to_pairs(
@@ -61,7 +66,8 @@ def arr_to_pairs(
 def map_to_pairs(df: DataFrame, key, col: str, keep_empty: bool = False) -> DataFrame:
     """Map to (key, k, v)."""
     spread = F.explode_outer if keep_empty else F.explode
-    return df.select(*as_list(key), spread(col).alias("k", "v"))
+    return df.select(*as_list(key), spread(F.map_entries(col)).alias("_e")).select(
+        *as_list(key), F.col("_e.key").alias("k"), F.col("_e.value").alias("v"))
 
 
 def keep_empty(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
@@ -110,26 +116,93 @@ def densify(m: Column, n: Column, fill: float = 0.0) -> Column:
     return bind(F.sort_array(inside), lay_out)
 
 
-CHUNK = 256
+def by_cell(items: Column, first: Callable[[Column], Column], last: Callable[[Column], Column]) -> Column:
+    """Structs laid out by the cells they cover: an array indexed by cell (from 0) of the
+    items of that cell, in struct order.  Linear in the cells covered, but for one sort."""
+    entries = F.sort_array(F.flatten(F.transform(items, lambda x: F.transform(
+        F.sequence(first(x), last(x)), lambda c: F.struct(c.alias("cell"), x.alias("item"))))))
+
+    def group(e: Column) -> Column:
+        heads = F.filter(
+            indices(F.size(e)), lambda i: (i == 0) | (F.get(e, i)["cell"] != F.get(e, i - 1)["cell"]))
+
+        def cut(h: Column) -> Column:
+            return F.transform(h, lambda at, j: F.struct(
+                F.get(e, at)["cell"].alias("cell"),
+                F.transform(
+                    F.slice(e, at + 1, F.coalesce(F.get(h, j + 1), F.size(e)) - at),
+                    lambda x: x["item"]).alias("items")))
+
+        return bind(heads, cut)
+
+    def spread(groups: Column) -> Column:
+        def block(g: Column, j: Column) -> Column:
+            before = F.when(j > 0, F.get(groups, j - 1)["cell"]).otherwise(F.lit(-1))
+            nothing = F.filter(g["items"], lambda _: F.lit(False))
+            return F.concat(F.array_repeat(nothing, g["cell"] - before - 1), F.array(g["items"]))
+
+        return F.flatten(F.transform(groups, block))
+
+    return bind(bind(entries, group), spread)
+
+
+CELL_BITS = 5
+
+
+def cell(position: Column) -> Column:
+    """Cell of a text position; positions before the text belong to the first."""
+    return F.shiftright(F.greatest(position, F.lit(0)), CELL_BITS)
+
+
+def in_order(spans: Column) -> Column:
+    """Spans follow one another without overlap, as words and tokens do."""
+    def fits(i: Column) -> Column:
+        before = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0))
+        at = F.get(spans, i)
+        return (at["start"] >= before) & (at["end"] >= at["start"])
+
+    return F.forall(indices(F.size(spans)), fits)
+
+
+def gap_before(spans: Column, s: Column, i: Column) -> Column:
+    return s["start"] - F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0))
 
 
 def spans_to_mask(spans: Column, n: Column) -> Column:
     """Flag per position 0 .. n-1: inside one of the spans.
 
-    Positions are taken in chunks, each tested only against the spans that touch it.
+    Spans in order are laid end to end with their gaps.  Others are laid out by cells, and
+    a position is tested against the spans that cover its cell.
     """
-    def chunk_of(c: Column) -> Column:
-        lower = c * CHUNK
-        return F.struct(
-            F.sequence(lower, F.least(lower + CHUNK, n) - 1).alias("at"),
-            F.filter(spans, lambda s: (s["start"] < lower + CHUNK) & (s["end"] > lower)).alias("near"))
+    off, on = F.lit(False), F.lit(True)
 
-    def flags_of(chunk: Column) -> Column:
-        return F.transform(
-            chunk["at"], lambda i: F.exists(chunk["near"], lambda s: (i >= s["start"]) & (i < s["end"])))
+    def end_to_end(row: Column) -> Column:
+        blocks = F.transform(row["spans"], lambda s, i: F.concat(
+            F.array_repeat(off, gap_before(row["spans"], s, i)), F.array_repeat(on, span_width(s))))
+        last = F.coalesce(F.get(row["spans"], F.size(row["spans"]) - 1)["end"], F.lit(0))
+        rest = F.array_repeat(off, F.greatest(row["n"] - last, F.lit(0)))
+        return F.slice(F.concat(F.flatten(blocks), rest), F.lit(1), row["n"])
 
-    chunks = F.transform(indices(F.ceil(n / CHUNK).cast("int")), chunk_of)
-    return F.flatten(F.transform(chunks, flags_of))
+    def by_cells(row: Column) -> Column:
+        wide = F.filter(row["spans"], lambda s: (s["end"] > s["start"]) & (s["end"] > 0))
+        table = by_cell(wide, lambda s: cell(s["start"]), lambda s: cell(s["end"] - 1))
+        size = 1 << CELL_BITS
+
+        def flags(near: Column) -> Column:
+            def of_cell(c: Column) -> Column:
+                lower = F.shiftleft(c, CELL_BITS)
+                view = F.struct(
+                    F.sequence(lower, F.least(lower + size, row["n"]) - 1).alias("at"), F.get(near, c).alias("near"))
+                return bind(view, lambda v: F.transform(v["at"], lambda i: F.coalesce(
+                    F.exists(v["near"], lambda s: (i >= s["start"]) & (i < s["end"])), off)))
+
+            return F.flatten(F.transform(indices(F.ceil(row["n"] / size).cast("int")), of_cell))
+
+        return bind(table, flags)
+
+    return bind(
+        F.struct(spans.alias("spans"), n.cast("int").alias("n")),
+        lambda row: F.when(in_order(row["spans"]), end_to_end(row)).when(row["spans"].isNotNull(), by_cells(row)))
 
 
 def runs_of_true(flags: Column, tail_plus_one: bool = False) -> Column:
@@ -150,7 +223,7 @@ def runs_of_true(flags: Column, tail_plus_one: bool = False) -> Column:
         return F.zip_with(
             starts, ends, lambda s, e: span(s, e + 1 + F.when(e == n - 1, tail).otherwise(F.lit(0))))
 
-    return F.when(flags.isNotNull(), bind(flags, runs))
+    return bind(flags, lambda a: F.when(a.isNotNull(), runs(a)))
 
 
 def render_spans(flags: Column, spans: Column) -> Column:
@@ -159,11 +232,18 @@ def render_spans(flags: Column, spans: Column) -> Column:
     pairs = F.zip_with(flags, spans, lambda f, s: F.struct(f.alias("f"), s.alias("s")))
     marked = F.transform(F.filter(pairs, lambda z: z["f"]), lambda z: z["s"])
 
-    def line(bound: Column) -> Column:
-        mask = spans_to_mask(bound["marked"], bound["width"])
+    def end_to_end(row: Column) -> Column:
+        text = F.array_join(F.transform(row["marked"], lambda s, i: F.concat(
+            F.repeat(F.lit(" "), gap_before(row["marked"], s, i)), F.repeat(F.lit("X"), span_width(s)))), "")
+        return F.rpad(text, row["width"], F.lit(" "))
+
+    def by_position(row: Column) -> Column:
+        mask = spans_to_mask(row["marked"], row["width"])
         return F.array_join(F.transform(mask, lambda b: F.when(b, F.lit("X")).otherwise(F.lit(" "))), "")
 
-    return bind(F.struct(marked.alias("marked"), width.alias("width")), line)
+    return bind(
+        F.struct(marked.alias("marked"), width.alias("width")),
+        lambda row: F.when(in_order(row["marked"]), end_to_end(row)).when(row["marked"].isNotNull(), by_position(row)))
 
 
 def sum_widths(spans: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from votespan.functions.arrays import bind, indices, span
+from votespan.functions.arrays import bind, by_cell, cell, indices, span
 
 BLANKS = "[ \\t\\n\\r]"
 
@@ -129,12 +129,9 @@ def align_words(words: Column, text: Column) -> Column:
             F.lit(0).alias("cursor"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("parts"))
         return F.aggregate(steps, start, text_step, lambda done: F.flatten(done["parts"]))
 
-    return F.when(
-        words.isNotNull() & text.isNotNull(),
-        bind(F.struct(words.alias("words"), text.alias("text")), aligned))
-
-
-CHUNK_BITS = 10
+    return bind(
+        F.struct(words.alias("words"), text.alias("text")),
+        lambda row: F.when(row["words"].isNotNull() & row["text"].isNotNull(), aligned(row)))
 
 
 def remap_spans(
@@ -147,35 +144,24 @@ def remap_spans(
     several old spans with a value contain a new one, the last counts.  Zero-width new
     spans take part unless ``skip_empty``; ``first_only`` looks at the first new span only.
 
-    Old spans with a value are laid in chunks of text, and a new span is tested against
-    those of its own chunk, so long rows do not pay old times new.
+    Old spans with a value are laid out by cells of text, and a new span is tested against
+    those of the cell it starts in, so long rows do not pay old times new.
     """
     def laid(row: Column) -> Column:
         def old_at(e: Column) -> Column:
             at = F.get(row["old"], e["key"])
             return F.struct(
-                at["start"].alias("start"), at["end"].alias("end"), e["value"].alias("value"))
+                e["key"].alias("pos"), at["start"].alias("start"), at["end"].alias("end"),
+                e["value"].alias("value"))
 
         marked = F.filter(
-            F.transform(F.sort_array(F.map_entries(row["values"])), old_at),
-            lambda m: m["start"].isNotNull())
-        last = F.coalesce(F.array_max(F.transform(row["new"], lambda s: s["start"])), F.lit(-1))
-
-        def in_chunk(both: Column) -> Column:
-            def near(c: Column) -> Column:
-                lower = F.shiftleft(c, CHUNK_BITS)
-                return F.filter(both["marked"], lambda m: (
-                    (m["start"] < lower + (1 << CHUNK_BITS)) & ((m["end"] >= lower) | (c == 0))))
-
-            return F.transform(F.sequence(F.lit(0), both["chunks"]), near)
-
-        chunks = F.shiftright(F.greatest(last, F.lit(0)), CHUNK_BITS)
-        table = bind(F.struct(marked.alias("marked"), chunks.alias("chunks")), in_chunk)
+            F.transform(F.map_entries(row["values"]), old_at), lambda m: m["start"].isNotNull())
+        table = by_cell(marked, lambda m: cell(m["start"]), lambda m: cell(m["end"]))
 
         def assign(near: Column) -> Column:
             def hit(s: Column, i: Column) -> Column:
                 inside = F.filter(
-                    F.get(near, F.shiftright(F.greatest(s["start"], F.lit(0)), CHUNK_BITS)),
+                    F.get(near, cell(s["start"])),
                     lambda m: (s["start"] >= m["start"]) & (s["end"] <= m["end"]))
                 if skip_empty:
                     inside = F.when(s["end"] > s["start"], inside)
@@ -188,6 +174,7 @@ def remap_spans(
         return bind(table, assign)
 
     new = F.slice(new_spans, 1, 1) if first_only else new_spans
-    return F.when(
-        values.isNotNull() & old_spans.isNotNull() & new_spans.isNotNull(),
-        bind(F.struct(values.alias("values"), old_spans.alias("old"), new.alias("new")), laid))
+    return bind(
+        F.struct(values.alias("values"), old_spans.alias("old"), new.alias("new")),
+        lambda row: F.when(
+            row["values"].isNotNull() & row["old"].isNotNull() & row["new"].isNotNull(), laid(row)))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -59,17 +60,21 @@ def fit_label_head(
 
 def fit_target_heads(
     df: DataFrame, features: str, targets: Sequence[str], weights: dict[str, float] | None = None,
-    max_iter: int = 50, reg: float = 1e-3,
+    max_iter: int = 50, reg: float = 1e-3, parallelism: int = 4,
 ) -> dict[str, Model]:
-    """One binary head per target column; positives weighted if weights are given."""
-    heads = {}
-    for t in targets:
+    """One binary head per target column; positives weighted if weights are given.
+
+    The fits are independent jobs, ``parallelism`` of them at a time.
+    """
+    def fit(t: str) -> Model:
         positive = F.col(t) > 0.5
         weight = F.when(positive, F.lit((weights or {}).get(t, 1.0))).otherwise(F.lit(1.0))
         rows = _features(df, features, positive.cast("double").alias("label"), weight.alias("weight"))
-        heads[t] = LogisticRegression(
+        return LogisticRegression(
             family="binomial", weightCol="weight", maxIter=max_iter, regParam=reg).fit(rows)
-    return heads
+
+    with ThreadPool(parallelism) as pool:
+        return dict(zip(targets, pool.map(inheritable_thread_target(df.sparkSession)(fit), targets)))
 
 
 def fit_score_head(df: DataFrame, features: str, target: str) -> Model:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from votespan.functions.arrays import sum_values, sum_widths
+from votespan.functions.arrays import map_to_pairs, sum_values, sum_widths
 
 
 def avg_cols(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -16,8 +16,8 @@ def avg_cols(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def avg_map(df: DataFrame, col: str) -> DataFrame:
     """Per map key: sum of its values divided by the number of rows of the table."""
-    sums = (df.select(F.explode(col).alias("key", "value"))
-            .groupBy("key").agg(F.sum("value").alias("total")))
+    sums = (map_to_pairs(df, [], col)
+            .groupBy(F.col("k").alias("key")).agg(F.sum("v").alias("total")))
     rows = df.agg(F.count(F.lit(1))).scalar()
     return sums.select("key", (F.col("total") / rows).alias("value"))
 

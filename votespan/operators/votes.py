@@ -94,22 +94,22 @@ def nested_consensus(rationales: Column, denominator: str = "nonzero") -> Column
     if denominator not in ("nonzero", "annotators"):
         raise ValueError(denominator)
 
-    def means(all_marks: Column) -> Column:
-        width = F.coalesce(F.array_max(F.transform(all_marks, F.size)), F.lit(0))
-
-        def mean_at(i: Column) -> Column:
-            marks = F.filter(F.transform(all_marks, lambda m: F.get(m, i)), lambda v: v.isNotNull())
-            if denominator == "nonzero":
-                marks = F.filter(marks, lambda v: v != 0)
-            total = bind(marks, lambda m: F.try_divide(
-                F.aggregate(m, F.lit(0.0), lambda acc, v: acc + v), F.size(m).cast("double")))
-            return F.struct(i.alias("key"), total.alias("value"))
-
-        every = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
-        return F.map_from_entries(F.filter(
-            F.transform(every, mean_at), lambda e: F.coalesce(e["value"] != 0, F.lit(False))))
-
-    return bind(rationales, means)
+    nonzero = denominator == "nonzero"
+
+    def add(acc: Column, marks: Column) -> Column:
+        def at(a: Column, v: Column) -> Column:
+            counted = v.isNotNull() & (v != 0) if nonzero else v.isNotNull()
+            return F.struct(
+                (F.coalesce(a["total"], F.lit(0.0)) + F.coalesce(v.cast("double"), F.lit(0.0))).alias("total"),
+                (F.coalesce(a["n"], F.lit(0)) + counted.cast("int")).alias("n"))
+
+        return F.coalesce(F.zip_with(acc, marks, at), acc)
+
+    sums = F.aggregate(rationales, F.array().cast("array<struct<total:double,n:int>>"), add)
+    keyed = F.transform(sums, lambda x, i: F.struct(i.alias("key"), x.alias("sum")))
+    marked = F.filter(keyed, lambda e: e["sum"]["n"] > 0 if nonzero else e["sum"]["total"] != 0)
+    return F.map_from_entries(F.transform(marked, lambda e: F.struct(
+        e["key"], (e["sum"]["total"] / e["sum"]["n"]).alias("value"))))
 
 
 def dedupe_mean(df: DataFrame, key, score: str = "score", text: str = "text") -> DataFrame:

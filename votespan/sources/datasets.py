@@ -29,6 +29,15 @@ class Catalog:
         return self.stats_path.format(root=self.root, name=name)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores by a unique key, where the files give fewer tasks than that.
+
+    For costly work per row on small or unsplittable files; large inputs stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_input(spark: SparkSession, catalog: Catalog, name: str) -> DataFrame:
     return spark.read.parquet(catalog.input(name))
 

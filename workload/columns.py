@@ -128,9 +128,9 @@ _names = "[" + ", ".join(f"'{t}'" for t in TARGETS) + "]"
 def p15(spark, sf):
     probs = F.transform(F.slice("embedding", 1, 11), lambda x: x.cast("double") + F.lit(0.5))
     rows = table(spark, sf, "embeddings").select("vec_id", probs.alias("p"))
-    rows = rows.select("vec_id", decode_top(F.col("p"), TARGETS).alias("best"), decode_above(F.col("p"), TARGETS, 0.55).alias("all"))
-    return rows.select("vec_id", F.col("best.name").alias("best_name"), F.round("best.prob", 6).alias("best_prob"), F.inline("all")).withColumn(
-        "prob", F.round("prob", 6))
+    rows = rows.select("vec_id", decode_top(F.col("p"), TARGETS).alias("best"), F.inline(decode_above(F.col("p"), TARGETS, 0.55)))
+    return rows.select(
+        "vec_id", F.col("best.name").alias("best_name"), F.round("best.prob", 6).alias("best_prob"), "name", F.round("prob", 6).alias("prob"))
 
 
 @query("p16_keep_matching", r"""select doc_id, lang from documents where regexp_matches(text, '[0-9]{3}') and source is not null""")

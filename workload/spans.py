@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from votespan.functions.arrays import indices, map_to_pairs, runs_of_true, span
+from votespan.functions.arrays import arr_to_pairs, indices, map_to_pairs, runs_of_true, span
 from votespan.functions.text import align_words, detokenize, remap_spans
 from votespan.operators.joins import remap_span_rows
 from votespan.operators.positions import offset_index, runs_table
@@ -19,8 +19,8 @@ RUNS_SQL = """flags as (select {key}, {pos} as pos, {flag} as flag from {rows}),
 @query("w4_runs_of_true", f"with {WORDS}, tok as (select doc_id, unnest(words) as w, unnest(range(0, len(words))) as i from docs), "
        + RUNS_SQL.format(key="doc_id", pos="i", flag="len(w) > 4", rows="tok"))
 def w4(spark, sf):
-    rows = word_lists(spark, sf).select("doc_id", runs_of_true(F.transform("words", lambda w: F.length(w) > 4)).alias("runs"))
-    return rows.select("doc_id", F.inline("runs")).select(
+    runs = runs_of_true(F.transform("words", lambda w: F.length(w) > 4))
+    return word_lists(spark, sf).select("doc_id", F.inline(runs)).select(
         "doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
 
 
@@ -64,12 +64,13 @@ def _old_and_new(spark, sf):
     """Word spans of the blank-joined text with the first annotator's marks as values, and
     new spans that cut every word in pieces of four characters."""
     words = word_lists(spark, sf).select("doc_id", "words", F.array_join("words", " ").alias("joined"))
-    rows = words.select("doc_id", align_words(F.col("words"), F.col("joined")).alias("old"))
+    rows = words.select("doc_id", "words", align_words(F.col("words"), F.col("joined")).alias("old"))
     pieces = F.flatten(F.transform("old", lambda s: F.transform(
         indices(F.ceil((s["end"] - s["start"]) / 4).cast("int")),
         lambda k: span(s["start"] + k * 4, F.least(s["start"] + k * 4 + 4, s["end"])))))
     marked = F.filter(
-        F.transform("old", lambda s, i: F.struct(i.alias("key"), (i % 97 + mark(F.col("doc_id"), F.lit(0), i) * 1000).cast("double").alias("value"))),
+        F.transform("words", lambda w, i: F.struct(
+            i.alias("key"), (i % 97 + mark(F.col("doc_id"), F.lit(0), i, w) * 1000).cast("double").alias("value"))),
         lambda e: e["value"] >= 1000)
     return rows.select("doc_id", "old", pieces.alias("new"), F.map_from_entries(marked).alias("values"))
 
@@ -90,7 +91,8 @@ def j4(spark, sf):
 @query("j4_remap_span_rows", REMAP_SQL)
 def j4_rows(spark, sf):
     rows = _old_and_new(spark, sf)
-    old = rows.select("doc_id", "old", F.explode("values").alias("pos", "value")).select(
-        "doc_id", "pos", F.get("old", F.col("pos")).alias("s"), "value").select("doc_id", "pos", "s.*", "value")
-    new = rows.select("doc_id", F.posexplode("new").alias("pos", "s")).select("doc_id", "pos", "s.*")
+    placed = F.transform(F.map_entries("values"), lambda e: F.struct(
+        e["key"].alias("pos"), F.get("old", e["key"]).alias("s"), e["value"].alias("value")))
+    old = rows.select("doc_id", F.inline(placed)).select("doc_id", "pos", "s.*", "value")
+    new = arr_to_pairs(rows, "doc_id", "new").select("doc_id", "pos", "value.*")
     return remap_span_rows(old, new, "doc_id")

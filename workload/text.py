@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from votespan.functions.text import AFTER_STRIP, CONTRACTIONS, ENDING_QUOTES, detokenize
 from votespan.operators.tokenizer import build_vocab, map_batches, tokenize, vocab_dict, word_counts, wordpiece_udf
 from workload.registry import query, table
-from workload.tables import WORDS, word_lists
+from workload.tables import WORDS, documents, word_lists
 
 
 def _chain(sql: str, rules) -> str:
@@ -31,7 +31,7 @@ def x1(spark, sf):
 @query("x2b_word_counts", r"""select word, count(*) as n from (
   select unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r])')) as word from documents) group by 1""")
 def x2b_counts(spark, sf):
-    return word_counts(table(spark, sf, "documents"))
+    return word_counts(documents(spark, sf))
 
 
 @query("x2b_build_vocab", r"""with counts as (select word, count(*) as n from (
@@ -44,17 +44,16 @@ def x2b_counts(spark, sf):
     union all select token, 2, n from words)
   select token, cast(row_number() over (order by part, n desc, token) - 1 as int) as id from every""")
 def x2b(spark, sf):
-    return build_vocab(table(spark, sf, "documents"), size=20_000)
+    return build_vocab(documents(spark, sf), size=20_000)
 
 
 def corpus_vocab(spark, sf) -> dict[str, int]:
-    return vocab_dict(build_vocab(table(spark, sf, "documents"), size=20_000))
+    return vocab_dict(build_vocab(documents(spark, sf), size=20_000))
 
 
 @query("x2_tokenize")
 def x2(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    rows = tokenize(docs, "text", corpus_vocab(spark, sf), strip_accents=False, keep=["doc_id"])
+    rows = tokenize(documents(spark, sf), "text", corpus_vocab(spark, sf), strip_accents=False, keep=["doc_id"])
     return rows.select(
         "doc_id", F.size("tokens").alias("n"), F.element_at("mask", 1)["end"].alias("valid"),
         F.aggregate("tokens", F.lit(0).cast("bigint"), lambda acc, t: acc + t).alias("id_sum"),
