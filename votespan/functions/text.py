@@ -63,7 +63,7 @@ def detokenize(words: Column) -> Column:
     return F.btrim(text, F.lit(STRIPPED))
 
 
-WORDS_PER_STEP = 64
+WORDS_PER_STEP = 32
 
 
 def align_words(words: Column, text: Column) -> Column:
