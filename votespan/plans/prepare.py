@@ -17,7 +17,7 @@ from votespan.operators.votes import (
     dedupe_mean, is_label, majority, names_label, nested_consensus, nested_label_share, nested_target_share,
     vote_shares,
 )
-from votespan.sources.datasets import Catalog, read_dataset, read_input, write_splits, write_stats
+from votespan.sources.datasets import Catalog, no_stats, read_dataset, read_input, write_splits, write_stats
 
 # The classes of the annotated corpus.
 CATEGORIES = {
@@ -128,6 +128,5 @@ def run_prepare(
             written, category_columns(cats["label"], "label"), category_columns(cats["target"], "target")),
             catalog, name)
     else:
-        # Scored comments have no statistics: an empty record.
-        write_stats(spark.range(1).select(F.struct().alias("_")).drop("_"), catalog, name)
+        write_stats(no_stats(spark), catalog, name)
     return written

@@ -67,6 +67,12 @@ def write_stats(stats: DataFrame, catalog: Catalog, name: str) -> None:
     stats.coalesce(1).write.mode("overwrite").json(catalog.stats(name))
 
 
+def no_stats(spark: SparkSession, schema: str = STATS_SCHEMA) -> DataFrame:
+    """The record of a dataset that has no statistics; JSON leaves its nulls out."""
+    empty = spark.createDataFrame([], schema)
+    return spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema])
+
+
 def read_stats(spark: SparkSession, catalog: Catalog, names: Sequence[str], schema: str = STATS_SCHEMA) -> DataFrame:
     """One record of several datasets' statistics; of a repeated key the first one counts."""
     records = None
