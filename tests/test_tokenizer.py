@@ -51,6 +51,6 @@ def test_vocab(spark):
     assert rows(word_counts(df)) == [(",", 1), ("ab", 3), ("c", 2), ("cd", 1)]
     vocab = vocab_dict(build_vocab(df, size=1))
     assert [t for t, _ in sorted(vocab.items(), key=lambda x: x[1])] == SPECIALS + [
-        "##,", "##a", "##b", "##c", "##d", ",", "a", "b", "c", "d", "ab"]
+        "##a", "##b", "##c", "a", "b", "c", "##,", "##d", ",", "d", "ab"]
     with pytest.raises(ValueError):
         vocab_dict(build_vocab(df), limit=3)

@@ -19,9 +19,11 @@ def pad_length(df: DataFrame, by, tokens: str = "tokens", fixed: int | None = No
 
 
 def complete_batches(df: DataFrame, batch: str, source: str, sources: Sequence[str]) -> DataFrame:
-    """Rows of those batches that have a row of every source."""
-    present = df.groupBy(batch).agg(*[
-        F.max(F.col(source) == s).alias(f"_{i}") for i, s in enumerate(sources)])
-    for i in range(len(sources)):
-        present = present.filter(F.col(f"_{i}"))
-    return df.join(present.select(batch), batch, "left_semi")
+    """Rows of those batches that have a row of every source.
+
+    Like the padding length a window over the batch, so the two share a shuffle.
+    """
+    whole = Window.partitionBy(batch)
+    present = [F.max(F.col(source).eqNullSafe(s)).over(whole) for s in sources]
+    return df.withColumn("_present", F.array(*present)).filter(
+        F.forall("_present", lambda p: p)).drop("_present")

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from votespan.functions.columns import as_list
 
 
-SMALL_ROWS = 100_000
+SMALL_ROWS = 20_000
 
 
-def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = SMALL_ROWS) -> DataFrame:
-    """Broadcasts ``small`` once it is counted to fit; a larger one is joined as usual.
+def settle(small: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """Fetches a table of at most ``limit`` rows and marks it for broadcast.
 
-    The count stops at the limit.  It is worth its job where a shuffle of ``df`` on a few
-    uneven keys is the alternative.
+    A larger one is returned as it is, for an ordinary join.  Fetching settles the size
+    and computes the rows once; it is worth a job where the alternative is to shuffle
+    the other side, often on a few uneven keys.
     """
-    few = small.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(small) if few else small, on, how)
+    rows = small.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return small
+    return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
+
+
+def join_small(df: DataFrame, small: DataFrame, on: Column | str, how: str = "inner") -> DataFrame:
+    """Joins a table that is expected, and checked, to be small."""
+    return df.join(settle(small), on, how)
 
 
 def left_join_features(df: DataFrame, *features: DataFrame, key) -> DataFrame:
@@ -31,7 +39,7 @@ def inner_join_features(df: DataFrame, features: DataFrame, key) -> DataFrame:
     return df.join(features, as_list(key), "inner")
 
 
-def remap_span_rows(old: DataFrame, new: DataFrame, key: str, cell: int = 64) -> DataFrame:
+def remap_span_rows(old: DataFrame, new: DataFrame, key: str, cell_bits: int = 6) -> DataFrame:
     """The containment join of ``remap_spans`` on long tables, for rows of any length.
 
     ``old`` (key, pos, start, end, value), ``new`` (key, pos, start, end); gives (key,
@@ -40,7 +48,7 @@ def remap_span_rows(old: DataFrame, new: DataFrame, key: str, cell: int = 64) ->
     comparison of all spans of a key, and spreads a large key over its cells.
     """
     def cell_of(c):
-        return F.floor(F.greatest(F.col(c), F.lit(0)) / cell)
+        return F.shiftright(F.greatest(F.col(c), F.lit(0)), cell_bits)
 
     # Of equal old spans only the last can win.
     last = old.groupBy(key, "start", "end").agg(F.max_by("value", "pos").alias("value"), F.max("pos").alias("old_pos"))
@@ -49,5 +57,7 @@ def remap_span_rows(old: DataFrame, new: DataFrame, key: str, cell: int = 64) ->
     inside = (
         (F.col(f"o.{key}") == F.col(f"n.{key}")) & (F.col("o.cell") == F.col("n.cell"))
         & (F.col("n.start") >= F.col("o.start")) & (F.col("n.end") <= F.col("o.end")))
-    return n.join(o, inside).groupBy(F.col(f"n.{key}").alias(key), F.col("n.pos").alias("pos")).agg(
+    # A new span has one cell, so grouping by it too changes nothing and spares a shuffle.
+    best = n.join(o, inside).groupBy(F.col(f"n.{key}").alias(key), "n.cell", F.col("n.pos").alias("pos")).agg(
         F.max_by("o.value", "o.old_pos").alias("value"))
+    return best.drop("cell")

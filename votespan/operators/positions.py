@@ -17,46 +17,47 @@ from votespan.operators.joins import join_small
 HASH_DIGITS = 4
 
 
+def cut_starts(cut: DataFrame, total: str | None = None) -> DataFrame:
+    """(_cut, _start): how many rows of its group lie in the cuts before each cut."""
+    by = [F.col(f"_cut.{c}") for c in cut.schema["_cut"].dataType.names if c != "_coarse"]
+    before = Window.partitionBy(*by).orderBy("_cut._coarse")
+    return cut.groupBy("_cut").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_cut", (F.sum("_n").over(before) - F.col("_n")).alias("_start"), "_n",
+        *([F.sum("_n").over(Window.partitionBy(*by)).alias(total)] if total else []))
+
+
+def with_cut(df: DataFrame, by: Sequence[str], coarse: Column) -> DataFrame:
+    # A struct compares nulls as equal, so rows with a null group keep their place.
+    return df.withColumn("_cut", F.struct(*by, coarse.alias("_coarse")))
+
+
 def offset_index(
     df: DataFrame, by: Sequence[str], coarse: Column, order: Sequence[Column],
-    out: str = "idx", total: str | None = None, below: Column | None = None,
+    out: str = "idx", total: str | None = None,
 ) -> DataFrame:
     """Position (from 0) of each row in its ``by`` group.
 
     ``coarse`` must be non-decreasing along ``order``.  ``total`` adds the group's size.
-    With ``below`` (a number per row) rows at or after that position are left out, whole
-    cuts of them before anything is sorted.
+    The ranking and the join with the starts share one shuffle and one sort.
     """
-    # A struct compares nulls as equal, so rows with a null group keep their place.
-    cut = df.withColumn("_cut", F.struct(*by, coarse.alias("_coarse")))
-    before = Window.partitionBy(*[F.col(f"_cut.{c}") for c in by]).orderBy("_cut._coarse")
-    whole = Window.partitionBy(*[F.col(f"_cut.{c}") for c in by])
-    starts = cut.groupBy("_cut").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_cut",
-        (F.sum("_n").over(before) - F.col("_n")).alias("_start"),
-        *([F.sum("_n").over(whole).alias(total)] if total else []))
-    if below is None:
-        # Shuffles on the cut, as the ranking below does: one shuffle serves both.
-        placed = cut.join(starts, "_cut")
-    else:
-        placed = join_small(cut, starts, "_cut").filter(F.col("_start") < below)
+    cut = with_cut(df, by, coarse)
     rank = F.row_number().over(Window.partitionBy("_cut").orderBy(*order))
-    placed = placed.withColumn(out, (F.col("_start") + rank - 1).cast("bigint"))
-    if below is not None:
-        placed = placed.filter(F.col(out) < below)
-    return placed.drop("_cut", "_start")
+    placed = cut.withColumn("_rank", rank).join(cut_starts(cut, total).drop("_n"), "_cut")
+    return placed.withColumn(out, (F.col("_start") + F.col("_rank") - 1).cast("bigint")).drop(
+        "_cut", "_start", "_rank")
 
 
 def hash_index(
-    df: DataFrame, by: Sequence[str], key: Sequence[str], seed, out: str = "idx",
-    total: str | None = None, below: Column | None = None,
+    df: DataFrame, by: Sequence[str], key: Sequence[str], seed, out: str = "idx", total: str | None = None,
 ) -> DataFrame:
     """Position in the seeded random order of a unique key, cut by hash prefix."""
     hashed = df.withColumn("_h", row_hash(seed, *key))
     return offset_index(
-        hashed, by, F.substring("_h", 1, HASH_DIGITS), [F.col("_h"), *[F.col(k) for k in key]],
-        out, total, below,
-    ).drop("_h")
+        hashed, by, hash_prefix(), [F.col("_h"), *[F.col(k) for k in key]], out, total).drop("_h")
+
+
+def hash_prefix() -> Column:
+    return F.substring("_h", 1, HASH_DIGITS)
 
 
 def source_index(df: DataFrame, source: str, key: Sequence[str], seed=0) -> DataFrame:
@@ -103,8 +104,7 @@ def newest(df: DataFrame, by: Sequence[str], order: Sequence[Column], key: str,
 
 def beyond_n_latest(df: DataFrame, by: Sequence[str], order: Sequence[Column], key: str, n: int) -> DataFrame:
     """Rows outside the n newest of their group: those whose (unique) key is not among them."""
-    kept = newest(df, by, order, key, n)
-    return df.join(kept.select(key), key, "left_anti")
+    return join_small(df, newest(df, by, order, key, n).select(key), key, "left_anti")
 
 
 def runs_table(df: DataFrame, by: Sequence[str], pos: str, flag: str, step: int = 4096) -> DataFrame:

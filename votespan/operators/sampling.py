@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from votespan.functions.columns import row_hash
-from votespan.operators.joins import join_small
-from votespan.operators.positions import hash_index
+from votespan.operators.joins import settle
+from votespan.operators.positions import cut_starts, hash_index, hash_prefix, with_cut
 
 
 def combine_sources(sources: Mapping[str, DataFrame], tag: str = "source") -> DataFrame:
@@ -57,15 +57,14 @@ def with_split(df: DataFrame, key: Sequence[str], weights: Mapping[str, float] =
     return df.withColumn(out, split_column(key, weights, seed))
 
 
-def _quotas(df: DataFrame, source: str, n: int | None, per_source: bool) -> DataFrame:
-    """(source, size, nth, sources, n, quota), one row per source."""
-    sizes = source_sizes(df, source)
+def _quotas(sizes: DataFrame, n: int | None, per_source: bool) -> DataFrame:
+    """Adds nth, sources, n and quota to one row (_source, size, …) per source."""
     every = Window.partitionBy(F.lit(1))
-    ranked = sizes.select(
-        F.col(source).alias("_source"), "size",
-        (F.row_number().over(every.orderBy(source)) - 1).alias("nth"),
-        F.count(F.lit(1)).over(every).alias("sources"),
-        (F.min("size").over(every) if n is None else F.lit(n)).cast("bigint").alias("n"))
+    ranked = sizes.withColumns({
+        "nth": F.row_number().over(every.orderBy("_source")) - 1,
+        "sources": F.count(F.lit(1)).over(every),
+        "n": (F.min("size").over(every) if n is None else F.lit(n)).cast("bigint"),
+    })
     if per_source:
         return ranked.withColumn("quota", F.col("n"))
     extra = (F.col("nth") < F.col("n") % F.col("sources")).cast("bigint")
@@ -77,14 +76,32 @@ def balanced_sample(
 ) -> DataFrame:
     """About equally many rows of each source, without replacement.
 
-    n rows in total (the smallest source's size by default), or n of each source.  The rows
-    are the first of a seeded random order; those surely beyond a source's quota are left
-    out before anything is sorted.
+    n rows in total (the smallest source's size by default), or n of each source: the first
+    of a seeded random order.  Two passes over the keys find the last row each source
+    gives: counts per hash prefix tell which prefix its quota ends in, and only the rows
+    with that prefix are ranked.  The rows themselves are then filtered, never shuffled.
     """
-    quotas = _quotas(df, source, n, per_source).select("_source", "quota")
-    rows = join_small(df, quotas, F.col(source).eqNullSafe(F.col("_source")))
-    return hash_index(rows, [source], key, seed, "_idx", below=F.col("quota")).drop(
-        "_idx", "quota", "_source")
+    hashed = df.withColumn("_h", row_hash(seed, *key))
+    cut = with_cut(hashed, [source], hash_prefix())
+    # A source has at most 16^4 cuts.
+    cuts = cut_starts(cut, "size").groupBy(F.col(f"_cut.{source}").alias("_source")).agg(
+        F.max("size").alias("size"),
+        F.collect_list(F.struct(F.col("_cut._coarse").alias("at"), F.col("_start").alias("start"), F.col("_n").alias("n"))).alias("cuts"))
+    quota = F.col("quota")
+    edge = F.filter("cuts", lambda c: (c["start"] < quota) & (c["start"] + c["n"] >= quota))
+    edges = settle(_quotas(cuts, n, per_source).withColumn("e", F.try_element_at(edge, F.lit(1))).select(
+        "_source", (quota > F.col("size")).alias("_all"), F.col("e.at").alias("_edge"),
+        (quota - F.col("e.start")).alias("_left")))
+    same = F.col(source).eqNullSafe(F.col("_source"))
+    order = ["_h", *key]
+    rank = F.row_number().over(Window.partitionBy("_source").orderBy(*order))
+    last = (cut.select(source, "_cut", *order).join(edges, same).filter(F.col("_cut._coarse") == F.col("_edge"))
+            .withColumn("_rank", rank).filter(F.col("_rank") == F.col("_left"))
+            .select("_source", F.struct(*order).alias("_last")))
+    whole = edges.filter("_all").select("_source", F.lit(None).cast(last.schema["_last"].dataType).alias("_last"))
+    limits = settle(last.unionByName(whole))
+    kept = F.col("_last").isNull() | (F.struct(*order) <= F.col("_last"))
+    return hashed.join(limits, same).filter(kept).drop("_h", "_source", "_last")
 
 
 def _draw(seed, what: str, draw: Column, modulus: Column) -> Column:
@@ -98,23 +115,29 @@ def balanced_draws(
 ) -> DataFrame:
     """n draws with replacement, every source equally likely, every row of a source too.
 
-    Adds ``draw`` (0 .. n-1).  A draw hashes to a source and to a position in it, and meets
-    the row at that position in an equality join; n defaults to the smallest source's size,
-    whose rows then number the draws.
+    Adds ``draw`` (0 .. n-1).  A draw hashes to a source and to a position in it, and finds
+    the key at that position in an equality join over keys alone; the drawn keys then
+    fetch their rows.  n defaults to the smallest source's size, whose keys number the
+    draws.
     """
-    quotas = _quotas(df, source, n, False)
-    rows = hash_index(df, [source], key, seed, "_idx")
+    sizes = source_sizes(df, source).withColumnRenamed(source, "_source")
+    quotas = settle(_quotas(sizes, n, False).select("_source", "size", "nth", "sources"))
+    placed = hash_index(df.select(source, *key), [source], key, seed, "_idx")
     if n is None:
         smallest = quotas.orderBy("size", "nth").limit(1).select("_source")
-        draws = rows.select(source, "_idx").join(
+        draws = placed.join(
             F.broadcast(smallest), F.col(source).eqNullSafe(F.col("_source")), "left_semi",
         ).select(F.col("_idx").alias("draw"))
     else:
         draws = df.sparkSession.range(n).withColumnRenamed("id", "draw")
-    count = quotas.agg(F.count(F.lit(1))).scalar()
-    aimed = draws.withColumn("_nth", _draw(seed, "source", F.col("draw"), count))
-    aimed = join_small(aimed, quotas.select("_source", "size", "nth"), F.col("_nth") == F.col("nth")).select(
+    count = quotas.agg(F.max("sources")).scalar()
+    aimed = draws.withColumn("_nth", _draw(seed, "source", F.col("draw"), count)).join(
+        quotas, F.col("_nth") == F.col("nth")).select(
         "draw", "_source", _draw(seed, "row", F.col("draw"), F.col("size")).alias("_at"))
-    return rows.join(
-        aimed, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_idx") == F.col("_at"))
-    ).drop("_idx", "_source", "_at")
+    drawn = placed.join(
+        aimed, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_idx") == F.col("_at")),
+    ).select("draw", "_source", *[F.col(k).alias(f"_{k}") for k in key])
+    fetched = F.col(source).eqNullSafe(F.col("_source"))
+    for k in key:
+        fetched = fetched & (F.col(k) == F.col(f"_{k}"))
+    return df.join(drawn, fetched).drop("_source", *[f"_{k}" for k in key])

@@ -36,12 +36,16 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 def build_vocab(df: DataFrame, text: str = "text", size: int = 30_000) -> DataFrame:
     """(token, id): specials, every character as a start and as a continuation, then the
-    most frequent words, ``size`` tokens at most beyond the characters."""
+    ``size`` most frequent words; the more frequent of a kind first."""
     counts = word_counts(df, text)
-    chars = (counts.select(F.explode(F.split("word", "")).alias("c")).filter(F.col("c") != "").distinct()
+    # Characters are counted too: both branches then read one and the same word count.
+    chars = (counts.select(F.explode(F.split("word", "")).alias("c"), "n").filter(F.col("c") != "")
+             .groupBy("c").agg(F.sum("n").alias("n"))
              .select(F.explode(F.array(F.col("c"), F.concat(F.lit("##"), F.col("c")))).alias("token"),
-                     F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("n")))
-    words = (counts.filter(F.length("word") > 1).orderBy(F.desc("n"), "word").limit(size)
+                     F.lit(1).alias("part"), "n"))
+    # Tied to the count, the test of the word stays above the grouping the branches share.
+    longer = F.when(F.length("word") > 1, F.col("n")) > 0
+    words = (counts.filter(longer).orderBy(F.desc("n"), "word").limit(size)
              .select(F.col("word").alias("token"), F.lit(2).alias("part"), "n"))
     specials = df.sparkSession.createDataFrame(
         [(t, 0, -i) for i, t in enumerate(SPECIALS)], "token string, part int, n bigint")

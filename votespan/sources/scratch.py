@@ -14,7 +14,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     A machine-local folder is used only when that setting is absent *and* the whole
     session runs on this machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")

@@ -36,11 +36,11 @@ def x2b_counts(spark, sf):
 
 @query("x2b_build_vocab", r"""with counts as (select word, count(*) as n from (
     select unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r])')) as word from documents) group by 1),
-  chars as (select distinct unnest(string_split(word, '')) as c from counts),
+  chars as (select c, cast(sum(n) as bigint) as n from (select unnest(string_split(word, '')) as c, n from counts) where c <> '' group by 1),
   words as (select word as token, n from counts where len(word) > 1 order by n desc, word limit 20000),
   every as (select '[PAD]' as token, 0 as part, 0 as n union all select '[UNK]', 0, -1 union all select '[CLS]', 0, -2
     union all select '[SEP]', 0, -3 union all select '[MASK]', 0, -4
-    union all select c, 1, 0 from chars where c <> '' union all select '##' || c, 1, 0 from chars where c <> ''
+    union all select c, 1, n from chars union all select '##' || c, 1, n from chars
     union all select token, 2, n from words)
   select token, cast(row_number() over (order by part, n desc, token) - 1 as int) as id from every""")
 def x2b(spark, sf):
