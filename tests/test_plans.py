@@ -68,3 +68,19 @@ def test_costly_arrays_are_computed_once(spark, sf):
     for name in ("a5_nested_consensus", "j4_remap_spans", "w4_runs_of_true", "a9_avg_map"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"Filter \(?\(?size\(", plan), name
+
+
+def test_balanced_sample_filters_rows_in_place(spark, plan_of):
+    from votespan.operators.sampling import balanced_sample
+
+    df = spark.range(1000).select("id", (F.col("id") % 3).alias("source"))
+    assert "hashpartitioning" not in plan_of(balanced_sample(df, "source", ["id"]))
+
+
+def test_positions_share_one_shuffle_of_the_rows(spark, tmp_path, plan_of):
+    from votespan.operators.positions import assign_batches
+
+    spark.range(1000).withColumn("wide", F.lit("x")).write.parquet(str(tmp_path / "t"))
+    plan = plan_of(assign_batches(spark.read.parquet(str(tmp_path / "t")), ["id"], 10))
+    wide = [line for line in plan.split("\n") if "Scan" in line and "wide" in line]
+    assert len(wide) == 1

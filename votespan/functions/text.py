@@ -74,60 +74,57 @@ def align_words(words: Column, text: Column) -> Column:
 
     Words are taken in steps.  A step looks in the stretch of text its words should fill
     and only turns to the whole rest for a word that is not there, so cost grows with the
-    text rather than with words times text.
+    text rather than with words times text.  The folds carry arrays whose last element
+    holds the cursor: a bound value is copied, an accumulator is not.
     """
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    def found(start: Column, end: Column, cursor: Column) -> Column:
+        return F.struct(
+            start.cast("int").alias("start"), end.cast("int").alias("end"), cursor.cast("int").alias("cursor"))
+
+    def last(a: Column) -> Column:
+        return F.get(a, F.size(a) - 1)
+
+    nowhere = F.lit(-1)
 
     def aligned(row: Column) -> Column:
-        def search(word: Column, near: Column, near_at: Column, cursor: Column) -> Column:
-            here = F.call_function("locate", word, near, cursor - near_at + 1)
+        def search(word: Column, view: Column, cursor: Column) -> Column:
+            here = F.call_function("locate", word, view["near"], cursor - view["at"] + 1)
             rest = F.call_function("locate", word, row["text"], cursor + 1)
-            at_cursor = F.when(cursor <= F.length(row["text"]), cursor).otherwise(F.lit(-1))
-            return (F.when(word == "", at_cursor)
-                    .when(here > 0, here - 1 + near_at)
-                    .otherwise(rest - 1))
-
-        def word_step(near: Column, near_at: Column):
-            def merge(state: Column, word: Column) -> Column:
-                cursor = state["cursor"]
-                bare = F.replace(word, F.lit(" "), F.lit(""))
-                first = search(word, near, near_at, cursor)
-
-                def place(at: Column) -> Column:
-                    end = at + F.length(word)
-                    return F.struct(
-                        F.when(at >= 0, end).otherwise(cursor).alias("cursor"),
-                        F.concat(state["spans"], F.array(
-                            F.when(at >= 0, span(at, end)).otherwise(span(F.lit(-1), F.lit(-1)))
-                        )).alias("spans"))
-
-                def retry(at: Column) -> Column:
-                    again = (at < 0) & F.contains(word, F.lit(" "))
-                    return F.when(again, search(bare, near, near_at, cursor)).otherwise(at)
-
-                return bind(bind(first, retry), place)
-
-            return merge
-
-        def text_step(state: Column, step: Column) -> Column:
-            wanted = F.aggregate(step, F.lit(0), lambda n, w: n + F.length(w) + 2)
-            cursor = state["cursor"]
-            view = F.struct(cursor.alias("at"), F.substring(row["text"], cursor + 1, wanted).alias("near"))
-
-            def walk(v: Column) -> Column:
-                start = F.struct(v["at"].alias("cursor"), none.alias("spans"))
-                return F.aggregate(step, start, word_step(v["near"], v["at"]))
-
-            return bind(bind(view, walk), lambda done: F.struct(
-                done["cursor"].alias("cursor"),
-                F.concat(state["parts"], F.array(done["spans"])).alias("parts")))
+            at_cursor = F.when(cursor <= F.length(row["text"]), cursor).otherwise(nowhere)
+            return bind(here, lambda h: (
+                F.when(word == "", at_cursor).when(h > 0, h - 1 + view["at"]).otherwise(rest - 1)))
+
+        def walk(view: Column) -> Column:
+            def add(spans: Column, word: Column) -> Column:
+                def place(now: Column) -> Column:
+                    bare = F.replace(word, F.lit(" "), F.lit(""))
+                    cursor = now["cursor"]
+                    at = F.when((now["at"] < 0) & F.contains(word, F.lit(" ")), search(bare, view, cursor)).otherwise(now["at"])
+                    return bind(at, lambda p: F.when(
+                        p >= 0, found(p, p + F.length(word), p + F.length(word))
+                    ).otherwise(found(nowhere, nowhere, cursor)))
+
+                cursor = last(spans)["cursor"]
+                now = F.struct(search(word, view, cursor).alias("at"), cursor.alias("cursor"))
+                return F.concat(spans, F.array(bind(now, place)))
+
+            start = F.array(found(nowhere, nowhere, view["at"]))
+            return F.aggregate(view["words"], start, add, lambda spans: F.slice(spans, F.lit(2), F.size(spans)))
+
+        def step(parts: Column, some: Column) -> Column:
+            wanted = F.aggregate(some, F.lit(0), lambda n, w: n + F.length(w) + 2)
+            cursor = last(last(parts))["cursor"]
+            view = F.struct(
+                cursor.alias("at"), F.substring(row["text"], cursor + 1, wanted).alias("near"), some.alias("words"))
+            return F.concat(parts, F.array(bind(view, walk)))
 
         steps = F.transform(
             indices(F.ceil(F.size(row["words"]) / WORDS_PER_STEP).cast("int")),
             lambda k: F.slice(row["words"], k * WORDS_PER_STEP + 1, WORDS_PER_STEP))
-        start = F.struct(
-            F.lit(0).alias("cursor"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("parts"))
-        return F.aggregate(steps, start, text_step, lambda done: F.flatten(done["parts"]))
+        start = F.array(F.array(found(nowhere, nowhere, F.lit(0))))
+        return F.transform(
+            F.flatten(F.aggregate(steps, start, step, lambda parts: F.slice(parts, F.lit(2), F.size(parts)))),
+            lambda s: span(s["start"], s["end"]))
 
     return bind(
         F.struct(words.alias("words"), text.alias("text")),

@@ -126,9 +126,49 @@ def _longest_pieces(word: list[tuple[str, int]], vocab: dict[str, int]) -> list[
     return found
 
 
-def _struct_list(bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray, nulls: np.ndarray) -> pa.Array:
-    spans = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["start", "end"])
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), spans, mask=pa.array(nulls))
+class PiecePool:
+    """Pieces of the stretches met so far, end to end in growing arrays.
+
+    A stretch is cut once; later on its number is enough.  Numbers 0 and 1 are the start
+    and the end sign.
+    """
+
+    def __init__(self, vocab: dict[str, int], strip_accents: bool):
+        self.vocab, self.strip_accents = vocab, strip_accents
+        self.reset()
+
+    def reset(self) -> None:
+        self.number: dict[str, int] = {}
+        self.count = [1, 1]  # pieces per stretch
+        self.fresh = [(self.vocab["[CLS]"], 0, 0), (self.vocab["[SEP]"], 0, 0)]
+        self.pieces = np.zeros((0, 3), np.int32)  # id, start, end
+
+    def add(self, chunk: str) -> int:
+        found = pieces_of(chunk, self.vocab, self.strip_accents)
+        n = self.number[chunk] = len(self.count)
+        self.count.append(len(found))
+        self.fresh += found
+        return n
+
+    def lay_out(self, numbers: list[int], bases: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of the stretches one after another, moved to their bases, and the
+        position after each stretch."""
+        if self.fresh:
+            self.pieces = np.concatenate([self.pieces, np.array(self.fresh, np.int32).reshape(-1, 3)])
+            self.fresh = []
+        sizes = np.array(self.count)
+        first = np.cumsum(sizes) - sizes
+        at = np.array(numbers, np.int64)
+        counts = sizes[at]
+        ends = np.cumsum(counts)
+        rows = np.repeat(first[at] - (ends - counts), counts) + np.arange(counts.sum())
+        pieces = self.pieces[rows]
+        pieces[:, 1:] += np.repeat(np.array(bases, np.int32), counts)[:, None]
+        return pieces, ends
+
+
+def _lists(values: pa.Array, bounds: np.ndarray, nulls: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values, mask=pa.array(nulls))
 
 
 def wordpiece_udf(
@@ -136,52 +176,55 @@ def wordpiece_udf(
 ):
     """Arrow UDF text -> struct<tokens, offsets>; the vocabulary travels as a broadcast.
 
-    A worker keeps the pieces of the stretches it has met, so a frequent word costs one
-    lookup.
+    A frequent stretch of text costs a lookup; its pieces are put together per batch.
     """
     shared = broadcast(vocab)
 
     @F.arrow_udf("tokens array<int>, offsets array<struct<start:int,end:int>>")
     def tokenize_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = shared.value if hasattr(shared, "value") else shared
-        first, last = known["[CLS]"], known["[SEP]"]
+        pool = PiecePool(shared.value if hasattr(shared, "value") else shared, strip_accents)
         room = None if max_length is None else max(max_length - 2, 0)
-        memo: dict[str, list[tuple[int, int, int]]] = {}
         for texts in batches:
-            ids: list[int] = []
-            starts: list[int] = []
-            ends: list[int] = []
-            bounds, nulls = [0], []
+            if len(pool.number) >= MEMO_SIZE:
+                pool.reset()
+            numbers: list[int] = []
+            bases: list[int] = []
+            stretches, nulls = [0], []
+            known, count = pool.number, pool.count
             for text in texts.to_pylist():
                 nulls.append(text is None)
                 if text is not None:
-                    ids.append(first)
-                    starts.append(0)
-                    ends.append(0)
-                    full = None if room is None else len(ids) + room
+                    numbers.append(0)
+                    bases.append(0)
+                    used = 0
                     for found in BLANK_FREE.finditer(text):
-                        chunk, base = found[0], found.start()
-                        pieces = memo.get(chunk)
-                        if pieces is None:
-                            if len(memo) >= MEMO_SIZE:
-                                memo.clear()
-                            pieces = memo[chunk] = pieces_of(chunk, known, strip_accents)
-                        for piece, start, end in pieces:
-                            ids.append(piece)
-                            starts.append(base + start)
-                            ends.append(base + end)
-                        if full is not None and len(ids) >= full:
-                            del ids[full:], starts[full:], ends[full:]
-                            break
-                    ids.append(last)
-                    starts.append(0)
-                    ends.append(0)
-                bounds.append(len(ids))
-            at, gone = np.array(bounds, np.int32), np.array(nulls, bool)
-            tokens = pa.ListArray.from_arrays(
-                pa.array(at, pa.int32()), pa.array(np.array(ids, np.int32)), mask=pa.array(gone))
-            offsets = _struct_list(at, np.array(starts, np.int32), np.array(ends, np.int32), gone)
-            yield pa.StructArray.from_arrays([tokens, offsets], ["tokens", "offsets"])
+                        chunk = found[0]
+                        n = known.get(chunk)
+                        if n is None:
+                            n = pool.add(chunk)
+                        numbers.append(n)
+                        bases.append(found.start())
+                        if room is not None:
+                            used += count[n]
+                            if used >= room:
+                                break
+                    numbers.append(1)
+                    bases.append(0)
+                stretches.append(len(numbers))
+            pieces, ends = pool.lay_out(numbers, bases)
+            bounds = np.concatenate([[0], ends])[stretches]
+            if max_length is not None:
+                sizes = np.diff(bounds)
+                place = np.arange(len(pieces)) - np.repeat(bounds[:-1], sizes)
+                last = np.repeat(sizes, sizes) - 1
+                pieces = pieces[(place < max_length - 1) | (place == last)]
+                bounds = np.concatenate([[0], np.cumsum(np.minimum(sizes, max_length))])
+            gone = np.array(nulls, bool)
+            spans = pa.StructArray.from_arrays(
+                [pa.array(np.ascontiguousarray(pieces[:, i])) for i in (1, 2)], ["start", "end"])
+            yield pa.StructArray.from_arrays(
+                [_lists(pa.array(np.ascontiguousarray(pieces[:, 0])), bounds, gone), _lists(spans, bounds, gone)],
+                ["tokens", "offsets"])
 
     return tokenize_text
 

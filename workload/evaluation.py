@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from votespan.operators.heads import (
@@ -20,6 +24,10 @@ from workload.tables import (
 )
 
 
+# The user's model below travels with the plan.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def r6(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -187,8 +195,6 @@ def e13(spark, sf):
 
 def linear_model():
     """A user's model: eleven logits from the first and last dimensions."""
-    import numpy as np
-
     def predict(frame: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(frame["embedding"].to_numpy()).astype("float64")
         logits = 2.0 * x[:, :11] - x[:, 53:64] + 0.1
