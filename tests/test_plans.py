@@ -13,7 +13,7 @@ from workload.tables import posts, predictions
 
 PYTHON = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow")
 # Sub-word tokenising and the user's model leave the JVM; nothing else does.
-LEAVES_JVM = {"x2_tokenize", "f4_map_batches", "c1_prepare_annotated", "c2_prepare_scored", "c3_run_prepare", "r1_score"}
+LEAVES_JVM = {"x2_tokenize", "f4_map_batches", "c1_prepare_annotated", "c1_prepare_rationale", "c2_prepare_scored", "c3_run_prepare", "r1_score"}
 
 
 def nodes(plan, *names):

@@ -78,3 +78,34 @@ def test_join_labelled(spark):
     labels = spark.createDataFrame([(1, 0.5)], "id int, label_a double")
     rationale = spark.createDataFrame([(2, {0: 1.0})], "id int, rationale map<int,double>")
     assert rows(join_labelled(base, labels, rationale, "id")) == [(1, 0.5, {}), (2, None, {0: 1.0})]
+
+
+def test_documents_equal_brute_force(spark, sf):
+    """Alignment, tokenising and moving of marks, word by word in plain Python."""
+    tokenizers = pytest.importorskip("tokenizers")
+    from test_text import aligned, moved
+    from votespan.functions.text import detokenize
+    from workload.tables import posts as documents
+    from workload.text import corpus_vocab
+
+    vocab = corpus_vocab(spark, sf)
+    public = tokenizers.BertWordPieceTokenizer(vocab=vocab, lowercase=True, strip_accents=False)
+    raw = documents(spark, sf).withColumn("text", detokenize(F.col("post_tokens")))
+    got = {r.post_id: r for r in prepare_annotated(documents(spark, sf), vocab, max_length=None, strip_accents=False).collect()}
+    seen = 0
+    for r in raw.collect():
+        encoded = public.encode(r.text)
+        marks = {i: 1.0 for i in range(len(r.post_tokens)) if any(m[i] for m in r.rationales)}
+        spans = aligned(r.post_tokens, r.text)
+        inside = [(i, s) for i, s in enumerate(spans) if i in marks]
+        # Only marked words can give a value, which keeps the nested loops short.
+        want = {}
+        for j, (start, end) in enumerate(encoded.offsets):
+            for i, (a, b) in inside:
+                if start >= a and end <= b:
+                    want[j] = marks[i]
+        assert got[r.post_id].tokens == encoded.ids
+        assert got[r.post_id].rationale == want
+        assert len(r.text) > 300 or want == moved(marks, spans, encoded.offsets)
+        seen += len(want)
+    assert seen > 100

@@ -75,9 +75,11 @@ def p8(spark, sf):
     return pairs.groupBy("doc_id", "annotator").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"))
 
 
-@query("p9_with_key")
+@query("p9_with_key", "select source, count(*) as n, count(distinct (doc_id, source, n_chars)) as keys from documents group by 1")
 def p9(spark, sf):
-    return with_key(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), ["doc_id", "source", "n_chars"])
+    rows = with_key(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), ["doc_id", "source", "n_chars"])
+    keys = rows.groupBy("source", "row_key").agg(F.count(F.lit(1)).alias("c"))
+    return keys.groupBy("source").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("keys"))
 
 
 def _consensus(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from votespan.functions.arrays import map_to_pairs
+from votespan.functions.arrays import map_to_pairs, pairs_to_map
 from votespan.functions.text import split_words
 from votespan.operators.tokenizer import build_vocab, vocab_dict
 from votespan.plans.batches import build_batches
@@ -13,7 +13,6 @@ from votespan.plans.prepare import (
     Preparation, join_labelled, label_votes, prepare_annotated, prepare_scored, run_prepare,
 )
 from votespan.plans.report import partition_report
-from votespan.functions.arrays import pairs_to_map
 from votespan.operators.votes import rationale_consensus
 from votespan.sources.datasets import Catalog, write_input
 from votespan.sources.scratch import scratch_path
@@ -22,10 +21,10 @@ from workload.evaluation import REPORT_SQL, class_f1_sql, masked_f1_sql, metrics
 from workload.registry import query, table
 from workload.sources import partition_files
 from workload.tables import (
-    CATEGORIES, FLAGS, FLAG_TARGETS, LABELS, MARKS, PRED, SPLIT_CELLS, TARGETS, VOTES, WORDS, hash_sql, posts, rationales, split_of,
-    split_sql, votes, word_lists,
+    CATEGORIES, FLAGS, FLAG_TARGETS, LABELS, MARKS, POST_VOTES, SPLIT_CELLS, TARGETS, VOTES, WORDS, hash_sql, posts, rationales,
+    split_of, split_sql, votes,
 )
-from workload.text import corpus_vocab
+from workload.text import DETOKENIZED, corpus_vocab, vocab_sql, wordpiece_sql
 
 _flag_cats = {"label": FLAGS, "target": FLAG_TARGETS}
 
@@ -47,14 +46,32 @@ def c1_join(spark, sf):
     return joined.select("doc_id", "quality", "toxic", F.size("rationale").cast("bigint").alias("entries"))
 
 
-@query("c1_prepare_annotated")
+_prepared = (share_sql(LABELS, "label", IS_LABEL, "round({})") + ", "
+             + share_sql(CATEGORIES["target"], "target", NAMES, "round({})"))
+
+
+def _prepare(spark, sf):
+    return prepare_annotated(posts(spark, sf), corpus_vocab(spark, sf), max_length=None, strip_accents=False)
+
+
+@query("c1_prepare_annotated", f"""with recursive {vocab_sql('documents')}, {WORDS}, {POST_VOTES},
+  src as (select doc_id, {DETOKENIZED} as text from docs), {wordpiece_sql('doc_id')},
+  labelled as (select doc_id, {_prepared} from post_votes group by 1)
+  select cast(doc_id as varchar) as post_id, l.* exclude (doc_id), n as n_tokens, id_sum, n as valid
+  from labelled l join tokenized using (doc_id)""")
 def c1(spark, sf):
-    """Whole documents from votes, marks and words to labels, tokens and token rationales."""
-    ready = prepare_annotated(posts(spark, sf), corpus_vocab(spark, sf), max_length=None, strip_accents=False)
-    return ready.select(
+    """Whole documents from votes and words to labels and tokens."""
+    return _prepare(spark, sf).select(
         "post_id", *[f"label_{c}" for c in LABELS], *[f"target_{c}" for c in CATEGORIES["target"]],
-        F.size("tokens").alias("n_tokens"), F.size("rationale").alias("n_rationale"),
-        F.element_at("mask", 1)["end"].alias("valid"))
+        F.size("tokens").alias("n_tokens"), F.element_at("mask", 1)["end"].alias("valid"),
+        F.aggregate("tokens", F.lit(0).cast("bigint"), lambda acc, t: acc + t).alias("id_sum"))
+
+
+@query("c1_prepare_rationale")
+def c1_rationale(spark, sf):
+    """The same, with the marks moved from words to tokens."""
+    pairs = map_to_pairs(_prepare(spark, sf), "post_id", "rationale")
+    return pairs.groupBy("post_id").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("positions"), F.sum("v").alias("total"))
 
 
 @query("c2_prepare_scored", """select user_id as comment_id, round(avg(value), 6) as score, 3 as n_tokens, 3 as valid, cast(len(min(event_type)) as int) as last_end

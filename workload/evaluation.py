@@ -233,9 +233,11 @@ def r3(spark, sf):
     return predict_targets(heads, rows, "embedding", ["vec_id"]).select("vec_id", "item", (F.col("logit") > 0).alias("pred"))
 
 
-@query("r4_fit_score_head")
+@query("r4_fit_score_head", """select vec_id, round(0.5::double + list_sum(list_transform(range(0, 64), lambda i: embedding[i + 1]::double * i)), 3) as pred
+  from embeddings""")
 def r4(spark, sf):
+    """The score is a line in the features, so the fitted head must give it back."""
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding", F.aggregate(
         F.transform("embedding", lambda x, i: x.cast("double") * i), F.lit(0.5), lambda acc, v: acc + v).alias("score"))
     model = fit_score_head(rows, "embedding", "score")
-    return predict_score(model, rows, "embedding", ["vec_id"]).withColumn("pred", F.round("pred", 6))
+    return predict_score(model, rows, "embedding", ["vec_id"]).withColumn("pred", F.round("pred", 3))

@@ -19,11 +19,11 @@ def _chain(sql: str, rules) -> str:
 
 
 _blanks = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
-_text = _chain("(' ' || array_to_string(words, ' ') || ' ')", CONTRACTIONS + ENDING_QUOTES)
-_text = f"trim({_chain(f'trim({_text}, {_blanks})', AFTER_STRIP)}, {_blanks})"
+DETOKENIZED = _chain("(' ' || array_to_string(words, ' ') || ' ')", CONTRACTIONS + ENDING_QUOTES)
+DETOKENIZED = f"trim({_chain(f'trim({DETOKENIZED}, {_blanks})', AFTER_STRIP)}, {_blanks})"
 
 
-@query("x1_detokenize", f"with {WORDS} select doc_id, {_text} as text from docs")
+@query("x1_detokenize", f"with {WORDS} select doc_id, {DETOKENIZED} as text from docs")
 def x1(spark, sf):
     return word_lists(spark, sf).select("doc_id", detokenize(F.col("words")).alias("text"))
 
@@ -34,15 +34,36 @@ def x2b_counts(spark, sf):
     return word_counts(documents(spark, sf))
 
 
-@query("x2b_build_vocab", r"""with counts as (select word, count(*) as n from (
-    select unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r])')) as word from documents) group by 1),
+def vocab_sql(source: str, size: int = 20_000) -> str:
+    """CTEs up to ``vocab`` (token, id) of a table's texts."""
+    return rf"""counts as (select word, count(*) as n from (
+    select unnest(regexp_extract_all(lower(text), '([\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}} \t\n\r])')) as word from {source}) group by 1),
   chars as (select c, cast(sum(n) as bigint) as n from (select unnest(string_split(word, '')) as c, n from counts) where c <> '' group by 1),
-  words as (select word as token, n from counts where len(word) > 1 order by n desc, word limit 20000),
+  top as (select word as token, n from counts where len(word) > 1 order by n desc, word limit {size}),
   every as (select '[PAD]' as token, 0 as part, 0 as n union all select '[UNK]', 0, -1 union all select '[CLS]', 0, -2
     union all select '[SEP]', 0, -3 union all select '[MASK]', 0, -4
-    union all select c, 1, n from chars union all select '##' || c, 1, n from chars
-    union all select token, 2, n from words)
-  select token, cast(row_number() over (order by part, n desc, token) - 1 as int) as id from every""")
+    union all select c, 1, n from chars union all select '##' || c, 1, n from chars union all select token, 2, n from top),
+  vocab as (select token, cast(row_number() over (order by part, n desc, token) - 1 as int) as id from every)"""
+
+
+def wordpiece_sql(keys: str) -> str:
+    """CTEs from ``src`` (keys, text) and ``vocab`` to ``tokenized`` (keys, n, id_sum): the
+    longest piece at each place of each distinct word, then the chain of them from its start."""
+    sign = r"!-/:-@\[-`{-~\p{P}"
+    return rf"""toks as (select {keys}, unnest(regexp_extract_all(lower(text), '[^ \t\n\r{sign}]+|[{sign}]')) as word from src),
+  words as (select distinct word from toks),
+  places as (select word, unnest(range(0, len(word))) as pos from words where len(word) <= 100),
+  cuts as (select word, pos, unnest(range(1, least(len(word) - pos, (select max(len(token)) from vocab)) + 1)) as l from places),
+  longest as (select word, pos, max(l) as l, arg_max(id, l) as id from cuts
+    join vocab on token = case when pos = 0 then '' else '##' end || substr(word, pos + 1, l) group by 1, 2),
+  chain as (select word, cast(0 as bigint) as pos, 0 as n, cast(0 as bigint) as s from words
+    union all select c.word, c.pos + g.l, c.n + 1, c.s + g.id from chain c join longest g on c.word = g.word and c.pos = g.pos),
+  whole as (select w.word, coalesce(c.n, 1) as n, coalesce(c.s, 1) as s from words w left join chain c on w.word = c.word and c.pos = len(w.word)),
+  tokenized as (select {keys}, cast(coalesce(sum(n), 0) + 2 as int) as n, cast(coalesce(sum(s), 0) + 5 as bigint) as id_sum
+    from (select {keys} from src) left join toks using ({keys}) left join whole using (word) group by all)"""
+
+
+@query("x2b_build_vocab", f"with {vocab_sql('documents')} select * from vocab")
 def x2b(spark, sf):
     return build_vocab(documents(spark, sf), size=20_000)
 
@@ -51,7 +72,9 @@ def corpus_vocab(spark, sf) -> dict[str, int]:
     return vocab_dict(build_vocab(documents(spark, sf), size=20_000))
 
 
-@query("x2_tokenize")
+@query("x2_tokenize", f"""with recursive {vocab_sql('documents')}, src as (select doc_id, text from documents), {wordpiece_sql('doc_id')}
+  select doc_id, n, n as valid, id_sum, cast(len(rtrim(text, ' ' || chr(9) || chr(10) || chr(13))) as int) as last_end
+  from tokenized join src using (doc_id)""")
 def x2(spark, sf):
     rows = tokenize(documents(spark, sf), "text", corpus_vocab(spark, sf), strip_accents=False, keep=["doc_id"])
     return rows.select(
@@ -60,10 +83,12 @@ def x2(spark, sf):
         F.array_max(F.transform("offsets", lambda s: s["end"])).alias("last_end"))
 
 
-@query("f4_map_batches")
+@query("f4_map_batches", f"""with recursive {vocab_sql('conversations')}, src as (select conv_id, turn, text from conversations), {wordpiece_sql('conv_id, turn')}
+  select conv_id, turn, n, id_sum from tokenized""")
 def f4(spark, sf):
     """The struct UDF in Arrow batches next to the key, on conversations."""
     talk = table(spark, sf, "conversations")
     udf = wordpiece_udf(vocab_dict(build_vocab(talk, size=20_000)), strip_accents=False, broadcast=spark.sparkContext.broadcast)
     rows = map_batches(talk, udf, ["conv_id", "turn"], ["text"])
-    return rows.select("conv_id", "turn", F.size("tokens").alias("n"))
+    return rows.select("conv_id", "turn", F.size("tokens").alias("n"),
+                       F.aggregate("tokens", F.lit(0).cast("bigint"), lambda acc, t: acc + t).alias("id_sum"))
