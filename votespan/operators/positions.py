@@ -1,7 +1,7 @@
 """Row numbers over large groups.
 
 A plain ``row_number`` sorts a whole group in one task.  Here a group is cut along a
-coarse, order-preserving column (hash prefix, hour); the cuts are counted first, and a
+coarse, order-preserving column (hash prefix, minute); the cuts are counted first, and a
 row's number is the size of the cuts before its own plus its rank inside it.
 """
 
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from votespan.functions.columns import row_hash
 from votespan.operators.joins import join_small
 
-HASH_DIGITS = 4
+# Hex digits of the hash prefix: 65,536 cuts of a table, 4,096 of each of its groups.
+TABLE_DIGITS, GROUP_DIGITS = 4, 3
 
 
 def cut_starts(cut: DataFrame, total: str | None = None) -> DataFrame:
@@ -53,11 +54,11 @@ def hash_index(
     """Position in the seeded random order of a unique key, cut by hash prefix."""
     hashed = df.withColumn("_h", row_hash(seed, *key))
     return offset_index(
-        hashed, by, hash_prefix(), [F.col("_h"), *[F.col(k) for k in key]], out, total).drop("_h")
+        hashed, by, hash_prefix(by), [F.col("_h"), *[F.col(k) for k in key]], out, total).drop("_h")
 
 
-def hash_prefix() -> Column:
-    return F.substring("_h", 1, HASH_DIGITS)
+def hash_prefix(by: Sequence[str]) -> Column:
+    return F.substring("_h", 1, GROUP_DIGITS if by else TABLE_DIGITS)
 
 
 def source_index(df: DataFrame, source: str, key: Sequence[str], seed=0) -> DataFrame:

@@ -82,8 +82,8 @@ def balanced_sample(
     with that prefix are ranked.  The rows themselves are then filtered, never shuffled.
     """
     hashed = df.withColumn("_h", row_hash(seed, *key))
-    cut = with_cut(hashed, [source], hash_prefix())
-    # A source has at most 16^4 cuts.
+    cut = with_cut(hashed, [source], hash_prefix([source]))
+    # A source has at most 4,096 cuts.
     cuts = cut_starts(cut, "size").groupBy(F.col(f"_cut.{source}").alias("_source")).agg(
         F.max("size").alias("size"),
         F.collect_list(F.struct(F.col("_cut._coarse").alias("at"), F.col("_start").alias("start"), F.col("_n").alias("n"))).alias("cuts"))
@@ -117,21 +117,14 @@ def balanced_draws(
 
     Adds ``draw`` (0 .. n-1).  A draw hashes to a source and to a position in it, and finds
     the key at that position in an equality join over keys alone; the drawn keys then
-    fetch their rows.  n defaults to the smallest source's size, whose keys number the
-    draws.
+    fetch their rows.  n defaults to the smallest source's size.
     """
     sizes = source_sizes(df, source).withColumnRenamed(source, "_source")
-    quotas = settle(_quotas(sizes, n, False).select("_source", "size", "nth", "sources"))
+    quotas = settle(_quotas(sizes, n, False).select("_source", "size", "nth"))
     placed = hash_index(df.select(source, *key), [source], key, seed, "_idx")
-    if n is None:
-        smallest = quotas.orderBy("size", "nth").limit(1).select("_source")
-        draws = placed.join(
-            F.broadcast(smallest), F.col(source).eqNullSafe(F.col("_source")), "left_semi",
-        ).select(F.col("_idx").alias("draw"))
-    else:
-        draws = df.sparkSession.range(n).withColumnRenamed("id", "draw")
-    count = quotas.agg(F.max("sources")).scalar()
-    aimed = draws.withColumn("_nth", _draw(seed, "source", F.col("draw"), count)).join(
+    sources, smallest = quotas.agg(F.count(F.lit(1)), F.min("size")).first()
+    draws = df.sparkSession.range(smallest if n is None else n).withColumnRenamed("id", "draw")
+    aimed = draws.withColumn("_nth", _draw(seed, "source", F.col("draw"), F.lit(sources))).join(
         quotas, F.col("_nth") == F.col("nth")).select(
         "draw", "_source", _draw(seed, "row", F.col("draw"), F.col("size")).alias("_at"))
     drawn = placed.join(

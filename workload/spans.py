@@ -28,7 +28,7 @@ def w4(spark, sf):
        + RUNS_SQL.format(key="user_id", pos="i", flag="value > 50", rows="seq"))
 def w4_table(spark, sf):
     events = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
-    placed = offset_index(events, ["user_id"], F.date_trunc("hour", "ts"), [F.col("ts"), F.col("event_id")], "pos")
+    placed = offset_index(events, ["user_id"], F.date_trunc("minute", "ts"), [F.col("ts"), F.col("event_id")], "pos")
     return runs_table(placed.withColumn("flag", F.col("value") > 50), ["user_id"], "pos", "flag")
 
 
