@@ -6,7 +6,6 @@ import pytest
 from conftest import rows
 from pyspark.sql import Window, functions as F
 
-from votespan.functions.columns import row_hash
 from votespan.operators.batches import complete_batches, pad_length
 from votespan.operators.positions import (
     assign_batches, beyond_n_latest, newest, offset_index, runs_table, source_index,

@@ -1,6 +1,5 @@
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from votespan.operators.tokenizer import SPECIALS, build_vocab, tokenize, vocab_dict, word_counts
 

@@ -133,15 +133,15 @@ def labelled_docs(spark, sf):
 LABELLED_DOCS = f"""labelled as (select doc_id, {_docs_cats} from post_votes group by 1)"""
 
 
-def _freq_rows(cols, name):
+def freq_rows(cols, name):
     return " union all ".join(
         f"select '{name}' as part, {i} as item, round(avg({c}), 6) as freq from labelled" for i, c in enumerate(cols))
 
 
-_rate = f"""select 'rationale_freq' as part, 0 as item, round(
+rate_sql = f"""select 'rationale_freq' as part, 0 as item, round(
   (select count(*) from (select distinct doc_id, pos from marks where flag <> 0))::double / (select sum(len(words)) from docs), 6) as freq"""
-STATS_SQL = (f"with {MARKS}, {POST_VOTES}, {LABELLED_DOCS} {_freq_rows(DOC_COLS[:3], 'label_freqs')} union all "
-             f"{_freq_rows(DOC_COLS[3:], 'target_freqs')} union all {_rate}")
+STATS_SQL = (f"with {MARKS}, {POST_VOTES}, {LABELLED_DOCS} {freq_rows(DOC_COLS[:3], 'label_freqs')} union all "
+             f"{freq_rows(DOC_COLS[3:], 'target_freqs')} union all {rate_sql}")
 
 
 def stats_rows(stats):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from votespan.functions.arrays import (
-    arr_to_pairs, densify, explode_rows, indices, keep_empty, map_to_pairs, pad, pairs_to_map, render_spans, runs_of_true,
+    arr_to_pairs, densify, explode_rows, keep_empty, map_to_pairs, pad, pairs_to_map, render_spans, runs_of_true,
     span, span_width, spans_to_mask,
 )
 from votespan.functions.columns import (

@@ -4,24 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from votespan.functions.columns import label_slice
+from votespan.functions.columns import label_slice, onehot, prefix_cols
 from votespan.operators.metrics import results, task_metrics
 from votespan.operators.sampling import with_split
-from votespan.operators.stats import dataset_stats
 from votespan.sources.datasets import (
     Catalog, read_dataset, read_stats, scan_columns, write_splits, write_stats,
 )
 from votespan.sources.keyed_json import json_to_parquet, read_keyed_json
-from votespan.sources.results import long_to_wide, read_results, read_runs, write_results
+from votespan.sources.results import read_results, read_runs, write_results
 from votespan.sources.scratch import scratch_path
-from workload.aggregates import DOC_COLS, STATS_SQL, _freq_rows, _rate, doc_stats, labelled_docs, stats_rows
+from workload.aggregates import DOC_COLS, LABELLED_DOCS, STATS_SQL, doc_stats, freq_rows, labelled_docs, rate_sql, stats_rows
 from workload.evaluation import metrics_sql, r6
 from workload.registry import query, table
 from workload.tables import (
-    FLAGS, LABELS, MARKS, POST_VOTES, SPLIT_CELLS, TARGETS, VOTES, WORDS, posts, predictions, runs, split_sql, votes,
+    FLAGS, LABELS, MARKS, POST_VOTES, SPLIT_CELLS, TARGETS, VOTES, posts, predictions, runs, split_sql, votes,
 )
-from workload.aggregates import LABELLED_DOCS
-from votespan.functions.columns import onehot, prefix_cols
 
 
 def _keyed_json(spark, sf) -> str:
@@ -41,12 +38,11 @@ POSTS_SQL = f"""with {MARKS}, {POST_VOTES},
 
 
 def _post_digest(df):
-    add = lambda acc, x: acc + x
     zero = F.lit(0).cast("bigint")
     return df.select(
         "post_id", F.array_join(F.transform("annotators", lambda a: a["label"]), ",").alias("labels"),
         F.aggregate("annotators", zero, lambda acc, a: acc + F.size(a["target"])).alias("named"),
-        F.aggregate(F.flatten("rationales"), zero, add).alias("marks"),
+        F.aggregate(F.flatten("rationales"), zero, lambda acc, m: acc + m).alias("marks"),
         F.size("post_tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("post_tokens", " ")).alias("tokens"))
 
 
@@ -94,7 +90,7 @@ _votes_freq = " union all ".join(
     for i, c in enumerate(FLAGS))
 
 
-@query("s6_read_stats", f"with {MARKS}, {POST_VOTES}, {LABELLED_DOCS}, {VOTES} {_votes_freq} union all {_freq_rows(DOC_COLS[3:], 'target_freqs')} union all {_rate}")
+@query("s6_read_stats", f"with {MARKS}, {POST_VOTES}, {LABELLED_DOCS}, {VOTES} {_votes_freq} union all {freq_rows(DOC_COLS[3:], 'target_freqs')} union all {rate_sql}")
 def s6(spark, sf):
     """Orders give their label frequencies, documents whatever is still missing."""
     catalog = Catalog(scratch_path(spark, "stats"))
