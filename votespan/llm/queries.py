@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from votespan.llm.bpe import decimal_digest, decode, encode
+from votespan.llm.common import plain_id
 from votespan.llm.exact import exact_classes
+from votespan.llm.knn import top_k
 from votespan.llm.lines import line_digests
+from votespan.llm.packing import pack, token_pieces
+from votespan.llm.quality import expected_grade, fit, good, graded, rate
 from votespan.llm.substring import substring_digests
+from votespan.llm.token_store import read_store, write_store
+from votespan.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,6 +36,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def byte_bpe() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op1_token_store")
+def op1(spark, sf):
+    """Writes the store and reads it back."""
+    path = scratch_path(spark, "token-store")
+    write_store(table(spark, sf, "documents"), path, byte_bpe(), end_id=2)
+    return read_store(spark, path).select(
+        plain_id(), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op2_substring_dedup", r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
 windows as (select doc_id, i, md5(array_to_string(list_slice(ws, i, i + 19), ' ')) as h
@@ -45,6 +66,16 @@ def op2(spark, sf):
     return substring_digests(table(spark, sf, "documents"))
 
 
+@query("op4_quality_classifier")
+def op4(spark, sf):
+    """Fits on the rated documents, scores every document."""
+    docs = table(spark, sf, "documents")
+    model = fit(docs, table(spark, sf, "labels"), graded(), 3)
+    return rate(docs.select("doc_id", "text"), model).select(
+        "doc_id", expected_grade("tails").alias("expected_grade"), F.element_at("tails", -1).alias("p_good"),
+        good("tails").alias("kept"))
+
+
 @query("op5_line_dedup", r"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 lines as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos from d),
@@ -58,6 +89,34 @@ def op5(spark, sf):
     return line_digests(table(spark, sf, "documents"))
 
 
+@query("op7_byte_bpe")
+def op7(spark, sf):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
+    return decode(ids, ranks).select(
+        plain_id(), F.size("ids").cast("long").alias("n_tokens"), decimal_digest("ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op8_top_k", """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 20 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 20""")
+def op8(spark, sf):
+    return top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op9_best_fit_packing")
+def op9(spark, sf):
+    pieces = token_pieces(table(spark, sf, "documents"), byte_bpe(), end_id=0, most=2048)
+    return pack(pieces, 2048).select(
+        plain_id(), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query("op10_exact_dedup", r"""
 with t as (select doc_id, length(coalesce(text, '')) as n,
   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as h from documents)
