@@ -3,9 +3,8 @@
 Only the histogram of piece lengths (as many rows as a sequence has tokens) reaches the
 driver.  A configuration is a multiset of lengths that fits a sequence.  Multiplicative
 weights price the lengths, a knapsack by dynamic programming finds the configuration worth
-most, and lengths that are well covered lose weight.  What the program takes of each
-configuration is scaled to the demand and rounded down; the rest goes through the next round,
-and the last rest is filled up greedily, class by class.  The result is a table of rank
+most, and lengths lose weight as they are covered.  What the program takes of each
+configuration is rounded down; the rest is packed by best fit, class by class.  The result is a table of rank
 ranges (length, first rank, sequence, offset) whose size depends on the sequence length only;
 every piece finds its place by its rank among the pieces of its length.
 
@@ -93,37 +92,41 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, demand: np.ndarr
 
 
 def solve_configurations(
-    histogram: dict[int, int], room: int, rounds: int = 6, steps: int = 40, rate: float = 0.5,
+    histogram: dict[int, int], room: int, steps: int = 300, rate: float = 0.05, bend: float = 0.1,
 ) -> list[tuple[int, dict[int, int]]]:
-    """[(how often, {length: times})]: covers the histogram exactly, no configuration above ``room``."""
+    """[(how often, {length: times})]: covers the histogram exactly, no configuration above ``room``.
+
+    The program in packing form: no length is covered beyond its demand.  Prices start a little
+    above proportion to the length (``bend``), for long pieces find partners least easily, and
+    fall by exp(-rate) as a length is covered.
+    """
     plan: list[tuple[int, dict[int, int]]] = []
     left = {n: c for n, c in histogram.items() if c and n < room}
     if histogram.get(room):
         plan.append((histogram[room], {room: 1}))
-    for _ in range(rounds):
-        if sum(left.values()) < 64:
+    lengths = np.array(sorted(left), np.int64)
+    demand = np.array([left[n] for n in lengths.tolist()], float)
+    weights = lengths * (1 + bend * lengths / room)
+    open_share = np.ones(len(lengths))
+    for _ in range(steps):
+        live = np.flatnonzero(open_share)
+        if not len(live):
             break
-        lengths = np.array(sorted(left))
-        demand = np.array([left[n] for n in lengths.tolist()], float)
-        weights = lengths * demand
-        covered = np.zeros(len(lengths))
-        found: list[tuple[float, dict[int, int]]] = []
-        for _ in range(steps):
-            config = best_configuration(lengths, weights / demand / weights.sum(), demand, room)
-            at = np.fromiter(config, int)
-            times = np.array([config[i] for i in at.tolist()], float)
-            step = (demand[at] / times).min()
-            found.append((step, config))
-            covered[at] += times * step / demand[at]
-            weights[at] *= np.exp(-rate * times * step / demand[at])
-        scale = max(1.0, covered.max())
-        for step, config in found:
-            n = int(step / scale)
-            if n:
-                plan.append((n, {int(lengths[i]): t for i, t in config.items()}))
-                for i, t in config.items():
-                    left[int(lengths[i])] -= n * t
-        left = {n: c for n, c in left.items() if c}
+        config = best_configuration(lengths[live], weights[live], np.ceil(demand[live] * open_share[live]), room)
+        at = live[np.fromiter(config, int)]
+        times = np.array(list(config.values()), float)
+        step = (demand[at] * open_share[at] / times).min()
+        covered = times * step / demand[at]
+        open_share[at] = np.where(open_share[at] - covered < 1e-9, 0, open_share[at] - covered)
+        weights[at] *= np.exp(-rate * covered)
+        # Rounded down.
+        n = int(step + 1e-9)
+        if n:
+            used = {int(k): int(t) for k, t in zip(lengths[at], times)}
+            plan.append((n, used))
+            for k, t in used.items():
+                left[k] -= n * t
+    left = {n: c for n, c in left.items() if c}
     while left:
         # Best fit, for as many sequences at once as the classes allow.
         space, config = room, {}
