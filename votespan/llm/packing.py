@@ -65,7 +65,7 @@ def token_pieces(
         _pieces(vocabulary, end_id, most, keep_ids), PIECE + (", ids binary" if keep_ids else "")), "pieces")
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, demand: np.ndarray, room: int) -> dict[int, int]:
+def best_configuration(lengths: np.ndarray, prices: np.ndarray, room: int) -> dict[int, int]:
     """The knapsack: index into ``lengths`` -> how often, worth most within ``room``."""
     worth = np.zeros(room + 1)
     last = np.full(room + 1, -1)
@@ -85,8 +85,7 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, demand: np.ndarr
             c -= 1
             continue
         i = int(last[c])
-        if chosen.get(i, 0) < demand[i]:
-            chosen[i] = chosen.get(i, 0) + 1
+        chosen[i] = chosen.get(i, 0) + 1
         c -= int(lengths[i])
     return chosen
 
@@ -112,7 +111,7 @@ def solve_configurations(
         live = np.flatnonzero(open_share)
         if not len(live):
             break
-        config = best_configuration(lengths[live], weights[live], np.ceil(demand[live] * open_share[live]), room)
+        config = best_configuration(lengths[live], weights[live], room)
         at = live[np.fromiter(config, int)]
         times = np.array(list(config.values()), float)
         step = (demand[at] * open_share[at] / times).min()
