@@ -109,14 +109,15 @@ def _digests(batches):
         heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
         digests = [hashlib.sha256(bare[a:b]).digest() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(digests, pa.binary()), pa.array(np.diff(heads))], names=["id", "digest", "points"])
+            [batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(np.diff(heads))],
+            names=["id", "k2", "digest", "points"])
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, points): SHA-256 of the text without blanks, code points of the whole text."""
+    """(id, k2, digest, points): hash of the text, SHA-256 of it without blanks, code points of all of it."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_digests, "id long, digest binary, points long")
+    return rows.withColumn("k2", F.xxhash64("text")).mapInArrow(_digests, "id long, k2 long, digest binary, points long")
 
 
 def _bare(text_col: str) -> Column:
@@ -125,7 +126,7 @@ def _bare(text_col: str) -> Column:
 
 def grouped(rows: DataFrame) -> DataFrame:
     """(digest, best, n): one row for each distinct digest; the best row is the largest struct."""
-    best = F.struct(F.col("points"), F.bitwise_not("id").alias("minus_id"))
+    best = F.struct(F.col("points"), F.bitwise_not("id").alias("minus_id"), F.col("k2"))
     return rows.groupBy("digest").agg(F.max(best).alias("best"), F.count("*").alias("n"))
 
 
@@ -154,7 +155,7 @@ class Snapshot:
 
     @classmethod
     def build(cls, rows: DataFrame, part_size: int = 100_000) -> Snapshot:
-        """``rows``: (id, digest, points).  ``part_size``: digests in a filter, about."""
+        """``rows``: of ``digests``.  ``part_size``: digests in a filter, about."""
         buckets = stash(grouped(rows), "exact-buckets")
         parts = max(1, -(-buckets.count() // part_size))
         filters = (
@@ -210,7 +211,7 @@ def match(snapshot: Snapshot, fresh: DataFrame, docs: DataFrame, id_col: str = "
 
 
 def keep_best(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_size: int = 100_000) -> DataFrame:
-    """(id, digest, points, keep_id, group_size, kept): one row for each row of ``docs``.
+    """(id, k2, digest, points, keep_id, group_size, kept): one row for each row of ``docs``.
 
     Rows up to the middle of the id range are the snapshot, the others the incoming batch.
     """
@@ -222,11 +223,11 @@ def keep_best(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     fresh = match(snapshot, grouped(rows.where(~old)), docs, id_col, text_col)
     both = fresh.select("digest", "best", "n").unionByName(snapshot.buckets).unionByName(
         fresh.where("held is not null").select("digest", F.col("held").alias("best"), F.lit(0).cast("long").alias("n")))
-    groups = both.groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("group_size")).select(
-        "digest", "group_size", F.col("best.minus_id").alias("minus_id"), F.col("best.points").alias("most"))
+    groups = both.groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
+    own = F.struct(F.col("points"), F.bitwise_not("id").alias("minus_id"), F.col("k2"))
     return rows.join(groups, "digest").select(
-        "id", "digest", "points", F.bitwise_not("minus_id").alias("keep_id"), "group_size",
-        (F.bitwise_not("minus_id").eqNullSafe(F.col("id")) & (F.col("points") == F.col("most"))).alias("kept"))
+        "id", "k2", "digest", "points", F.bitwise_not("best.minus_id").alias("keep_id"), "group_size",
+        own.eqNullSafe(F.col("best")).alias("kept"))
 
 
 def exact_classes(docs: DataFrame) -> DataFrame:

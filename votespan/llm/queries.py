@@ -11,6 +11,9 @@ from votespan.llm.bpe import decimal_digest, decode, encode
 from votespan.llm.common import plain_id
 from votespan.llm.exact import exact_classes
 from votespan.llm.knn import top_k
+from votespan.llm.jaccard import link_classes
+from votespan.llm.license_texts import NOTICES
+from votespan.llm.licenses import license_matches
 from votespan.llm.lines import line_digests
 from votespan.llm.packing import pack, token_pieces
 from votespan.llm.quality import expected_grade, fit, good, graded, rate
@@ -66,6 +69,34 @@ def op2(spark, sf):
     return substring_digests(table(spark, sf, "documents"))
 
 
+_VALUES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''").replace("\n", " ") for x in notice)) for notice in sorted(NOTICES))
+
+
+@query("op3_license_scan", rf"""
+with notices as (select name, row_number() over () as nth, regexp_extract_all(translate(body,
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[0-9a-z]|[^\x00-\x7F])+') as ws
+  from (values {_VALUES}) as v(name, body)),
+templates as (select name, nth, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as grams from notices),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as body, unnest(range(0, len(string_split(text, chr(10))))) as line
+  from documents where text is not null),
+worded as (select doc_id, line, regexp_extract_all(translate(body,
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[0-9a-z]|[^\x00-\x7F])+') as ws from lines),
+parted as (select *, sum((len(ws) = 0)::int) over (partition by doc_id order by line) as part from worded),
+passages as (select doc_id, 'line' as passage, line, ws from parted where len(ws) > 0
+  union all select doc_id, 'paragraph', min(line), flatten(list(ws order by line)) from parted where len(ws) > 0 group by doc_id, part
+  union all select doc_id, 'text', min(line), flatten(list(ws order by line)) from parted where len(ws) > 0 group by doc_id),
+sets as (select doc_id, passage, line, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as grams
+  from passages where len(ws) > 1),
+near as (select * from sets where list_has_any(grams, (select flatten(list(grams)) from templates))),
+scored as (select doc_id, passage, line, name, nth,
+  2 * len(list_intersect(n.grams, t.grams)) / (len(n.grams) + len(t.grams))::double as dice from near n, templates t),
+best as (select *, row_number() over (partition by doc_id, passage, line order by dice desc, nth) as place from scored)
+select doc_id, passage, line::bigint as line, name as license, dice from best where place = 1 and dice >= 0.8""")
+def op3(spark, sf):
+    return license_matches(table(spark, sf, "documents"), NOTICES).select(
+        plain_id(), "passage", "line", "license", "dice")
+
+
 @query("op4_quality_classifier")
 def op4(spark, sf):
     """Fits on the rated documents, scores every document."""
@@ -89,6 +120,23 @@ def op5(spark, sf):
     return line_digests(table(spark, sf, "documents"))
 
 
+@query("op6_jaccard_join", r"""
+with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+shingles as (select distinct doc_id, md5(array_to_string(list_slice(ws, i, i + 4), ' ')) as g
+  from w, unnest(range(1, greatest(len(ws) - 3, 2))) as t(i) where len(ws) > 0),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where c >= 0.8 * (x.n + y.n - c)),
+reach as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
+classes as (select a, least(a, min(b)) as class_id from reach group by a),
+counts as (select a, count(*) as n_links from links group by a)
+select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(n_links, 0)::bigint as n_links
+from documents left join classes on classes.a = doc_id left join counts on counts.a = doc_id""")
+def op6(spark, sf):
+    return link_classes(table(spark, sf, "documents"))
+
+
 @query("op7_byte_bpe")
 def op7(spark, sf):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

@@ -218,8 +218,8 @@ def _packed_hits(found: DataFrame, hot: int) -> DataFrame:
     return lists.mapInArrow(run, "kk long, hits binary, hot binary")
 
 
-def _cut(length: int):
-    """Kept words of each text, joined by one space."""
+def _cut(length: int, whole: bool):
+    """Kept words of each text, joined by one space; ``whole``: texts that lose nothing stay as they are."""
 
     def run(batches):
         for batch, data, offsets in unsqueezed(batches, SLICE):
@@ -249,22 +249,33 @@ def _cut(length: int):
             edges = np.concatenate([[0], to])[kept_before]
             view = memoryview(out)
             texts = [bytes(view[a : max(a, b - 1)]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            removed = n_words - np.diff(kept_before)
+            if whole:
+                for i in np.flatnonzero(removed == 0).tolist():
+                    texts[i] = data[offsets[i] : offsets[i + 1]].tobytes()
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(n_words.astype(np.int64)),
-                pa.array((n_words - np.diff(kept_before)).astype(np.int64)), pa.array(texts, pa.binary()).cast(pa.string())],
-                names=["k1", "k2", "n_words", "n_removed", "kept"])
+                batch.column(0), batch.column(1), pa.array(n_words.astype(np.int64)), pa.array(removed.astype(np.int64)),
+                pa.array(texts, pa.binary()).cast(pa.string()), batch.column(batch.schema.get_field_index("rest"))],
+                names=["k1", "k2", "n_words", "n_removed", "kept", "rest"])
 
     return run
 
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, first: int = 10, hot: int = 10_000,
+    carry: list[str] | None = None, whole: bool = False,
 ) -> DataFrame:
-    """(k1, k2, n_words, n_removed, kept): one row per row of ``docs``, kept words joined by one space."""
+    """(k1, k2, n_words, n_removed, kept, rest): one row per row of ``docs``.
+
+    ``kept``: the kept words joined by one space, or the text as it is if ``whole`` and nothing
+    goes.  ``rest``: a struct of the columns ``carry``.
+    """
     spans = repeated_windows(docs, id_col, text_col, length, first, hot)
-    rows = squeeze(keyed(docs, id_col, text_col))
-    return rows.join(spans, ["k1", "k2"], "left").select("k1", "k2", "z", "spans").mapInArrow(
-        _cut(length), "k1 long, k2 long, n_words long, n_removed long, kept string")
+    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    rows = squeeze(keyed(docs, id_col, text_col, rest.alias("rest")))
+    kind = rows.schema["rest"].dataType.simpleString()
+    return rows.join(spans, ["k1", "k2"], "left").select("k1", "k2", "z", "spans", "rest").mapInArrow(
+        _cut(length, whole), f"k1 long, k2 long, n_words long, n_removed long, kept string, rest {kind}")
 
 
 def substring_digests(docs: DataFrame) -> DataFrame:
