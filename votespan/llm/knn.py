@@ -54,7 +54,7 @@ class KdTree:
             self.rows[node] = rows
             return
         middle = len(rows) // 2
-        if len(rows):
+        if len(rows) and own.shape[1]:
             widest = int(np.argmax(self.high[node] - self.low[node]))
             rows = rows[np.argpartition(own[:, widest], middle)] if middle else rows
         self._split(2 * node + 1, rows[:middle])
@@ -93,8 +93,8 @@ class KdTree:
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     values = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False)
-    values = values.astype(np.int64).reshape(-1, dims)
-    if len(values) and np.abs(values).max() >= 2**31:
+    values = values.astype(np.int64).reshape(len(column), dims)
+    if np.abs(values).max(initial=0) >= 2**31:
         raise ValueError("a component is too large")
     return values
 

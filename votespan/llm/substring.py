@@ -176,10 +176,9 @@ def repeated_windows(
     while short < length:
         if 2 * short > length or length % short:
             raise ValueError("length must be first times a power of two")
-        found = _hits(rows, hits, short, length, hot)
-        if hits is not None:
-            discard(hits)
-        hits = stash(found, "substring-hits")
+        before, hits = hits, stash(_hits(rows, hits, short, length, hot), "substring-hits")
+        if before is not None:
+            discard(before)
         if 2 * short >= length:
             break
         short *= 2
