@@ -162,9 +162,9 @@ def top_k(
 
 def _of_one_length(rows: DataFrame, dims: int, shards: int, blocks: int, k: int, leaf: int) -> DataFrame:
     dealt = rows.withColumn("shard", F.pmod("row", F.lit(shards)))
-    asked = dealt.where("query").select(
+    asked = stash(dealt.where("query").select(
         F.col("vec_id").alias("query_id"), "row", "v", F.col("shard").alias("home"),
-        F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).dropDuplicates(["query_id", "row"])
+        F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).dropDuplicates(["query_id", "row"]), "queries")
     run = _search(k, leaf, lambda key, d=dims: d)
     out = "query_id long, row long, vec_id long, score long"
 
