@@ -180,7 +180,8 @@ def pack(pieces: DataFrame, room: int) -> DataFrame:
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     rest = [c for c in pieces.columns if c not in ("part", "rank")]
-    placed = pieces.join(bases, ["part", "length"]).select(*rest, (F.col("rank") + F.col("base")).alias("place"))
+    # As many rows as parts and lengths: not a table to broadcast.
+    placed = pieces.join(bases.hint("merge"), ["part", "length"]).select(*rest, (F.col("rank") + F.col("base")).alias("place"))
     fields = [f"{c} {pieces.schema[c].dataType.simpleString()}" for c in rest]
     return placed.mapInArrow(_place(table), ", ".join([*fields, "sequence_id long", "offset long"]))
 

@@ -16,7 +16,9 @@ from votespan.llm.common import worker_cache
 #: A space with something on both sides.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Words encoded in one call, and words in a generation of the cache.
-JOINED, KEPT = 300, 400_000
+JOINED, KEPT = 300, 600_000
+#: Marks that end words, and the last letter of the scripts in which they are split off.
+MARKS, LATIN = ".,;:!?", "\u024f"
 
 
 class PieceEncoder:
@@ -31,16 +33,20 @@ class PieceEncoder:
         self.older: dict[str, bytes] = {}
         newline = self.library.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
+        self.marks = {m: x.tobytes() for m, x in zip(MARKS, self._ids(list(MARKS)))}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.width) for e in found]
 
     def _learn(self, words: list[str]) -> None:
-        """``words`` follow a space."""
-        plain = [w for w in words if "\n" not in w and w and not w[-1].isspace() and not w[0].isspace()]
-        if self.newline is None:
-            plain = []
+        """``words`` follow a space, and neither begin nor end with a blank."""
+        # A mark after a letter or digit is a pre-token of its own.
+        marked = [w for w in words if w[-1] in MARKS and len(w) > 1 and w[-2] <= LATIN and w[-2].isalnum()]
+        todo = set(words).difference(marked)
+        todo.update(w[:-1] for w in marked)
+        todo.difference_update(self.known)
+        plain = sorted(w for w in todo if "\n" not in w) if self.newline is not None else []
         for i in range(0, len(plain), JOINED):
             group = plain[i : i + JOINED]
             # Lines of one text: the newlines come back as ids of their own.
@@ -54,33 +60,38 @@ class PieceEncoder:
             for word, end in zip(group, ends):
                 self.known[word] = raw[start * size : end * size]
                 start = end + 1
-        others = list(set(words).difference(plain))
+        others = list(todo.difference(plain))
         if others:
             self.known.update(zip(others, (x.tobytes() for x in self._ids([" " + w for w in others]))))
+        for w in marked:
+            self.known[w] = self.known[w[:-1]] + self.marks[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KEPT:
             self.known, self.older = {}, self.known
-        pieces = []
-        for text in texts:
-            parts = text.split(" ")
-            for p in parts:
-                if not p or p[0].isspace() or p[-1].isspace():
-                    parts = SAFE.split(text)
-                    break
-            pieces.append(parts)
-        heads = self._ids([p[0] for p in pieces])
+        pieces = [text.split(" ") for text in texts]
+        tails = [b""] * len(texts)
         new = set()
         for parts in pieces:
             new.update(parts[1:])
         new.difference_update(self.known)
+        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        new -= odd
+        for i, parts in enumerate(pieces):
+            if parts[0][-1:].isspace() or (odd and not odd.isdisjoint(parts[1:])):
+                parts = pieces[i] = SAFE.split(texts[i])
+                # Only the end of a text may be blank, and means something else elsewhere.
+                if len(parts) > 1 and parts[-1][-1].isspace():
+                    tails[i] = self._ids([" " + parts.pop()])[0].tobytes()
+                new.update(w for w in parts[1:] if w not in self.known)
         if self.older:
             back = new.intersection(self.older)
             self.known.update((w, self.older[w]) for w in back)
             new -= back
         self._learn(sorted(new))
+        heads = self._ids([p[0] for p in pieces])
         get = self.known.__getitem__
-        return [head.tobytes() + b"".join(map(get, parts[1:])) for head, parts in zip(heads, pieces)]
+        return [head.tobytes() + b"".join(map(get, parts[1:])) + tail for head, parts, tail in zip(heads, pieces, tails)]
 
 
 def id_width(vocabulary_size: int) -> str:
