@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from votespan.llm.common import keyed, shuffle_partitions, slices, worker_cache
 from votespan.llm.tokens import SAFE
 
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 ROW = "bucket long, block long, words binary, places binary, codes binary"
 
 
