@@ -112,6 +112,11 @@ def test_maps_and_pairs(spark):
     assert rows(map_to_pairs(df, "id", "m", keep_empty=True)) == [
         (1, 1, 2.0), (1, 3, 1.0), (2, None, None), (3, None, None)]
     assert rows(pairs_to_map(pairs.unionAll(pairs), "id", "k", "v", "m")) == [(1, {1: 2.0, 3: 1.0})]
+    two = pairs.unionAll(pairs.withColumn("v", F.col("v") + 1))
+    with pytest.raises(Exception, match="several values"):
+        pairs_to_map(two, "id", "k", "v", "m").collect()
+    assert rows(pairs_to_map(two, "id", "k", "v", "m", "max")) == [(1, {1: 3.0, 3: 2.0})]
+    assert rows(pairs_to_map(two, "id", "k", "v", "m", "min")) == [(1, {1: 2.0, 3: 1.0})]
     assert rows(keep_empty(df, "id", pairs)) == [(1, 1, 2.0), (1, 3, 1.0), (2, None, None), (3, None, None)]
 
 

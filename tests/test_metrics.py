@@ -11,7 +11,6 @@ from votespan.operators.metrics import (
     multilabel_confusion, multilabel_f1, name_metrics, results, task_metrics, weighted_bce,
 )
 from votespan.plans.evaluate import evaluate
-from votespan.streaming.running_metrics import running_confusion
 
 N, K = 300, 4
 
@@ -103,6 +102,17 @@ def test_losses(spark, pred, data):
         weighted_bce(pred, reduce="?")
 
 
+def test_bce_without_some_weights(spark, pred, data):
+    """An item without a weight weighs 1; a mask leaves rows out."""
+    z, y, mask = data
+    some = spark.createDataFrame([(0, 3.0)], "item int, pos_weight double")
+    w = np.array([3.0, 1, 1, 1])
+    loss = w * y * np.log1p(np.exp(-z)) + (1 - y) * np.log1p(np.exp(z))
+    assert weighted_bce(pred, some).first()[0] == pytest.approx(loss.mean())
+    assert weighted_bce(pred, some, mask="mask").first()[0] == pytest.approx(loss[mask].mean())
+    assert weighted_bce(pred.withColumn("mask", F.lit(False)), mask="mask").first()[0] is None
+
+
 def test_losses_do_not_overflow(spark):
     df = spark.createDataFrame([(0, 800.0, 0.0, True), (0, -800.0, 1.0, True)], "item int, logit double, truth double, mask boolean")
     assert weighted_bce(df).first()[0] == 800.0
@@ -142,7 +152,8 @@ def test_evaluate_bundle(spark):
         outputs, "split string, target_logits array<double>, target array<double>, label_logits array<double>, label array<double>, "
                  "score_pred double, score double, rationale_logits array<double>, rationale array<double>, mask array<boolean>")
     got = {r.name: r.value for r in evaluate(df, list("xyz")).collect()}
-    assert len(got) == 2 * (2 + 3 + 12 + 3)
+    # The test split reports no losses: one for each target and three more.
+    assert len(got) == 2 * (2 + 3 + 12 + 3) + 3 + 3
     test = [o for o in outputs if o[0] == "test"]
     assert got["test_score_mse"] == pytest.approx(np.mean([(o[5] - o[6]) ** 2 for o in test]))
     cells = [0, 0, 0, 0]
@@ -159,13 +170,13 @@ def test_evaluate_bundle(spark):
 
     assert got["test_rationale_f1"] == pytest.approx((side(tp, fp, fn) + side(tn, fn, fp)) / 2)
     only = {r.name for r in evaluate(df.select("split", "score_pred", "score")).collect()}
-    assert only == {"train_score_mse", "test_score_mse"}
+    assert only == {"train_score_mse", "train_score_loss", "test_score_mse"}
 
 
 def test_stream_counts_equal_batch(spark, pred, tmp_path):
     pred.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(pred.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = (running_confusion(stream).writeStream.outputMode("complete").format("memory").queryName("running")
+    query = (multilabel_confusion(stream).writeStream.outputMode("complete").format("memory").queryName("running")
              .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
     query.awaitTermination(120)
     assert rows(spark.table("running")) == rows(multilabel_confusion(pred))

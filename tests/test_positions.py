@@ -108,6 +108,24 @@ def test_shuffle_and_sample(hot):
     assert [r.id for r in sample_n(hot, 10, ["id"], 1).collect()] == order[:10]
 
 
+def test_split_without_weight(spark):
+    many = spark.range(10_000)
+    for weights in ({"train": 1.0, "test": 0.0}, {"test": 0.0, "train": 3}):
+        assert {r.split for r in with_split(many, ["id"], weights).collect()} == {"train"}
+    counts = Counter(r.split for r in with_split(many, ["id"], {"train": 0.9, "valid": 0.1, "test": 0}).collect())
+    assert set(counts) == {"train", "valid"} and abs(counts["train"] - 9000) < 200
+    with pytest.raises(ValueError):
+        with_split(many, ["id"], {"a": 0, "b": 0})
+    with pytest.raises(ValueError):
+        with_split(many, ["id"], {"a": 2, "b": -1})
+
+
+def test_balanced_sample_needs_a_key(spark):
+    same = spark.createDataFrame([(7, "a")] * 60 + [(i, "b") for i in range(60)], "id int, source string")
+    with pytest.raises(Exception, match="not unique"):
+        balanced_sample(same, "source", ["id"], n=10).collect()
+
+
 def test_balanced_sample(hot):
     sizes = Counter(r[0] for r in rows(hot, "source"))
     smallest = min(sizes.values())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from votespan.operators.sampling import with_split
 from votespan.plans.report import merge_partition_results, partition_report
 from votespan.sources.datasets import (
-    Catalog, read_dataset, read_input, read_stats, scan_columns, spread, write_input, write_splits, write_stats,
+    Catalog, read_dataset, read_input, read_stats, scan_columns, write_input, write_splits, write_stats,
 )
 from votespan.sources.keyed_json import ANNOTATED, json_to_parquet, read_keyed_json
 from votespan.sources.results import long_to_wide, read_results, read_runs, wide_to_long, write_results
@@ -140,16 +140,29 @@ def test_results_round_trip(spark, tmp_path):
     assert [(r.name, r.f1) for r in merged] == [("micro", 0.0), ("macro", None)]
 
 
+def test_results_with_quotes_and_several_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"a,b",c\n1,2\n3,4\n')
+    (tmp_path / "b.csv").write_text('c,"say ""x"""\n5,\n')
+    got = rows(read_results(spark, str(tmp_path / "*.csv")), "name", "value")
+    assert got == sorted([("a,b", 1.0), ("a,b", 3.0), ("c", 2.0), ("c", 4.0), ("c", 5.0), ('say "x"', None)], key=repr)
+    (tmp_path / "c.csv").write_text("a\nword\n")
+    with pytest.raises(Exception, match="word"):
+        read_results(spark, str(tmp_path / "c.csv")).collect()
+
+
+def test_keyed_json_with_members_in_another_order(spark, tmp_path):
+    moved = {"1": POSTS["0_x"], "2": dict(reversed(POSTS["1_x"].items())), "3": POSTS["2_x"]}
+    (tmp_path / "moved.json").write_text(json.dumps(moved))
+    assert read_keyed_json(spark, str(tmp_path / "moved.json")).count() == 3
+    with pytest.raises(Exception, match="does not start with"):
+        read_keyed_json(spark, str(tmp_path / "moved.json"), first_member="post_id").collect()
+
+
 def test_read_runs(spark):
     df = spark.createDataFrame([(i, "e" if i % 2 else "f", i % 5) for i in range(40)], "run_id int, experiment string, start_time int")
     got = [tuple(r) for r in read_runs(df, "e", 3).collect()]
     assert got == [(9, "e", 4), (19, "e", 4), (29, "e", 4)]
-
-
-def test_spread_leaves_large_inputs(spark):
-    assert spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, 64)
-    assert spread(many, "id") is many
+    assert read_runs(df, "e").count() == 20
 
 
 def test_scratch_follows_the_session(spark):

@@ -49,7 +49,7 @@ def test_align_by_hand(spark):
 
 
 def test_align_equals_search(spark, monkeypatch):
-    monkeypatch.setattr(text, "WORDS_PER_STEP", 4)
+    monkeypatch.setattr(text, "NEAR", 2)
     rng = random.Random(3)
     data = []
     for i in range(150):

@@ -52,9 +52,9 @@ def connect(sf_dir):
 
 def differences(spark, con, name, sf_dir):
     """None if query and twin agree, else what differs."""
-    cols, rows = spark_rows(QUERIES[name](spark, sf_dir))
     if name not in ORACLE:
-        return None if rows else "no rows"
+        return "no twin"
+    cols, rows = spark_rows(QUERIES[name](spark, sf_dir))
     want_cols, want = duck_rows(con, ORACLE[name])
     if cols != want_cols:
         return f"columns {cols} != {want_cols}"

@@ -75,14 +75,22 @@ def keep_empty(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     return df.select(key).join(pairs, key, "left")
 
 
-def pairs_to_map(df: DataFrame, key, k: str, v: str, out: str) -> DataFrame:
+def pairs_to_map(df: DataFrame, key, k: str, v: str, out: str, repeated: str = "raise") -> DataFrame:
     """(key, k, v) to one map per key, entries in key order.
 
     The result holds a map per key, so a key's entries have to meet in one row; a map
-    has each k once, so repeated pairs are folded before they are collected.
+    has each k once, so repeated pairs are folded before they are collected.  Of several
+    values of one k the largest or smallest stays with ``repeated`` "max" or "min"; by
+    default they raise.
     """
     keys = as_list(key)
-    once = df.groupBy(*keys, k).agg(F.max(v).alias(v))
+    if repeated not in ("raise", "max", "min"):
+        raise ValueError(repeated)
+    one = (F.min if repeated == "min" else F.max)(v)
+    if repeated == "raise":
+        several = F.concat(F.lit("several values of "), F.col(k).cast("string"))
+        one = F.when(F.min(v).eqNullSafe(F.max(v)), F.max(v)).otherwise(F.raise_error(several))
+    once = df.groupBy(*keys, k).agg(one.alias(v))
     entries = F.sort_array(F.collect_list(F.struct(k, v)))
     return once.groupBy(*keys).agg(F.map_from_entries(entries).alias(out))
 

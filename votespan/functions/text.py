@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
-from votespan.functions.arrays import bind, by_cell, cell, indices, span
+from votespan.functions.arrays import bind, by_cell, cell
+
+# Executors need no copy of what runs in their Python workers.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLANKS = "[ \\t\\n\\r]"
 
@@ -63,72 +72,81 @@ def detokenize(words: Column) -> Column:
     return F.btrim(text, F.lit(STRIPPED))
 
 
-WORDS_PER_STEP = 32
+#: Characters after the cursor that are searched first, and the letters of a gram of the far index.
+NEAR, GRAM = 256, 3
+
+
+class TextSearch:
+    """Finds words from a cursor on, at a cost that grows with the text and not with text times words.
+
+    Most words lie near the cursor.  One that does not is looked up by its rarest gram, and one
+    that is not there is not there from any later cursor either.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.gone: set[str] = set()
+        self.grams: dict[str, list[int]] | None = None
+
+    def find(self, word: str, cursor: int) -> int:
+        at = self.text.find(word, cursor, cursor + len(word) + NEAR)
+        if at >= 0 or word in self.gone or cursor + len(word) + NEAR >= len(self.text):
+            return at
+        at = self._far(word, cursor)
+        if at < 0:
+            self.gone.add(word)
+        return at
+
+    def _far(self, word: str, cursor: int) -> int:
+        if len(word) < GRAM:
+            return self.text.find(word, cursor)
+        if self.grams is None:
+            self.grams = {}
+            for i in range(len(self.text) - GRAM + 1):
+                self.grams.setdefault(self.text[i : i + GRAM], []).append(i)
+        places = [(self.grams.get(word[o : o + GRAM], ()), o) for o in range(len(word) - GRAM + 1)]
+        rarest, offset = min(places, key=lambda x: len(x[0]))
+        for i in range(bisect_left(rarest, cursor + offset), len(rarest)):
+            if self.text.startswith(word, rarest[i] - offset):
+                return rarest[i] - offset
+        return -1
+
+
+def align_row(words: list[str | None], text: str) -> list[tuple[int, int]]:
+    search, cursor, out = TextSearch(text), 0, []
+    for word in words:
+        at = -1
+        if word == "":
+            at = cursor if cursor <= len(text) else -1
+        elif word is not None:
+            at = search.find(word, cursor)
+            if at < 0 and " " in word:
+                bare = word.replace(" ", "")
+                at = search.find(bare, cursor) if bare else (cursor if cursor <= len(text) else -1)
+        if at < 0:
+            out.append((-1, -1))
+        else:
+            cursor = at + len(word)
+            out.append((at, cursor))
+    return out
 
 
 def align_words(words: Column, text: Column) -> Column:
     """Character span of each word, searched left to right from the end of the last find.
 
     A word that does not occur from there on is tried without its blanks (keeping its own
-    length); one that still does not occur gets (-1, -1) and leaves the cursor alone.
-
-    Words are taken in steps.  A step looks in the stretch of text its words should fill
-    and only turns to the whole rest for a word that is not there, so cost grows with the
-    text rather than with words times text.  The folds carry arrays whose last element
-    holds the cursor: a bound value is copied, an accumulator is not.
+    length); one that still does not occur gets (-1, -1) and leaves the cursor alone.  Words
+    and text travel in Arrow batches; null words or text give null.
     """
-    def found(start: Column, end: Column, cursor: Column) -> Column:
-        return F.struct(
-            start.cast("int").alias("start"), end.cast("int").alias("end"), cursor.cast("int").alias("cursor"))
-
-    def last(a: Column) -> Column:
-        return F.get(a, F.size(a) - 1)
-
-    nowhere = F.lit(-1)
-
-    def aligned(row: Column) -> Column:
-        def search(word: Column, view: Column, cursor: Column) -> Column:
-            here = F.call_function("locate", word, view["near"], cursor - view["at"] + 1)
-            rest = F.call_function("locate", word, row["text"], cursor + 1)
-            at_cursor = F.when(cursor <= F.length(row["text"]), cursor).otherwise(nowhere)
-            return bind(here, lambda h: (
-                F.when(word == "", at_cursor).when(h > 0, h - 1 + view["at"]).otherwise(rest - 1)))
-
-        def walk(view: Column) -> Column:
-            def add(spans: Column, word: Column) -> Column:
-                def place(now: Column) -> Column:
-                    bare = F.replace(word, F.lit(" "), F.lit(""))
-                    cursor = now["cursor"]
-                    at = F.when((now["at"] < 0) & F.contains(word, F.lit(" ")), search(bare, view, cursor)).otherwise(now["at"])
-                    return bind(at, lambda p: F.when(
-                        p >= 0, found(p, p + F.length(word), p + F.length(word))
-                    ).otherwise(found(nowhere, nowhere, cursor)))
-
-                cursor = last(spans)["cursor"]
-                now = F.struct(search(word, view, cursor).alias("at"), cursor.alias("cursor"))
-                return F.concat(spans, F.array(bind(now, place)))
-
-            start = F.array(found(nowhere, nowhere, view["at"]))
-            return F.aggregate(view["words"], start, add, lambda spans: F.slice(spans, F.lit(2), F.size(spans)))
-
-        def step(parts: Column, some: Column) -> Column:
-            wanted = F.aggregate(some, F.lit(0), lambda n, w: n + F.length(w) + 2)
-            cursor = last(last(parts))["cursor"]
-            view = F.struct(
-                cursor.alias("at"), F.substring(row["text"], cursor + 1, wanted).alias("near"), some.alias("words"))
-            return F.concat(parts, F.array(bind(view, walk)))
-
-        steps = F.transform(
-            indices(F.ceil(F.size(row["words"]) / WORDS_PER_STEP).cast("int")),
-            lambda k: F.slice(row["words"], k * WORDS_PER_STEP + 1, WORDS_PER_STEP))
-        start = F.array(F.array(found(nowhere, nowhere, F.lit(0))))
-        return F.transform(
-            F.flatten(F.aggregate(steps, start, step, lambda parts: F.slice(parts, F.lit(2), F.size(parts)))),
-            lambda s: span(s["start"], s["end"]))
-
-    return bind(
-        F.struct(words.alias("words"), text.alias("text")),
-        lambda row: F.when(row["words"].isNotNull() & row["text"].isNotNull(), aligned(row)))
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def aligned(lists: pa.Array, texts: pa.Array) -> pa.Array:
+        spans = [None if w is None or t is None else align_row(w, t) for w, t in zip(lists.to_pylist(), texts.to_pylist())]
+        bounds = np.cumsum([0, *(len(s or ()) for s in spans)]).astype(np.int32)
+        flat = np.array([x for s in spans for x in s or ()], np.int32).reshape(-1, 2)
+        pairs = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in (0, 1)], ["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(bounds), pairs, mask=pa.array([s is None for s in spans], pa.bool_()))
+
+    return aligned(words, text)
 
 
 def remap_spans(

@@ -64,17 +64,23 @@ def fit_target_heads(
 ) -> dict[str, Model]:
     """One binary head per target column; positives weighted if weights are given.
 
-    The fits are independent jobs, ``parallelism`` of them at a time.
+    The fits are independent jobs, ``parallelism`` of them at a time, over vectors that are
+    converted and kept once.  Rows whose target is null take no part in its fit.
     """
+    shared = _features(df, features, *targets).persist()
+
     def fit(t: str) -> Model:
         positive = F.col(t) > 0.5
         weight = F.when(positive, F.lit((weights or {}).get(t, 1.0))).otherwise(F.lit(1.0))
-        rows = _features(df, features, positive.cast("double").alias("label"), weight.alias("weight"))
+        rows = shared.where(F.col(t).isNotNull()).withColumns({"label": positive.cast("double"), "weight": weight})
         return LogisticRegression(
             family="binomial", weightCol="weight", maxIter=max_iter, regParam=reg).fit(rows)
 
-    with ThreadPool(parallelism) as pool:
-        return dict(zip(targets, pool.map(inheritable_thread_target(df.sparkSession)(fit), targets)))
+    try:
+        with ThreadPool(parallelism) as pool:
+            return dict(zip(targets, pool.map(inheritable_thread_target(df.sparkSession)(fit), targets)))
+    finally:
+        shared.unpersist()
 
 
 def fit_score_head(df: DataFrame, features: str, target: str) -> Model:

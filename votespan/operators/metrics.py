@@ -86,16 +86,20 @@ def _ratio(a: Column, b: Column) -> Column:
     return a / (b + F.lit(EPS))
 
 
-def masked_binary_f1(pred: DataFrame, by=(), mask: str = "mask") -> DataFrame:
-    """Mean of the positive and the negative class's F1 over masked tokens."""
+def binary_f1() -> Column:
+    """Mean of the positive and the negative class's F1 from the four counts."""
     tp, tn, fp, fn = (F.col(c).cast("double") for c in ("pos_pos", "neg_neg", "neg_pos", "pos_neg"))
 
     def score(hit: Column, extra: Column, missed: Column) -> Column:
         precision, recall = _ratio(hit, hit + extra), _ratio(hit, hit + missed)
         return _ratio(2.0 * precision * recall, precision + recall)
 
-    mean = (score(tp, fp, fn) + score(tn, fn, fp)) / 2.0
-    return masked_cells(pred, by, mask).select(*as_list(by), mean.alias("f1"))
+    return (score(tp, fp, fn) + score(tn, fn, fp)) / 2.0
+
+
+def masked_binary_f1(pred: DataFrame, by=(), mask: str = "mask") -> DataFrame:
+    """Mean of the positive and the negative class's F1 over masked tokens."""
+    return masked_cells(pred, by, mask).select(*as_list(by), binary_f1().alias("f1"))
 
 
 def masked_binary_accuracy(pred: DataFrame, by=(), mask: str = "mask") -> DataFrame:
@@ -111,27 +115,30 @@ def softplus(z: Column) -> Column:
 
 
 def weighted_bce(
-    pred: DataFrame, weights: DataFrame | None = None, item: str = "item", reduce: str = "all",
+    pred: DataFrame, weights: DataFrame | None = None, item: str = "item", reduce: str = "all", mask: str | None = None,
 ) -> DataFrame:
     """Log loss from logits, positives weighted per item; the mean over all or per item.
 
     An item's weight factors out of its sums, so the weights meet the one row per item
-    that is left after the grouping, never the predictions.
+    that is left after the grouping, never the predictions.  An item without a weight has
+    weight 1.  With ``mask`` only the masked rows count; the mean over none of them is null.
     """
     if reduce not in ("all", "item"):
         raise ValueError(reduce)
     z, y = F.col("logit"), F.col("truth")
-    sums = pred.groupBy(item).agg(
+    rows = pred if mask is None else pred.filter(F.col(mask))
+    sums = rows.groupBy(item).agg(
         F.sum(y * softplus(-z)).alias("pos"), F.sum((1.0 - y) * softplus(z)).alias("neg"),
         F.count(z * y).alias("n"))
     if weights is not None:
-        sums = sums.join(weights.select(item, "pos_weight"), item, "left")
+        sums = sums.join(weights.select(item, "pos_weight"), item, "left").withColumn(
+            "pos_weight", F.coalesce("pos_weight", F.lit(1.0)))
     else:
         sums = sums.withColumn("pos_weight", F.lit(1.0))
     loss = F.col("pos_weight") * F.col("pos") + F.col("neg")
     if reduce == "item":
-        return sums.select(item, (loss / F.col("n")).alias("loss"))
-    return sums.agg((F.sum(loss) / F.sum("n")).alias("loss"))
+        return sums.select(item, F.try_divide(loss, F.col("n")).alias("loss"))
+    return sums.agg(F.try_divide(F.sum(loss), F.sum("n")).alias("loss"))
 
 
 def focal(z: Column, y: Column, alpha: float = 0.8, gamma: float = 2.0) -> Column:
@@ -182,56 +189,83 @@ def name_metrics(df: DataFrame, template: str, axes: Sequence[Sequence[str]], va
     return rows.select(*keys, name.alias("name"), F.col("value").cast("double").alias("value"))
 
 
-def task_metrics(pred: DataFrame, task: str, names: Sequence[str] | None = None, split: str = "split", item: str = "item") -> DataFrame:
+#: Splits whose loss is not reported.
+UNTRAINED = ("test",)
+
+
+def _weight_of(freqs: Sequence[float] | None, item: Column) -> Column:
+    """Weight of a positive: negatives over positives, 1 without shares."""
+    if freqs is None:
+        return F.lit(1.0)
+    return F.get(F.array(*[F.lit((1.0 - f) / (f + EPS)) for f in freqs]), item)
+
+
+def task_metrics(
+    pred: DataFrame, task: str, names: Sequence[str] | None = None, split: str = "split", item: str = "item",
+    freqs: Sequence[float] | None = None, no_loss: Sequence[str] = UNTRAINED,
+) -> DataFrame:
     """(split, name, value) of every multi-label metric, from one pass over the predictions.
 
-    Names are ``<split>_<task>_macro_f1``, ``…_micro_f1``, ``…_f1_<label>`` and
-    ``…_confusion_<label>_<truth>_<prediction>``; labels are ``names`` by item or the item.
+    Names are ``<split>_<task>_macro_f1``, ``…_micro_f1``, ``…_f1_<label>``,
+    ``…_confusion_<label>_<truth>_<prediction>`` and, but for the splits ``no_loss``,
+    ``…_loss_<item>``; labels are ``names`` by item or the item.  ``freqs`` are the shares of
+    positives that weigh the log loss.
     """
-    cells = multilabel_confusion(pred, [split, item])
+    z, y = F.col("logit"), F.col("truth")
+    cells = harden(pred).groupBy(split, item).agg(
+        *cell_counts(F.col("hard"), F.col("pred")), F.sum(y * softplus(-z)).alias("pos_loss"),
+        F.sum((1.0 - y) * softplus(z)).alias("neg_loss"), F.count(z * y).alias("n"))
     label = F.get(F.array(*[F.lit(n) for n in names]), F.col(item)) if names else F.col(item).cast("string")
 
     def entry(name: Column, value: Column) -> Column:
         prefix = F.concat(F.col(split), F.lit(f"_{task}_"))
         return F.struct(F.concat(prefix, name).alias("name"), value.cast("double").alias("value"))
 
+    loss = F.try_divide(_weight_of(freqs, F.col(item)) * F.col("pos_loss") + F.col("neg_loss"), F.col("n"))
     # One element per label and split: as long as the list of labels.
     per_label = F.collect_list(F.struct(
-        label.alias("label"), cell_f1().alias("f1"), *CELLS))
+        label.alias("label"), cell_f1().alias("f1"), loss.alias("loss"), F.col(item).cast("string").alias("item"), *CELLS))
     pooled = f1(F.sum("pos_pos"), F.sum("neg_pos"), F.sum("pos_neg"))
     folded = cells.groupBy(split).agg(
         F.avg(cell_f1()).alias("macro"), pooled.alias("micro"), per_label.alias("labels"))
+    losses = F.transform("labels", lambda x: entry(F.concat(F.lit("loss_"), x["item"]), x["loss"]))
     entries = F.concat(
         F.array(entry(F.lit("macro_f1"), F.col("macro")), entry(F.lit("micro_f1"), F.col("micro"))),
         F.transform("labels", lambda x: entry(F.concat(F.lit("f1_"), x["label"]), x["f1"])),
         F.flatten(F.transform("labels", lambda x: F.array(*[
-            entry(F.concat(F.lit("confusion_"), x["label"], F.lit(f"_{c}")), x[c]) for c in CELLS]))))
+            entry(F.concat(F.lit("confusion_"), x["label"], F.lit(f"_{c}")), x[c]) for c in CELLS]))),
+        F.when(~F.col(split).isin(*no_loss), losses).otherwise(F.slice(losses, 1, 0)))
     return folded.select(split, F.inline(entries))
 
 
 def evaluate_splits(
     target: DataFrame | None = None, label: DataFrame | None = None,
     score: DataFrame | None = None, rationale: DataFrame | None = None,
-    target_names: Sequence[str] | None = None, split: str = "split",
+    target_names: Sequence[str] | None = None, split: str = "split", target_freqs: Sequence[float] | None = None,
+    no_loss: Sequence[str] = UNTRAINED,
 ) -> DataFrame:
-    """Metrics of every given task per split, as rows (split, name, value).
+    """Metrics and losses of every given task per split, as rows (split, name, value).
 
     ``target`` and ``rationale`` are long predictions, ``label`` has classes ``truth`` and
-    ``pred``, ``score`` has numbers ``truth`` and ``pred``.
+    ``pred`` (and so no loss), ``score`` has numbers ``truth`` and ``pred``.  The splits
+    ``no_loss`` report no losses.
     """
-    def named(df: DataFrame, name: str, value: str) -> DataFrame:
-        return df.select(
+    def named(df: DataFrame, name: str, value: str, loss: bool = False) -> DataFrame:
+        rows = df.filter(~F.col(split).isin(*no_loss)) if loss else df
+        return rows.select(
             split, F.concat(F.col(split), F.lit(f"_{name}")).alias("name"), F.col(value).cast("double").alias("value"))
 
     parts = []
     if target is not None:
-        parts.append(task_metrics(target, "target", target_names, split))
+        parts.append(task_metrics(target, "target", target_names, split, freqs=target_freqs, no_loss=no_loss))
     if label is not None:
         parts.append(named(multiclass_macro_f1(label, by=split), "label_f1", "f1"))
     if score is not None:
-        parts.append(named(mse(score, by=split), "score_mse", "mse"))
+        errors = mse(score, by=split)
+        parts += [named(errors, "score_mse", "mse"), named(errors, "score_loss", "mse", True)]
     if rationale is not None:
         parts.append(named(masked_binary_f1(rationale, by=split), "rationale_f1", "f1"))
+        parts.append(named(focal_loss(rationale, by=split), "rationale_loss", "loss", True))
     if not parts:
         raise ValueError("no predictions given")
     out = parts[0]

@@ -8,13 +8,13 @@ row's number is the size of the cuts before its own plus its rank inside it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from votespan.functions.columns import row_hash
-from votespan.operators.joins import join_small
 
-# Hex digits of the hash prefix: 65,536 cuts of a table, 4,096 of each of its groups.
+# Hex digits of the hash prefix by default: 65,536 cuts of a table, 4,096 of each of its groups.
 TABLE_DIGITS, GROUP_DIGITS = 4, 3
 
 
@@ -50,52 +50,60 @@ def offset_index(
 
 def hash_index(
     df: DataFrame, by: Sequence[str], key: Sequence[str], seed, out: str = "idx", total: str | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
-    """Position in the seeded random order of a unique key, cut by hash prefix."""
+    """Position in the seeded random order of a unique key, cut by hash prefix.
+
+    A task sorts a cut; each more of ``digits`` makes cuts a sixteenth as large.
+    """
     hashed = df.withColumn("_h", row_hash(seed, *key))
     return offset_index(
-        hashed, by, hash_prefix(by), [F.col("_h"), *[F.col(k) for k in key]], out, total).drop("_h")
+        hashed, by, hash_prefix(by, digits), [F.col("_h"), *[F.col(k) for k in key]], out, total).drop("_h")
 
 
-def hash_prefix(by: Sequence[str]) -> Column:
-    return F.substring("_h", 1, GROUP_DIGITS if by else TABLE_DIGITS)
+def hash_prefix(by: Sequence[str], digits: int | None = None) -> Column:
+    return F.substring("_h", 1, digits or (GROUP_DIGITS if by else TABLE_DIGITS))
 
 
-def source_index(df: DataFrame, source: str, key: Sequence[str], seed=0) -> DataFrame:
+def source_index(df: DataFrame, source: str, key: Sequence[str], seed=0, digits: int | None = None) -> DataFrame:
     """Adds ``local_idx`` within its source and ``global_idx`` over all sources.
 
     Sources lie one after another in name order: global = rows of the sources before + local.
     """
-    local = hash_index(df, [source], key, seed, "local_idx")
+    local = hash_index(df, [source], key, seed, "local_idx", digits=digits)
     sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
         F.col(source).alias("_source"),
         (F.sum("_n").over(Window.orderBy(source)) - F.col("_n")).alias("_offset"))
-    return (join_small(local, offsets, F.col(source).eqNullSafe(F.col("_source")))
+    return (local.join(offsets, F.col(source).eqNullSafe(F.col("_source")))
             .withColumn("global_idx", F.col("_offset") + F.col("local_idx"))
             .drop("_offset", "_source"))
 
 
 def assign_batches(
-    df: DataFrame, key: Sequence[str], size: int, seed=0, drop_last: bool = False,
+    df: DataFrame, key: Sequence[str], size: int, seed=0, drop_last: bool = False, digits: int | None = None,
 ) -> DataFrame:
-    """Adds ``batch``: consecutive rows of a seeded random order, ``size`` to a batch."""
-    rows = hash_index(df, [], key, seed, "_idx", total="_total")
-    if drop_last:
-        rows = rows.filter(F.col("_idx") < F.col("_total") - F.col("_total") % size)
-    return rows.withColumn("batch", F.floor(F.col("_idx") / size)).drop("_idx", "_total")
-
+    """Adds ``batch``: consecutive rows of a seeded random order, ``size`` to a batch.
 
-SALTS = 64
+    Keys alone are ranked; the rows then meet their batch number.
+    """
+    places = hash_index(df.select(*key), [], key, seed, "_idx", total="_total", digits=digits)
+    if drop_last:
+        places = places.filter(F.col("_idx") < F.col("_total") - F.col("_total") % size)
+    batches = places.select(*[F.col(k).alias(f"_{k}") for k in key], F.floor(F.col("_idx") / size).alias("batch"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    return df.join(batches, same).drop(*[f"_{k}" for k in key])
 
 
-def newest(df: DataFrame, by: Sequence[str], order: Sequence[Column], key: str, n: int) -> DataFrame:
+def newest(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], key: str, n: int, salts: int = 64,
+) -> DataFrame:
     """The first n rows per group along ``order``.
 
-    Ranked first among salted parts of a group, then among their winners, so no task
-    sorts more than a 64th of a group.
+    Ranked first among ``salts`` parts of a group, then among their winners, so no task
+    sorts a whole group.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
     some = Window.partitionBy(*by, "_salt").orderBy(*order)
     rest = salted.withColumn("_rn", F.row_number().over(some)).filter(F.col("_rn") <= n)
     every = Window.partitionBy(*by).orderBy(*order)
@@ -105,7 +113,7 @@ def newest(df: DataFrame, by: Sequence[str], order: Sequence[Column], key: str,
 
 def beyond_n_latest(df: DataFrame, by: Sequence[str], order: Sequence[Column], key: str, n: int) -> DataFrame:
     """Rows outside the n newest of their group: those whose (unique) key is not among them."""
-    return join_small(df, newest(df, by, order, key, n).select(key), key, "left_anti")
+    return df.join(newest(df, by, order, key, n).select(key), key, "left_anti")
 
 
 def runs_table(df: DataFrame, by: Sequence[str], pos: str, flag: str, step: int = 4096) -> DataFrame:

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from votespan.functions.columns import row_hash
-from votespan.operators.joins import settle
 from votespan.operators.positions import cut_starts, hash_index, hash_prefix, with_cut
 
 
@@ -40,13 +39,17 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str], seed) -> DataFrame:
 def split_column(key: Sequence[str], weights: Mapping[str, float], seed=None) -> Column:
     """Name of the split a row falls in, from its key's hash: no sort, no shuffle."""
     total = float(sum(weights.values()))
+    names = [n for n, w in weights.items() if w]
+    if any(w < 0 for w in weights.values()) or not names:
+        raise ValueError("weights must not be negative, nor all 0")
     digits = F.substring(F.md5(F.concat_ws(":", *([F.lit(str(seed))] if seed is not None else []),
                                            *[F.col(k).cast("string") for k in key])), 1, 4)
-    names, out, passed = list(weights), None, 0.0
+    place = F.conv(digits, 16, 10).cast("int")
+    out, passed = None, 0.0
     for name in names[:-1]:
         passed += weights[name]
-        edge = F.lit(f"{round(passed / total * 65536):04x}")
-        out = F.when(digits < edge, name) if out is None else out.when(digits < edge, name)
+        below = place < round(passed / total * 65536)
+        out = F.when(below, name) if out is None else out.when(below, name)
     return F.lit(names[0]) if out is None else out.otherwise(names[-1])
 
 
@@ -79,7 +82,8 @@ def balanced_sample(
     n rows in total (the smallest source's size by default), or n of each source: the first
     of a seeded random order.  Two passes over the keys find the last row each source
     gives: counts per hash prefix tell which prefix its quota ends in, and only the rows
-    with that prefix are ranked.  The rows themselves are then filtered, never shuffled.
+    with that prefix are ranked.  The rows then meet the one row of their source.  Fails if
+    the last key of a source is not unique.
     """
     hashed = df.withColumn("_h", row_hash(seed, *key))
     cut = with_cut(hashed, [source], hash_prefix([source]))
@@ -89,17 +93,19 @@ def balanced_sample(
         F.collect_list(F.struct(F.col("_cut._coarse").alias("at"), F.col("_start").alias("start"), F.col("_n").alias("n"))).alias("cuts"))
     quota = F.col("quota")
     edge = F.filter("cuts", lambda c: (c["start"] < quota) & (c["start"] + c["n"] >= quota))
-    edges = settle(_quotas(cuts, n, per_source).withColumn("e", F.try_element_at(edge, F.lit(1))).select(
+    edges = (_quotas(cuts, n, per_source).withColumn("e", F.try_element_at(edge, F.lit(1))).select(
         "_source", (quota > F.col("size")).alias("_all"), F.col("e.at").alias("_edge"),
         (quota - F.col("e.start")).alias("_left")))
     same = F.col(source).eqNullSafe(F.col("_source"))
     order = ["_h", *key]
     rank = F.row_number().over(Window.partitionBy("_source").orderBy(*order))
+    twice = F.lead(F.struct(*order)).over(Window.partitionBy("_source").orderBy(*order)) == F.struct(*order)
     last = (cut.select(source, "_cut", *order).join(edges, same).filter(F.col("_cut._coarse") == F.col("_edge"))
-            .withColumn("_rank", rank).filter(F.col("_rank") == F.col("_left"))
-            .select("_source", F.struct(*order).alias("_last")))
+            .withColumns({"_rank": rank, "_twice": F.coalesce(twice, F.lit(False))}).filter(F.col("_rank") == F.col("_left"))
+            .select("_source", F.when(F.col("_twice"), F.raise_error(F.lit("the key is not unique"))).otherwise(
+                F.struct(*order)).alias("_last")))
     whole = edges.filter("_all").select("_source", F.lit(None).cast(last.schema["_last"].dataType).alias("_last"))
-    limits = settle(last.unionByName(whole))
+    limits = last.unionByName(whole)
     kept = F.col("_last").isNull() | (F.struct(*order) <= F.col("_last"))
     return hashed.join(limits, same).filter(kept).drop("_h", "_source", "_last")
 
@@ -117,14 +123,18 @@ def balanced_draws(
 
     Adds ``draw`` (0 .. n-1).  A draw hashes to a source and to a position in it, and finds
     the key at that position in an equality join over keys alone; the drawn keys then
-    fetch their rows.  n defaults to the smallest source's size.
+    fetch their rows.  n defaults to the smallest source's size: its rows number the draws.
     """
     sizes = source_sizes(df, source).withColumnRenamed(source, "_source")
-    quotas = settle(_quotas(sizes, n, False).select("_source", "size", "nth"))
+    quotas = _quotas(sizes, n, False).select("_source", "size", "nth")
     placed = hash_index(df.select(source, *key), [source], key, seed, "_idx")
-    sources, smallest = quotas.agg(F.count(F.lit(1)), F.min("size")).first()
-    draws = df.sparkSession.range(smallest if n is None else n).withColumnRenamed("id", "draw")
-    aimed = draws.withColumn("_nth", _draw(seed, "source", F.col("draw"), F.lit(sources))).join(
+    if n is None:
+        smallest = quotas.agg(F.min_by("_source", F.struct("size", "nth"))).scalar()
+        draws = placed.filter(F.col(source).eqNullSafe(smallest)).select(F.col("_idx").alias("draw"))
+    else:
+        draws = df.sparkSession.range(n).withColumnRenamed("id", "draw")
+    sources = quotas.agg(F.count(F.lit(1))).scalar()
+    aimed = draws.withColumn("_nth", _draw(seed, "source", F.col("draw"), sources)).join(
         quotas, F.col("_nth") == F.col("nth")).select(
         "draw", "_source", _draw(seed, "row", F.col("draw"), F.col("size")).alias("_at"))
     drawn = placed.join(

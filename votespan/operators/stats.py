@@ -14,8 +14,14 @@ def avg_cols(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def avg_map(df: DataFrame, col: str) -> DataFrame:
-    """Per map key: sum of its values divided by the number of rows of the table."""
+def avg_map(df: DataFrame, col: str, keys: Sequence | None = None) -> DataFrame:
+    """Per map key: sum of its values divided by the number of rows of the table.
+
+    With ``keys`` one row, an array ``values`` in their order; a key nobody has counts 0.
+    """
+    if keys is not None:
+        return df.agg(F.array(*[
+            F.coalesce(F.sum(F.try_element_at(col, F.lit(k))), F.lit(0.0)) / F.count(F.lit(1)) for k in keys]).alias("values"))
     sums = (map_to_pairs(df, [], col)
             .groupBy(F.col("k").alias("key")).agg(F.sum("v").alias("total")))
     rows = df.agg(F.count(F.lit(1))).scalar()

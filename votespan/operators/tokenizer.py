@@ -23,6 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The special tokens of the public uncased vocabularies.
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
+# The published default: longer words are unknown.
 LONGEST_WORD = 100
 MEMO_SIZE = 200_000
 WORD_PATTERN = r"([\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r])"
@@ -84,7 +85,7 @@ def _is_sign(ch: str) -> bool:
 BLANK_FREE = re.compile("[^ \t\n\r   -     　]+")
 
 
-def pieces_of(chunk: str, vocab: dict[str, int], strip_accents: bool) -> list[tuple[int, int, int]]:
+def pieces_of(chunk: str, vocab: dict[str, int], strip_accents: bool, longest_word: int | None = LONGEST_WORD) -> list[tuple[int, int, int]]:
     """(id, start, end) of a blank-free stretch of text, ends counted in its characters."""
     words: list[list[tuple[str, int]]] = [[]]
     for at, ch in enumerate(chunk):
@@ -102,16 +103,16 @@ def pieces_of(chunk: str, vocab: dict[str, int], strip_accents: bool) -> list[tu
                     words[-1].append((low, at))
     out = []
     for word in words:
-        out.extend(_longest_pieces(word, vocab))
+        out.extend(_longest_pieces(word, vocab, longest_word))
     return out
 
 
-def _longest_pieces(word: list[tuple[str, int]], vocab: dict[str, int]) -> list[tuple[int, int, int]]:
+def _longest_pieces(word: list[tuple[str, int]], vocab: dict[str, int], longest_word: int | None) -> list[tuple[int, int, int]]:
     if not word:
         return []
     letters = "".join(c for c, _ in word)
     unknown = [(vocab["[UNK]"], word[0][1], word[-1][1] + 1)]
-    if len(letters) > LONGEST_WORD:
+    if longest_word is not None and len(letters) > longest_word:
         return unknown
     found, start = [], 0
     while start < len(letters):
@@ -133,8 +134,8 @@ class PiecePool:
     and the end sign.
     """
 
-    def __init__(self, vocab: dict[str, int], strip_accents: bool):
-        self.vocab, self.strip_accents = vocab, strip_accents
+    def __init__(self, vocab: dict[str, int], strip_accents: bool, longest_word: int | None):
+        self.vocab, self.strip_accents, self.longest_word = vocab, strip_accents, longest_word
         self.reset()
 
     def reset(self) -> None:
@@ -144,7 +145,7 @@ class PiecePool:
         self.pieces = np.zeros((0, 3), np.int32)  # id, start, end
 
     def add(self, chunk: str) -> int:
-        found = pieces_of(chunk, self.vocab, self.strip_accents)
+        found = pieces_of(chunk, self.vocab, self.strip_accents, self.longest_word)
         n = self.number[chunk] = len(self.count)
         self.count.append(len(found))
         self.fresh += found
@@ -173,6 +174,7 @@ def _lists(values: pa.Array, bounds: np.ndarray, nulls: np.ndarray) -> pa.Array:
 
 def wordpiece_udf(
     vocab: dict[str, int], max_length: int | None = None, strip_accents: bool = True, broadcast: Callable = lambda v: v,
+    longest_word: int | None = LONGEST_WORD,
 ):
     """Arrow UDF text -> struct<tokens, offsets>; the vocabulary travels as a broadcast.
 
@@ -182,7 +184,7 @@ def wordpiece_udf(
 
     @F.arrow_udf("tokens array<int>, offsets array<struct<start:int,end:int>>")
     def tokenize_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pool = PiecePool(shared.value if hasattr(shared, "value") else shared, strip_accents)
+        pool = PiecePool(shared.value if hasattr(shared, "value") else shared, strip_accents, longest_word)
         room = None if max_length is None else max(max_length - 2, 0)
         for texts in batches:
             if len(pool.number) >= MEMO_SIZE:
@@ -246,13 +248,16 @@ def valid_runs(tokens: Column, tail_plus_one: bool = False) -> Column:
 def tokenize(
     df: DataFrame, text: str, vocab: DataFrame | dict[str, int], max_length: int | None = None,
     strip_accents: bool = True, tail_plus_one: bool = False, keep: Sequence[str] | None = None,
+    longest_word: int | None = LONGEST_WORD, vocab_limit: int = 1_000_000,
 ) -> DataFrame:
     """Adds ``tokens``, ``mask`` (valid runs) and ``offsets`` (character spans).
 
-    Null text gives nulls.  ``max_length`` cuts a row, specials included.
+    Null text gives nulls.  ``max_length`` cuts a row, specials included; words of more than
+    ``longest_word`` characters are unknown; a vocabulary table of more than ``vocab_limit``
+    rows is refused, for it is sent to every task.
     """
-    words = vocab if isinstance(vocab, dict) else vocab_dict(vocab)
+    words = vocab if isinstance(vocab, dict) else vocab_dict(vocab, vocab_limit)
     share = df.sparkSession.sparkContext.broadcast
     keys = [c for c in (keep or df.columns)]
-    out = map_batches(df, wordpiece_udf(words, max_length, strip_accents, share), keys, [text])
+    out = map_batches(df, wordpiece_udf(words, max_length, strip_accents, share, longest_word), keys, [text])
     return out.select(*keys, "tokens", valid_runs(F.col("tokens"), tail_plus_one).alias("mask"), "offsets")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from votespan.functions.arrays import densify, pad, spans_to_mask
 from votespan.operators.batches import complete_batches, pad_length
@@ -26,7 +26,7 @@ def build_batches(
     balanced: bool = True, replacement: bool = False, drop_last: bool = True, complete: bool = True,
     max_length: int | None = None,
 ) -> DataFrame:
-    """Rows with ``source``, ``batch``, ``length`` and dense arrays.
+    """Rows with ``source``, ``batch``, ``size`` (rows of the source in the batch), ``length`` and dense arrays.
 
     Several datasets are sampled evenly if ``balanced`` (with or without replacement) and
     mixed into common batches; padding goes to the longest row of the same source in the
@@ -41,4 +41,5 @@ def build_batches(
     rows = assign_batches(rows, keys, size, seed, drop_last)
     if complete and len(datasets) > 1:
         rows = complete_batches(rows, "batch", "source", list(datasets))
+    rows = rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("batch", "source")))
     return dense(pad_length(rows, ["batch", "source"], fixed=max_length))

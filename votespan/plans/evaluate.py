@@ -3,54 +3,118 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from votespan.functions.columns import argmax, gate_tokens
-from votespan.operators.metrics import evaluate_splits
+from votespan.operators.metrics import CELLS, EPS, UNTRAINED, binary_f1, f1, focal, softplus
 
 
-def long_targets(outputs: DataFrame, keys: Sequence[str], logits: str, truths: str) -> DataFrame:
-    """Arrays of logits and truths to one row per item."""
-    pairs = F.zip_with(
-        F.col(logits).cast("array<double>"), F.col(truths).cast("array<double>"),
-        lambda z, y: F.struct(z.alias("logit"), y.alias("truth")))
-    return outputs.select(*keys, F.posexplode(pairs).alias("item", "_p")).select(*keys, "item", "_p.*")
+def _cells(hard: Column, pred: Column, on: Column) -> list[Column]:
+    """1 in the confusion cell a pair falls in, 0 in the others."""
+    sides = {"neg": lambda x: ~x, "pos": lambda x: x}
+    return [(sides[c[:3]](hard) & sides[c[4:]](pred) & on).cast("bigint").alias(c) for c in CELLS]
 
 
-def long_tokens(outputs: DataFrame, keys: Sequence[str], logits: str, truths: str, mask: str, label_scores: str) -> DataFrame:
-    """Token arrays to one row per token; a token is masked in if it is valid and one of
-    its post's first two label scores is above 0."""
-    gated = gate_tokens(F.col(mask), [F.get(label_scores, F.lit(i)) for i in (0, 1)])
-    tokens = F.transform(F.col(logits), lambda z, i: F.struct(
-        z.cast("double").alias("logit"), F.get(truths, i).cast("double").alias("truth"),
-        F.get("_gated", i).alias("mask")))
-    return outputs.withColumn("_gated", gated).select(*keys, F.posexplode(tokens).alias("pos", "_t")).select(
-        *keys, "pos", "_t.*")
+def _item_sums(n: int, logits: str, truths: str, name: str) -> list[Column]:
+    """Per item of two arrays the confusion counts and both halves of the log loss."""
+    out = []
+    for i in range(n):
+        z, y = F.get(logits, F.lit(i)).cast("double"), F.get(truths, F.lit(i)).cast("double")
+        sums = [F.sum(c) for c in _cells(y > 0.5, z > 0, F.lit(True))]
+        out.append(F.struct(
+            *[c.alias(k) for c, k in zip(sums, CELLS)], F.sum(y * softplus(-z)).alias("pos_loss"),
+            F.sum((1.0 - y) * softplus(z)).alias("neg_loss"), F.count(z * y).alias("n")).alias(f"{name}_{i}"))
+    return out
 
 
-def label_classes(outputs: DataFrame, keys: Sequence[str], logits: str, truths: str) -> DataFrame:
-    """Best class of the logits and of the truth scores."""
-    return outputs.select(*keys, argmax(F.col(logits)).alias("pred"), argmax(F.col(truths)).alias("truth"))
+def _token_sums(logits: str, truths: str, mask: Column, alpha: float, gamma: float) -> Column:
+    """Confusion counts, focal loss and number of a row's masked tokens."""
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in CELLS], F.lit(0.0).alias("loss"), F.lit(0.0).alias("n"))
+    tokens = F.transform(logits, lambda z, i: F.struct(
+        z.cast("double").alias("z"), F.get(truths, i).cast("double").alias("y"), F.coalesce(F.get(mask, i), F.lit(False)).alias("m")))
+
+    def add(acc: Column, t: Column) -> Column:
+        counted = _cells(t["y"] > 0.5, t["z"] > 0, t["m"])
+        return F.struct(
+            *[(acc[c] + F.coalesce(x, F.lit(0))).alias(c) for c, x in zip(CELLS, counted)],
+            (acc["loss"] + F.when(t["m"], F.coalesce(focal(t["z"], t["y"], alpha, gamma), F.lit(0.0))).otherwise(0.0)).alias("loss"),
+            (acc["n"] + t["m"].cast("double")).alias("n"))
+
+    return F.aggregate(tokens, zero, add)
 
 
 def evaluate(
-    outputs: DataFrame, target_names: Sequence[str] | None = None, split: str = "split",
+    outputs: DataFrame, target_names: Sequence[str] | None = None, split: str = "split", n_labels: int = 3,
+    target_freqs: Sequence[float] | None = None, label_freqs: Sequence[float] | None = None,
+    alpha: float = 0.8, gamma: float = 2.0, no_loss: Sequence[str] = UNTRAINED,
 ) -> DataFrame:
-    """(split, name, value) of the tasks whose output columns are there.
+    """(split, name, value) of the tasks whose output columns are there, in one grouping.
 
-    Columns by task: ``target_logits``/``target``, ``label_logits``/``label``,
-    ``score_pred``/``score`` and ``rationale_logits``/``rationale``/``mask`` (dense token
-    arrays, with ``label`` scores).
+    Columns by task: ``target_logits``/``target`` (as many as ``target_names``),
+    ``label_logits``/``label`` (``n_labels``), ``score_pred``/``score`` and
+    ``rationale_logits``/``rationale``/``mask`` (dense token arrays, with ``label`` scores).
+    Every metric and loss is a sum over rows: nothing is exploded, and the table is read once.
+    Shares of positives weigh the log losses; the splits ``no_loss`` report no losses.
     """
-    have, keys, tasks = set(outputs.columns), [split], {}
+    have, names = set(outputs.columns), list(target_names or [])
+    rows, sums, entries = outputs, [], []
+
+    def entry(name: str, value: Column, loss: bool = False) -> None:
+        shown = F.when(~F.col(split).isin(*no_loss), value) if loss else value
+        entries.append(F.struct(
+            F.concat(F.col(split), F.lit(f"_{name}")).alias("name"), shown.cast("double").alias("value"),
+            F.lit(True if not loss else False).alias("always")))
+
+    def log_loss(s: Column, share: float | None) -> Column:
+        weight = 1.0 if share is None else (1.0 - share) / (share + EPS)
+        return weight * s["pos_loss"] + s["neg_loss"]
+
     if {"target_logits", "target"} <= have:
-        tasks["target"] = long_targets(outputs, keys, "target_logits", "target")
+        if not names:
+            raise ValueError("targets need their names")
+        sums += _item_sums(len(names), "target_logits", "target", "target")
+        items = [F.col(f"target_{i}") for i in range(len(names))]
+        scores = [f1(s["pos_pos"], s["neg_pos"], s["pos_neg"]) for s in items]
+        entry("target_macro_f1", reduce(add, scores) / len(names))
+        entry("target_micro_f1", f1(*[reduce(add, [s[c] for s in items]) for c in ("pos_pos", "neg_pos", "pos_neg")]))
+        for i, (name, s) in enumerate(zip(names, items)):
+            entry(f"target_f1_{name}", scores[i])
+            for c in CELLS:
+                entry(f"target_confusion_{name}_{c}", s[c])
+            entry(f"target_loss_{i}", F.try_divide(log_loss(s, target_freqs[i] if target_freqs else None), s["n"]), True)
     if {"label_logits", "label"} <= have:
-        tasks["label"] = label_classes(outputs, keys, "label_logits", "label")
+        rows = rows.withColumns({"_guess": argmax(F.col("label_logits")), "_class": argmax(F.col("label"))})
+        sums += _item_sums(n_labels, "label_logits", "label", "label")
+        k = range(n_labels)
+        sums += [F.count_if((F.col("_class") == i) & (F.col("_guess") == j)).alias(f"seen_{i}_{j}") for i in k for j in k]
+
+        def total(pairs):
+            return reduce(add, [F.col(f"seen_{i}_{j}") for i, j in pairs], F.lit(0))
+
+        classes = [(F.col(f"seen_{i}_{i}"), total([(j, i) for j in k if j != i]), total([(i, j) for j in k if j != i])) for i in k]
+        there = [(tp + fp + fn > 0).cast("int") for tp, fp, fn in classes]
+        entry("label_f1", F.try_divide(reduce(add, [f1(*c) for c in classes]), reduce(add, there)))
+        labels = [F.col(f"label_{i}") for i in k]
+        entry("label_loss", F.try_divide(
+            reduce(add, [log_loss(s, label_freqs[i] if label_freqs else None) for i, s in enumerate(labels)]),
+            reduce(add, [s["n"] for s in labels])), True)
     if {"score_pred", "score"} <= have:
-        tasks["score"] = outputs.select(
-            *keys, F.col("score_pred").alias("pred"), F.col("score").alias("truth"))
+        gap = F.col("score_pred").cast("double") - F.col("score").cast("double")
+        sums.append(F.avg(gap * gap).alias("_gap"))
+        entry("score_mse", F.col("_gap"))
+        entry("score_loss", F.col("_gap"), True)
     if {"rationale_logits", "rationale", "mask", "label"} <= have:
-        tasks["rationale"] = long_tokens(outputs, keys, "rationale_logits", "rationale", "mask", "label")
-    return evaluate_splits(**tasks, target_names=target_names, split=split)
+        gated = gate_tokens(F.col("mask"), [F.get("label", F.lit(i)) for i in (0, 1)])
+        rows = rows.withColumn("_gated", gated).withColumn(
+            "_tokens", _token_sums("rationale_logits", "rationale", F.col("_gated"), alpha, gamma))
+        sums += [F.sum(f"_tokens.{c}").alias(c) for c in CELLS] + [F.sum("_tokens.loss").alias("_focal"), F.sum("_tokens.n").alias("_masked")]
+        entry("rationale_f1", binary_f1())
+        entry("rationale_loss", F.col("_focal") / (F.col("_masked") + EPS), True)
+    if not entries:
+        raise ValueError("no task has its columns")
+    folded = rows.groupBy(split).agg(*sums)
+    return folded.select(split, F.inline(F.array(*entries))).filter(
+        F.col("always") | ~F.col(split).isin(*no_loss)).drop("always")

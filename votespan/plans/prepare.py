@@ -19,18 +19,10 @@ from votespan.operators.votes import (
 )
 from votespan.sources.datasets import Catalog, no_stats, read_dataset, read_input, write_splits, write_stats
 
-# The classes of the annotated corpus.
-CATEGORIES = {
-    "target": [
-        "African", "Arab", "Asian", "Caucasian", "Hispanic",
-        "Homosexual", "Islam", "Jewish", "Other", "Refugee", "Women",
-    ],
-    "label": ["hatespeech", "offensive", "normal"],
-}
 ROUNDED = ("target", "label", "rationale")
 
 
-def label_votes(votes: DataFrame, key: str, cats: Mapping[str, Sequence[str]] = CATEGORIES, rounded: Sequence[str] = ROUNDED) -> DataFrame:
+def label_votes(votes: DataFrame, key: str, cats: Mapping[str, Sequence[str]], rounded: Sequence[str] = ROUNDED) -> DataFrame:
     """Votes in long form (key, label, targets) to label and target columns, in one grouping."""
     shares = vote_shares(votes, key, {
         "label": (is_label("label"), cats["label"]),
@@ -39,7 +31,7 @@ def label_votes(votes: DataFrame, key: str, cats: Mapping[str, Sequence[str]] =
     return majority(shares, [c for g in ("label", "target") if g in rounded for c in category_columns(cats[g], g)])
 
 
-def label_posts(posts: DataFrame, cats: Mapping[str, Sequence[str]] = CATEGORIES, rounded: Sequence[str] = ROUNDED) -> DataFrame:
+def label_posts(posts: DataFrame, cats: Mapping[str, Sequence[str]], rounded: Sequence[str] = ROUNDED) -> DataFrame:
     """The same for posts that carry their votes in ``annotators``: no shuffle at all."""
     share = {"label": lambda c: nested_label_share(F.col("annotators"), "label", c),
              "target": lambda c: nested_target_share(F.col("annotators"), "target", c)}
@@ -50,13 +42,14 @@ def label_posts(posts: DataFrame, cats: Mapping[str, Sequence[str]] = CATEGORIES
 
 
 def prepare_annotated(
-    posts: DataFrame, vocab: DataFrame | dict[str, int], cats: Mapping[str, Sequence[str]] = CATEGORIES,
-    rounded: Sequence[str] = ROUNDED, max_length: int | None = 128, strip_accents: bool = True,
+    posts: DataFrame, vocab: DataFrame | dict[str, int], cats: Mapping[str, Sequence[str]],
+    rounded: Sequence[str] = ROUNDED, max_length: int | None = None, strip_accents: bool = True,
     denominator: str = "nonzero", skip_empty: bool = False, tail_plus_one: bool = False,
 ) -> DataFrame:
     """Annotated posts to (post_id, label_*, target_*, tokens, mask, rationale).
 
-    Input columns are post_id, annotators, rationales and post_tokens.  Each output row
+    Input columns are post_id, annotators, rationales and post_tokens; ``cats`` names the
+    categories of ``label`` and ``target``.  ``max_length`` cuts texts.  Each output row
     comes from its own input row, so the plan has no shuffle; only the tokeniser leaves
     the JVM.
     """
@@ -78,7 +71,7 @@ def prepare_annotated(
 
 def prepare_scored(
     comments: DataFrame, vocab: DataFrame | dict[str, int], key: str = "comment_id", score: str = "score",
-    max_length: int | None = 128, strip_accents: bool = True, tail_plus_one: bool = False,
+    max_length: int | None = None, strip_accents: bool = True, tail_plus_one: bool = False,
 ) -> DataFrame:
     """Scored comments to (key, score, tokens, mask, offsets), one row per comment."""
     once = dedupe_mean(comments, key, score)
@@ -93,28 +86,24 @@ def join_labelled(posts: DataFrame, labels: DataFrame, rationale: DataFrame, key
 
 @dataclass(frozen=True)
 class Preparation:
-    """What ``run_prepare`` does for a dataset name."""
+    """What ``run_prepare`` does: ``kind`` annotated (options need ``cats``) or scored."""
 
     kind: str
     key: str
     options: dict = field(default_factory=dict)
 
 
-PREPARATIONS = {
-    "explain": Preparation("annotated", "post_id"),
-    "measuring": Preparation("scored", "comment_id"),
-}
-
-
 def run_prepare(
     spark: SparkSession, catalog: Catalog, name: str, vocab: DataFrame | dict[str, int],
-    weights: Mapping[str, float] = SPLITS, seed=None, preparation: Preparation | None = None,
+    preparation: Preparation, weights: Mapping[str, float] = SPLITS, seed=None,
 ) -> DataFrame:
     """Reads a dataset's input, prepares it, writes its splits and statistics.
 
     The prepared rows are written once; statistics are taken from what was written.
     """
-    plan = preparation or PREPARATIONS[name]
+    plan = preparation
+    if plan.kind not in ("annotated", "scored"):
+        raise ValueError(plan.kind)
     raw = read_input(spark, catalog, name)
     if plan.kind == "annotated":
         ready = prepare_annotated(raw, vocab, **plan.options)
@@ -123,7 +112,7 @@ def run_prepare(
     write_splits(with_split(ready, [plan.key], weights, seed), catalog, name)
     written = read_dataset(spark, catalog, name)
     if plan.kind == "annotated":
-        cats = plan.options.get("cats", CATEGORIES)
+        cats = plan.options["cats"]
         write_stats(dataset_stats(
             written, category_columns(cats["label"], "label"), category_columns(cats["target"], "target")),
             catalog, name)

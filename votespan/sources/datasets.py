@@ -29,15 +29,6 @@ class Catalog:
         return self.stats_path.format(root=self.root, name=name)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores by a unique key, where the files give fewer tasks than that.
-
-    For costly work per row on small or unsplittable files; large inputs stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_input(spark: SparkSession, catalog: Catalog, name: str) -> DataFrame:
     return spark.read.parquet(catalog.input(name))
 
@@ -47,8 +38,8 @@ def write_input(df: DataFrame, catalog: Catalog, name: str) -> None:
 
 
 def write_splits(df: DataFrame, catalog: Catalog, name: str, split: str = "split") -> None:
-    """All splits in one pass, a folder each."""
-    df.write.mode("overwrite").partitionBy(split).parquet(catalog.output(name))
+    """All splits in one pass, a folder each; rows meet by split, a large one in several tasks."""
+    df.hint("rebalance", F.col(split)).write.mode("overwrite").partitionBy(split).parquet(catalog.output(name))
 
 
 def read_dataset(spark: SparkSession, catalog: Catalog, name: str, split: str | None = None) -> DataFrame:

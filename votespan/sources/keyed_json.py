@@ -23,14 +23,19 @@ def read_keyed_json(spark: SparkSession, path: str, value_schema: T.StructType =
     Without ``first_member`` a file is parsed as a whole, by one task each: right for a
     folder of moderate files.  If every value starts with the same member, naming it lets
     Spark cut files of any size at its occurrences and parse the pieces in parallel.  (A
-    quoted member name cannot occur inside a JSON string, where quotes are escaped.)
+    quoted member name cannot occur inside a JSON string, where quotes are escaped.)  A piece
+    that does not stop at the opening brace of the next value, or at the end, fails the read:
+    some value starts with another member then.
     """
     if first_member is None:
         whole = spark.read.text(path, wholetext=True)
         entries = F.from_json("value", T.MapType(T.StringType(), value_schema), {"mode": "FAILFAST"})
         return whole.select(F.explode(F.map_values(entries)).alias("v")).select("v.*")
     name = f'"{first_member}"'
-    pieces = spark.read.option("lineSep", name).text(path).filter(F.col("value").rlike(r"^\s*:"))
+    pieces = spark.read.option("lineSep", name).text(path)
+    whole = F.col("value").rlike(r"\{\s*$|\}\s*\}\s*$|^\s*(\{\s*\})?\s*$")
+    checked = F.when(whole, F.col("value")).otherwise(F.raise_error(F.lit(f"a value does not start with {name}")))
+    pieces = pieces.select(checked.alias("value")).filter(F.col("value").rlike(r"^\s*:"))
     # The parser stops at the end of the first object, so what follows it may stay.
     value = F.from_json(F.concat(F.lit("{" + name), F.col("value")), value_schema, {"mode": "FAILFAST"})
     return pieces.select(value.alias("v")).select("v.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,20 +26,28 @@ def write_results(metrics: DataFrame, path: str, names: Sequence[str] | None = N
 
 
 def read_results(spark: SparkSession, glob: str) -> DataFrame:
-    """Many wide CSVs with different columns as rows (file, name, value).
+    """CSVs with a header each, of different columns, as rows (file, name, value).
 
-    A file is a header and a row, so it is read as one text and laid out in its row: one
-    plan for any number of files and any columns.
+    The header lines are compared first; files with the same one are then read together by
+    Spark's reader.  Cells that are no numbers fail the read, empty ones are null.
     """
-    lines = F.split(F.rtrim(F.regexp_replace("value", "\r", ""), F.lit("\n")), "\n")
-    files = spark.read.text(glob.split(",") if "," in glob else glob, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), lines.alias("lines")).filter(F.size("lines") > 1)
-    cells = F.zip_with(
-        F.split(F.col("lines")[0], ","), F.split(F.col("lines")[1], ","),
-        lambda n, v: F.struct(n.alias("name"), v.try_cast("double").alias("value")))
-    return files.select("file", F.inline(cells))
-
-
-def read_runs(runs: DataFrame, experiment, limit: int = 50_000) -> DataFrame:
-    """The newest runs of an experiment, at most ``limit``."""
-    return runs.filter(F.col("experiment") == experiment).orderBy(F.desc("start_time"), "run_id").limit(limit)
+    paths = glob.split(",") if "," in glob else [glob]
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("nth"), "value")
+    first = lines.groupBy("file").agg(F.min_by("value", F.struct("at", "nth")).alias("header"))
+    # One row for each set of columns, with its files' names.
+    kinds = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    parts = []
+    for kind in kinds:
+        wide = spark.read.option("header", True).option("escape", '"').csv(kind["files"]).withColumn("_file", F.col("_metadata.file_path"))
+        parts.append(wide_to_long(wide, ["_file"]).withColumnRenamed("_file", "file"))
+    if not parts:
+        return spark.createDataFrame([], "file string, name string, value double")
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def read_runs(runs: DataFrame, experiment, limit: int | None = None) -> DataFrame:
+    """The runs of an experiment; with ``limit`` only so many of the newest."""
+    found = runs.filter(F.col("experiment") == experiment)
+    return found if limit is None else found.orderBy(F.desc("start_time"), "run_id").limit(limit)

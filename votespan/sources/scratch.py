@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,12 +10,15 @@ from pyspark.sql import SparkSession
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only when that setting is absent *and* the whole
-    session runs on this machine.
+    Without that setting it lies in the warehouse, the other folder that driver and executors
+    share.  What an application puts there goes when it ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="votespan-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    root = root or spark.conf.get("spark.sql.warehouse.dir")
+    own = context._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/votespan-{context.applicationId}")
+    files = own.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(own):
+        files.mkdirs(own)
+        files.deleteOnExit(own)
+    return f"{own.toString()}/{name}-{uuid.uuid4().hex}"

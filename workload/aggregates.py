@@ -10,10 +10,10 @@ from votespan.operators.stats import avg_cols, avg_map, dataset_stats, pos_weigh
 from votespan.operators.votes import (
     agg_cols, dedupe_mean, is_tie, majority, nested_consensus, rationale_consensus, vote_share, vote_share_multi,
 )
-from votespan.plans.prepare import CATEGORIES, label_posts
+from votespan.plans.prepare import label_posts
 from workload.registry import query, table
 from workload.tables import (
-    FLAGS, FLAG_TARGETS, LABELS, MARKS, POST_VOTES, PRED, VOTES, WORDS, posts, predictions, rationales, votes, word_lists,
+    CATEGORIES, FLAGS, FLAG_TARGETS, LABELS, MARKS, POST_VOTES, PRED, VOTES, WORDS, posts, predictions, rationales, votes, word_lists,
 )
 
 LABEL_COLS = category_columns(FLAGS, "label")
@@ -65,7 +65,7 @@ DOC_COLS = category_columns(LABELS, "label") + category_columns(CATEGORIES["targ
 @query("a3_nested_vote_share", f"with {POST_VOTES} select doc_id, {_docs_cats} from post_votes group by 1")
 def a3_nested(spark, sf):
     """The in-row form, on posts that carry their votes."""
-    return label_posts(posts(spark, sf)).select(F.col("post_id").cast("bigint").alias("doc_id"), *DOC_COLS)
+    return label_posts(posts(spark, sf), CATEGORIES).select(F.col("post_id").cast("bigint").alias("doc_id"), *DOC_COLS)
 
 
 @query("a4_majority", f"""with {VOTES}, m as (select post_id, {share_sql(FLAGS, 'label', IS_LABEL, 'round({})')} from votes group by 1)
@@ -125,7 +125,7 @@ def a11(spark, sf):
 
 def labelled_docs(spark, sf):
     """Documents with labels, targets, rationale per word and one valid run over the words."""
-    return label_posts(posts(spark, sf)).select(
+    return label_posts(posts(spark, sf), CATEGORIES).select(
         "post_id", *DOC_COLS, nested_consensus(F.col("rationales")).alias("rationale"),
         F.array(F.struct(F.lit(0).alias("start"), F.size("post_tokens").alias("end"))).alias("mask"))
 

@@ -15,11 +15,11 @@ from votespan.functions.columns import (
 from votespan.functions.text import align_words
 from votespan.operators.joins import inner_join_features, left_join_features
 from votespan.operators.metrics import multilabel_f1
-from votespan.operators.votes import nested_consensus, rationale_consensus, vote_share, vote_share_multi
+from votespan.operators.votes import is_label, names_label, nested_consensus, rationale_consensus, vote_share, vote_shares
 from votespan.sources.results import wide_to_long
 from workload.registry import query, table
 from workload.tables import (
-    CELLS, FLAGS, FLAG_TARGETS, MARKS, PRED, TARGETS, VOTES, WORDS, f1_sql, posts, predictions, rationales, votes, word_lists,
+    CELLS, ENTRIES_SQL, FLAGS, FLAG_TARGETS, MARKS, PRED, TARGETS, VOTES, WORDS, entries_of, f1_sql, posts, predictions, rationales, votes, word_lists,
 )
 
 _onehot = ", ".join(f"case when label = '{c}' then 1.0::double else 0.0::double end as {{p}}{c}" for c in FLAGS)
@@ -86,12 +86,12 @@ def _consensus(spark, sf):
     return rationale_consensus(rationales(spark, sf), "doc_id")
 
 
-@query("p10_coalesce_map", f"""with {MARKS} select d.doc_id, count(distinct m.pos) as entries
-  from documents d left join (select * from marks where flag <> 0) m on d.doc_id = m.doc_id group by d.doc_id""")
+@query("p10_coalesce_map", f"""with {MARKS}, {ENTRIES_SQL} select d.doc_id, coalesce(entries, '') as entries
+  from documents d left join marked m on d.doc_id = m.doc_id""")
 def p10(spark, sf):
     maps = pairs_to_map(_consensus(spark, sf), "doc_id", "pos", "value", "rationale")
     rows = left_join_features(table(spark, sf, "documents").select("doc_id"), maps, key="doc_id")
-    return coalesce_map(rows, "rationale").select("doc_id", F.size("rationale").cast("bigint").alias("entries"))
+    return coalesce_map(rows, "rationale").select("doc_id", entries_of("rationale").alias("entries"))
 
 
 @query("p11_label_slice", f"""with {PRED} select item, case when item < 3 then 1 when item < 6 then 2 when item < 9 then 3 else 4 end as part,
@@ -112,12 +112,13 @@ def p13(spark, sf):
 
 
 @query("p14_gate_tokens", """select vec_id, cast(k - 1 as int) as pos,
-  embedding[k]::double > (-0.1)::double and (embedding[51] > 0 or embedding[52] > 0) as counted from embeddings, range(1, 33) r(k)""")
+  embedding[k]::double > (-0.1)::double and (embedding[51] > 0 or embedding[52] > 0) as counted from embeddings, range(1, 65) r(k) where k not in (51, 52)""")
 def p14(spark, sf):
     rows = table(spark, sf, "embeddings").select(
         "vec_id", F.col("embedding")[50].alias("label_0"), F.col("embedding")[51].alias("label_1"),
-        F.posexplode(F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double") > F.lit(-0.1))).alias("pos", "mask"))
-    return rows.select("vec_id", "pos", gated(F.col("mask"), [F.col("label_0"), F.col("label_1")]).alias("counted"))
+        F.posexplode(F.transform("embedding", lambda x: x.cast("double") > F.lit(-0.1))).alias("pos", "mask"))
+    # The two label scores are no tokens.
+    return rows.where("pos not in (50, 51)").select("vec_id", "pos", gated(F.col("mask"), [F.col("label_0"), F.col("label_1")]).alias("counted"))
 
 
 _names = "[" + ", ".join(f"'{t}'" for t in TARGETS) + "]"
@@ -156,9 +157,9 @@ def _rounded(df, keys):
 def j1(spark, sf):
     v = votes(spark, sf)
     base = table(spark, sf, "orders").select(F.col("o_orderkey").alias("post_id"))
-    joined = left_join_features(
-        base, vote_share(v, "post_id", "label", FLAGS), vote_share_multi(v, "post_id", "targets", FLAG_TARGETS), key="post_id")
-    return _rounded(joined, ["post_id"])
+    # Labels and targets in one grouping.
+    shares = vote_shares(v, "post_id", {"label": (is_label("label"), FLAGS), "target": (names_label("targets"), FLAG_TARGETS)})
+    return _rounded(left_join_features(base, shares, key="post_id"), ["post_id"])
 
 
 @query("j2_inner_join_features", f"""with {VOTES} select o_orderkey as post_id, o_custkey, l.* exclude (post_id) from orders
@@ -175,11 +176,13 @@ def j3(spark, sf):
     return keep_empty(table(spark, sf, "documents"), "doc_id", _consensus(spark, sf)).select("doc_id", "pos")
 
 
-@query("j5_align_by_position", f"""with {CELLS} select item, 'test_target_f1_' || item as name, cast(item as varchar) as target,
-  round({f1_sql()}, 6) as f1 from cells""")
+@query("j5_align_by_position", f"""with {CELLS}, numbered as (select item, row_number() over (order by item) - 1 as nth, {f1_sql()} as f1 from cells)
+  select {_names}[nth + 1] as target, round(f1, 6) as f1 from numbered""")
 def j5(spark, sf):
-    named = multilabel_f1(predictions(spark, sf), "none").withColumn("name", F.concat(F.lit("test_target_f1_"), F.col("item")))
-    return extract_groups(named, "name", r"^test_target_f1_(\w+)$", ["target"]).withColumn("f1", F.round("f1", 6))
+    """Scores and names that belong together by position only: the join is on the position."""
+    scores = multilabel_f1(predictions(spark, sf), "none").select(F.col("item").alias("pos"), F.round("f1", 6).alias("f1"))
+    names = spark.createDataFrame([(i, t) for i, t in enumerate(TARGETS)], "pos int, target string")
+    return inner_join_features(names, scores, "pos").select("target", "f1")
 
 
 # ---- arrays and maps

@@ -152,6 +152,8 @@ def metrics_sql(split_filter: str = "") -> str:
             f"select split, split || '_target_micro_f1', round({f1_sql('sum(pos_pos)', 'sum(neg_pos)', 'sum(pos_neg)')}, 6) from {cells} group by split",
             f"select split, split || '_target_f1_' || {name}, round({f1_sql()}, 6) from {cells}"]
     rows += [f"select split, split || '_target_confusion_' || {name} || '_{c}', {c}::double from {cells}" for c, _, _ in _cell_names]
+    rows += [f"""select split, split || '_target_loss_' || item, round(avg(truth * ln(1 + exp(-logit)) + (1 - truth) * ln(1 + exp(logit))), 6)
+      from (select * from pred {split_filter}) where split <> 'test' group by split, item"""]
     return " union all ".join(rows)
 
 
@@ -165,11 +167,21 @@ SPLIT_MASKED = """, masked as (select split,
     sum(case when mask and truth > 0.5 and logit <= 0 then 1.0 else 0 end)::double as fn, sum(case when mask and truth > 0.5 and logit > 0 then 1.0 else 0 end)::double as tp
   from pred group by split)"""
 
+def focal_sql(tokens: str) -> str:
+    p = "(1.0::double / (1 + exp(-logit)))"
+    loss = f"""(0.8 * truth + 0.2 * (1 - truth))::double * pow(1 - ({p} * truth + (1 - {p}) * (1 - truth)), 2)
+      * (truth * ln(1 + exp(-logit)) + (1 - truth) * ln(1 + exp(logit)))"""
+    return f"""select split, split || '_rationale_loss', round(sum(case when mask then {loss} else 0 end) / (count(*) filter (where mask) + 1e-8::double), 6)
+    from {tokens} where split <> 'test' group by split"""
+
+
 EVALUATE_SQL = f"""with {SPLIT_CELLS}{SPLIT_MASKED}, {CLASSES}, {class_f1_sql('split')}, {SCORES}
   {metrics_sql()}
   union all select split, split || '_label_f1', round(avg({f1_sql('tp', 'fp', 'fn')}), 6) from per_class group by split
   union all select split, split || '_score_mse', round(avg((pred - truth) * (pred - truth)), 6) from scores group by split
-  union all select split, split || '_rationale_f1', round({masked_f1_sql()}, 6) from masked"""
+  union all select split, split || '_score_loss', round(avg((pred - truth) * (pred - truth)), 6) from scores where split <> 'test' group by split
+  union all select split, split || '_rationale_f1', round({masked_f1_sql()}, 6) from masked
+  union all {focal_sql('pred')}"""
 
 
 @query("e14_evaluate_splits", EVALUATE_SQL)
@@ -210,27 +222,62 @@ def r1(spark, sf):
     return out.select("vec_id", F.posexplode("logits").alias("item", "logit")).withColumn("logit", F.round("logit", 6))
 
 
-@query("r2_fit_label_head")
+# The best of three lines through all dimensions, where it leads by a margin.
+RULE_MARGIN = 0.15
+LINES = """lines as (select vec_id, list_transform(range(0, 3), lambda c: list_sum(list_transform(range(0, 64),
+    lambda i: case when i % 3 = c then embedding[i + 1]::double else 0::double end))) as s from embeddings),
+  ordered as (select vec_id, s, list_reverse_sort(s) as o from lines)"""
+
+
+def ruled_labels(spark, sf):
+    def line(c):
+        terms = F.transform("embedding", lambda x, i: F.when(i % 3 == c, x.cast("double")).otherwise(0.0))
+        return F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)
+
+    lines = [line(c) for c in range(3)]
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", F.array(*lines).alias("s"))
+    best = F.array_position("s", F.array_max("s")) - 1
+    second = F.get(F.reverse(F.array_sort("s")), F.lit(1))
+    return rows.where(F.array_max("s") - second > RULE_MARGIN).select("vec_id", "embedding", best.cast("int").alias("label"))
+
+
+@query("r2_fit_label_head", f"""with {LINES} select vec_id, cast(list_position(s, o[1]) - 1 as int) as pred from ordered where o[1] - o[2] > {RULE_MARGIN}""")
 def r2(spark, sf):
-    rows = table(spark, sf, "embeddings")
+    """The label is a rule with a margin, so the fitted head must give it back."""
+    rows = ruled_labels(spark, sf)
     share = rows.groupBy(F.col("label").alias("item")).agg(F.count(F.lit(1)).alias("c"))
     total = rows.agg(F.count(F.lit(1))).scalar()
     freqs = share.select("item", pos_weight(F.col("c") / total).alias("pos_weight"))
-    model = fit_label_head(rows, "embedding", "label", class_weight("label", freqs))
+    model = fit_label_head(rows, "embedding", "label", class_weight("label", freqs), max_iter=200, reg=0.0)
     return predict_label(model, rows, "embedding", ["vec_id"]).select("vec_id", "pred")
 
 
+def _side(i, k):
+    """-2 .. 2: the weight of dimension i in the rule of target k."""
+    return (i * 7 + k * 3 + i * k) % 5 - 2
+
+
 def target_rows(spark, sf):
-    """Embeddings with eleven 0/1 targets."""
-    names = {f"target_{t}": (F.get("embedding", F.lit(i + 11)).cast("double") > F.lit(0.05)).cast("double") for i, t in enumerate(TARGETS)}
-    return table(spark, sf, "embeddings").withColumns(names)
+    """Embeddings with eleven 0/1 targets, each the side of a plane with a margin; null within it."""
+    def target(k):
+        terms = F.transform("embedding", lambda x, i: x.cast("double") * _side(i, k))
+        side = F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)
+        return F.when(F.abs(side) > RULE_MARGIN, (side > 0).cast("double"))
+
+    return table(spark, sf, "embeddings").withColumns({f"target_{t}": target(k) for k, t in enumerate(TARGETS)})
 
 
-@query("r3_fit_target_heads")
+@query("r3_fit_target_heads", f"""with sides as (select vec_id, cast(k as int) as item,
+    list_sum(list_transform(range(0, 64), lambda i: embedding[i + 1]::double * ((i * 7 + k * 3 + i * k) % 5 - 2))) as s from embeddings, range(0, 11) r(k))
+  select vec_id, item, s > 0 as pred from sides where abs(s) > {RULE_MARGIN}""")
 def r3(spark, sf):
+    """The targets are rules with a margin, so the fitted heads must give them back."""
     rows = target_rows(spark, sf)
-    heads = fit_target_heads(rows, "embedding", [f"target_{t}" for t in TARGETS], max_iter=15)
-    return predict_targets(heads, rows, "embedding", ["vec_id"]).select("vec_id", "item", (F.col("logit") > 0).alias("pred"))
+    names = [f"target_{t}" for t in TARGETS]
+    heads = fit_target_heads(rows, "embedding", names, max_iter=200, reg=0.0)
+    known = rows.select("vec_id", F.posexplode(F.array(*names)).alias("item", "truth")).where("truth is not null")
+    out = predict_targets(heads, rows, "embedding", ["vec_id"]).select("vec_id", "item", (F.col("logit") > 0).alias("pred"))
+    return out.join(known.select("vec_id", "item"), ["vec_id", "item"], "left_semi")
 
 
 @query("r4_fit_score_head", """select vec_id, round(0.5::double + list_sum(list_transform(range(0, 64), lambda i: embedding[i + 1]::double * i)), 3) as pred

@@ -17,16 +17,18 @@ from workload.aggregates import DOC_COLS, LABELLED_DOCS, STATS_SQL, doc_stats, f
 from workload.evaluation import metrics_sql, r6
 from workload.registry import query, table
 from workload.tables import (
-    FLAGS, LABELS, MARKS, POST_VOTES, SPLIT_CELLS, TARGETS, VOTES, posts, predictions, runs, split_sql, votes,
+    FLAGS, LABELS, MARKS, POST_VOTES, SPLIT_CELLS, TARGETS, VOTES, f1_sql, posts, predictions, runs, split_sql, votes,
 )
 
 
 def _keyed_json(spark, sf) -> str:
-    """The posts as JSON text, each an entry of an object keyed by post id."""
+    """The posts as JSON text: objects of up to a hundred posts, keyed by post id."""
     path = scratch_path(spark, "keyed-json")
     rows = posts(spark, sf)
-    entry = F.concat(F.lit('{"'), F.col("post_id"), F.lit('": '), F.to_json(F.struct(*rows.columns)), F.lit("}"))
-    rows.select(entry.alias("value")).write.text(path)
+    entry = F.concat(F.lit('"'), F.col("post_id"), F.lit('": '), F.to_json(F.struct(*rows.columns)))
+    group = F.floor(F.col("post_id").cast("bigint") / 100)
+    objects = rows.groupBy(group.alias("g")).agg(F.array_join(F.collect_list(entry), ", ").alias("entries"))
+    objects.select(F.concat(F.lit("{"), F.col("entries"), F.lit("}")).alias("value")).write.text(path)
     return path
 
 
@@ -127,10 +129,14 @@ _cells = " union all ".join(
     f"select 'test_target_confusion_' || {_names}[item + 1] || '_{c}' as name, {c}::double as value from test" for c in ("neg_neg", "neg_pos", "pos_neg", "pos_pos"))
 
 
-@query("s8_read_results", f"with {SPLIT_CELLS}, test as (select * from cells where split = 'test') {_cells}")
+_scores = f" union all select 'test_target_f1_' || {_names}[item + 1], round({f1_sql()}, 6) from test"
+
+
+@query("s8_read_results", f"with {SPLIT_CELLS}, test as (select * from cells where split = 'test') {_cells} {_scores}")
 def s8(spark, sf):
-    rows = read_results(spark, partition_files(spark, sf)).select("name", "value")
-    return rows.filter(F.col("name").contains("confusion"))
+    """Every name that says which target it is of."""
+    rows = read_results(spark, partition_files(spark, sf)).select("name", F.round("value", 6).alias("value"))
+    return rows.filter(~F.col("name").rlike("_(macro|micro)_f1$"))
 
 
 _wide_names = [f"test_target_{m}_f1" for m in ("macro", "micro")] + [f"test_target_f1_{n}" for n in TARGETS] + [
@@ -146,6 +152,6 @@ def s9(spark, sf):
     return spark.read.schema(", ".join(f"{n} double" for n in _wide_names)).option("header", True).csv(path)
 
 
-@query("s10_read_runs", "select event_id as run_id, user_id as owner from events where event_type = 'purchase' order by ts desc, event_id limit 50000")
+@query("s10_read_runs", "select event_id as run_id, user_id as owner from events where event_type = 'purchase'")
 def s10(spark, sf):
     return read_runs(runs(spark, sf), "purchase").select("run_id", "owner")

@@ -10,6 +10,7 @@ from votespan.operators.joins import remap_span_rows
 from votespan.operators.positions import offset_index, runs_table
 from workload.registry import query, table
 from workload.tables import MARKS, WORDS, mark, word_lists
+from workload.text import DETOKENIZED, spans_digest
 
 RUNS_SQL = """flags as (select {key}, {pos} as pos, {flag} as flag from {rows}),
   islands as (select {key}, pos - row_number() over (partition by {key} order by pos) as island, pos from flags where flag)
@@ -32,11 +33,17 @@ def w4_table(spark, sf):
     return runs_table(placed.withColumn("flag", F.col("value") > 50), ["user_id"], "pos", "flag")
 
 
-def _span_digest(spans):
-    total = F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, s: acc + s["start"])
-    ends = F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"])
-    mixed = F.aggregate(F.transform(spans, lambda s, i: s["start"].cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda acc, v: acc + v)
-    return [F.size(spans).alias("n"), total.alias("starts"), ends.alias("ends"), mixed.alias("mixed")]
+def walk_sql(docs: str, key: str = "doc_id") -> str:
+    """CTEs from ``docs`` (key, words, text) to ``found`` (key, i, s, e): word by word from the left."""
+    return f"""walk as (select {key}, 0 as i, 0 as cursor, -1 as s, -1 as e from {docs}
+    union all select {key}, i + 1, case when p > 0 then cursor + p - 1 + n else cursor end,
+      case when p > 0 then cursor + p - 1 else -1 end, case when p > 0 then cursor + p - 1 + n else -1 end from (
+      select w.{key}, w.i, w.cursor, len(d.words[w.i + 1]) as n, strpos(substr(d.text, w.cursor + 1), d.words[w.i + 1]) as p
+      from walk w join {docs} d using ({key}) where w.i < len(d.words))),
+  found as (select {key}, i, s, e from walk where i > 0)"""
+
+
+_SPANS = """select doc_id, cast(count(s) as int) as n, md5(coalesce(string_agg(cast(s as bigint) || '-' || cast(e as bigint), ',' order by i), '')) as spans"""
 
 
 @query("w5_align_words", rf"""with parts as (
@@ -44,25 +51,26 @@ def _span_digest(spans):
       string_split_regex(text, '[^ \t\n\r]+') as gaps from documents),
   tok as (select doc_id, unnest(words) as w, unnest(range(1, len(words) + 1)) as i, gaps from parts),
   placed as (select doc_id, i, len(w) as n, sum(len(w)) over (partition by doc_id order by i) - len(w)
-    + sum(len(gaps[i])) over (partition by doc_id order by i) as s from tok)
-  select doc_id, cast(count(*) as int) as n, cast(sum(s) as bigint) as starts, cast(sum(s + n) as bigint) as ends,
-    cast(sum(s * i) as bigint) as mixed from placed group by 1""")
+    + sum(len(gaps[i])) over (partition by doc_id order by i) as s from tok),
+  found as (select doc_id, i, s, s + n as e from placed)
+  {_SPANS} from (select doc_id from documents) left join found using (doc_id) group by 1""")
 def w5(spark, sf):
     """Words found back in the text they were cut from."""
     rows = word_lists(spark, sf).select("doc_id", align_words(F.col("words"), F.col("text")).alias("spans"))
-    return rows.select("doc_id", *_span_digest(F.col("spans")))
+    return rows.select("doc_id", F.size("spans").alias("n"), spans_digest(F.col("spans")).alias("spans"))
 
 
-@query("w5_align_detokenized")
+@query("w5_align_detokenized", f"""with recursive {WORDS}, joined as (select doc_id, words, {DETOKENIZED} as text from docs), {walk_sql('joined')}
+  {_SPANS} from (select doc_id from documents) left join found using (doc_id) group by 1""")
 def w5_detokenized(spark, sf):
     """Words found back in their de-tokenised text, where quotes and brackets have moved."""
     rows = word_lists(spark, sf).select("doc_id", align_words(F.col("words"), detokenize(F.col("words"))).alias("spans"))
-    return rows.select("doc_id", *_span_digest(F.col("spans")))
+    return rows.select("doc_id", F.size("spans").alias("n"), spans_digest(F.col("spans")).alias("spans"))
 
 
 def _old_and_new(spark, sf):
-    """Word spans of the blank-joined text with the first annotator's marks as values, and
-    new spans that cut every word in pieces of four characters."""
+    """Word spans of the blank-joined text with the number of annotators who mark a word in the
+    values, and new spans that cut every word in pieces of four characters."""
     words = word_lists(spark, sf).select("doc_id", "words", F.array_join("words", " ").alias("joined"))
     rows = words.select("doc_id", "words", align_words(F.col("words"), F.col("joined")).alias("old"))
     pieces = F.flatten(F.transform("old", lambda s: F.transform(
@@ -70,15 +78,16 @@ def _old_and_new(spark, sf):
         lambda k: span(s["start"] + k * 4, F.least(s["start"] + k * 4 + 4, s["end"])))))
     marked = F.filter(
         F.transform("words", lambda w, i: F.struct(
-            i.alias("key"), (i % 97 + mark(F.col("doc_id"), F.lit(0), i, w) * 1000).cast("double").alias("value"))),
+            i.alias("key"), (i % 97 + sum(mark(F.col("doc_id"), F.lit(a), i, w) for a in range(3)) * 1000).cast("double").alias("value"))),
         lambda e: e["value"] >= 1000)
     return rows.select("doc_id", "old", pieces.alias("new"), F.map_from_entries(marked).alias("values"))
 
 
-REMAP_SQL = f"""with {MARKS}, tok as (select d.doc_id, m.pos, len(d.words[m.pos + 1]) as n, m.flag from docs d join marks m on d.doc_id = m.doc_id where m.annotator = 0),
+REMAP_SQL = f"""with {MARKS}, votes as (select doc_id, pos, sum(flag) as flag from marks group by 1, 2),
+  tok as (select d.doc_id, m.pos, len(d.words[m.pos + 1]) as n, m.flag from docs d join votes m on d.doc_id = m.doc_id),
   pieces as (select doc_id, pos, flag, unnest(range(0, cast(ceil(n / 4.0) as bigint))) as k from tok),
-  numbered as (select doc_id, flag, pos % 97 + 1000 as value, row_number() over (partition by doc_id order by pos, k) - 1 as new_pos from pieces)
-  select doc_id, cast(new_pos as int) as pos, value::double as value from numbered where flag = 1"""
+  numbered as (select doc_id, flag, pos % 97 + 1000 * flag as value, row_number() over (partition by doc_id order by pos, k) - 1 as new_pos from pieces)
+  select doc_id, cast(new_pos as int) as pos, value::double as value from numbered where flag > 0"""
 
 
 @query("j4_remap_spans", REMAP_SQL)
@@ -90,9 +99,12 @@ def j4(spark, sf):
 
 @query("j4_remap_span_rows", REMAP_SQL)
 def j4_rows(spark, sf):
+    """Old and new spans as rows, laid out once."""
+    def entry(kind, pos, s, value):
+        return F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), s["start"].alias("start"), s["end"].alias("end"), value.alias("value"))
+
     rows = _old_and_new(spark, sf)
-    placed = F.transform(F.map_entries("values"), lambda e: F.struct(
-        e["key"].alias("pos"), F.get("old", e["key"]).alias("s"), e["value"].alias("value")))
-    old = rows.select("doc_id", F.inline(placed)).select("doc_id", "pos", "s.*", "value")
-    new = arr_to_pairs(rows, "doc_id", "new").select("doc_id", "pos", "value.*")
-    return remap_span_rows(old, new, "doc_id")
+    old = F.transform(F.map_entries("values"), lambda e: entry("old", e["key"], F.get("old", e["key"]), e["value"]))
+    new = F.transform("new", lambda s, i: entry("new", i, s, F.lit(None).cast("double")))
+    spans = rows.select("doc_id", F.inline(F.concat(old, new)))
+    return remap_span_rows(spans.where("kind = 'old'"), spans.where("kind = 'new'").drop("value"), "doc_id")

@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from votespan.functions.text import split_words
-from votespan.plans.prepare import CATEGORIES
-from votespan.sources.datasets import spread
 from votespan.sources.keyed_json import ANNOTATED
 from workload.registry import table
 
 FLAGS = ["A", "N", "R"]
 FLAG_TARGETS = ["A", "N", "R", "F", "O"]
+CATEGORIES = {
+    "target": [f"Group{c}" for c in "ABCDEFGHIJK"],
+    "label": ["harmful", "rude", "plain"],
+}
 TARGETS = [t.lower() for t in CATEGORIES["target"]]
 LABELS = CATEGORIES["label"]
 
@@ -31,8 +33,8 @@ VOTES = """votes as (select l_orderkey as post_id, l_linenumber as annotator_id,
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, text), over all cores: one file may be one task, and texts are long."""
-    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    """(doc_id, text) as the files give them."""
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def word_lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,6 +87,17 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
         F.col("words").alias("post_tokens")).to(ANNOTATED)
 
 
+#: ``marked`` (doc_id, entries): the words somebody marked, with their value.
+ENTRIES_SQL = """marked as (select doc_id, string_agg(pos || ':1.0', ',' order by pos) as entries
+  from (select distinct doc_id, pos from marks where flag <> 0) group by 1)"""
+
+
+def entries_of(col: str) -> Column:
+    """Every entry of a map in key order, as text."""
+    pairs = F.transform(F.sort_array(F.map_entries(col)), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return F.array_join(pairs, ",")
+
+
 _cats = "[" + ", ".join(f"'{c}'" for c in CATEGORIES["target"]) + "]"
 POST_VOTES = f"""post_votes as (
   select doc_id, cast(a as int) as annotator_id,

@@ -47,20 +47,42 @@ def vocab_sql(source: str, size: int = 20_000) -> str:
 
 
 def wordpiece_sql(keys: str) -> str:
-    """CTEs from ``src`` (keys, text) and ``vocab`` to ``tokenized`` (keys, n, id_sum): the
-    longest piece at each place of each distinct word, then the chain of them from its start."""
+    """CTEs from ``src`` (keys, text) and ``vocab`` to ``pieces`` (keys, i, place, ids, starts, ends: a
+    word's ids, where its pieces lie in it and where it lies in the text) and ``tokenized`` (keys,
+    n, ids, offsets: MD5 of both lists): the longest piece at each place of each distinct word,
+    then the chain of them from its start."""
     sign = r"!-/:-@\[-`{-~\p{P}"
-    return rf"""toks as (select {keys}, unnest(regexp_extract_all(lower(text), '[^ \t\n\r{sign}]+|[{sign}]')) as word from src),
+    token = rf"[^ \t\n\r{sign}]+|[{sign}]"
+    return rf"""lists as (select {keys}, regexp_extract_all(lower(text), '{token}') as ws,
+      regexp_extract_all(lower(text), '([ \t\n\r]*)({token})', 1) as gaps from src),
+  toks as (select {keys}, unnest(ws) as word, unnest(gaps) as gap, unnest(range(1, len(ws) + 1)) as i from lists),
+  at_text as (select {keys}, word, i, sum(len(gap) + len(word)) over (partition by {keys} order by i) - len(word) as place from toks),
   words as (select distinct word from toks),
   places as (select word, unnest(range(0, len(word))) as pos from words where len(word) <= 100),
   cuts as (select word, pos, unnest(range(1, least(len(word) - pos, (select max(len(token)) from vocab)) + 1)) as l from places),
   longest as (select word, pos, max(l) as l, arg_max(id, l) as id from cuts
     join vocab on token = case when pos = 0 then '' else '##' end || substr(word, pos + 1, l) group by 1, 2),
-  chain as (select word, cast(0 as bigint) as pos, 0 as n, cast(0 as bigint) as s from words
-    union all select c.word, c.pos + g.l, c.n + 1, c.s + g.id from chain c join longest g on c.word = g.word and c.pos = g.pos),
-  whole as (select w.word, coalesce(c.n, 1) as n, coalesce(c.s, 1) as s from words w left join chain c on w.word = c.word and c.pos = len(w.word)),
-  tokenized as (select {keys}, cast(coalesce(sum(n), 0) + 2 as int) as n, cast(coalesce(sum(s), 0) + 5 as bigint) as id_sum
-    from (select {keys} from src) left join toks using ({keys}) left join whole using (word) group by all)"""
+  chain as (select word, cast(0 as bigint) as pos, []::int[] as ids, []::bigint[] as starts from words
+    union all select c.word, c.pos + g.l, list_append(c.ids, g.id), list_append(c.starts, c.pos)
+    from chain c join longest g on c.word = g.word and c.pos = g.pos),
+  whole as (select w.word, coalesce(c.ids, [1]) as ids, coalesce(c.starts, [0::bigint]) as starts,
+    list_append(coalesce(c.starts, [0::bigint])[2:], len(w.word)) as ends from words w left join chain c on w.word = c.word and c.pos = len(w.word)),
+  pieces as (select {keys}, i, place, ids, starts, ends from at_text join whole using (word)),
+  flat as (select {keys}, list(ids order by i) as ids, list(list_transform(range(1, len(ids) + 1),
+    lambda k: cast(place + starts[k] as bigint) || '-' || cast(place + ends[k] as bigint)) order by i) as offs from pieces group by all),
+  tokenized as (select {keys}, cast(len(flatten(coalesce(ids, []))) + 2 as int) as n,
+    md5(array_to_string(list_concat([2], flatten(coalesce(ids, [])), [3]), ',')) as ids,
+    md5(array_to_string(list_concat(['0-0'], flatten(coalesce(offs, [])), ['0-0']), ',')) as offsets
+    from (select {keys} from src) left join flat using ({keys}))"""
+
+
+def ids_digest(tokens: str = "tokens"):
+    return F.md5(F.array_join(F.col(tokens).cast("array<string>"), ","))
+
+
+def spans_digest(spans):
+    """MD5 of all spans in order."""
+    return F.md5(F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])), ","))
 
 
 @query("x2b_build_vocab", f"with {vocab_sql('documents')} select * from vocab")
@@ -73,22 +95,19 @@ def corpus_vocab(spark, sf) -> dict[str, int]:
 
 
 @query("x2_tokenize", f"""with recursive {vocab_sql('documents')}, src as (select doc_id, text from documents), {wordpiece_sql('doc_id')}
-  select doc_id, n, n as valid, id_sum, cast(len(rtrim(text, ' ' || chr(9) || chr(10) || chr(13))) as int) as last_end
-  from tokenized join src using (doc_id)""")
+  select doc_id, n, n as valid, ids, offsets from tokenized""")
 def x2(spark, sf):
     rows = tokenize(documents(spark, sf), "text", corpus_vocab(spark, sf), strip_accents=False, keep=["doc_id"])
     return rows.select(
         "doc_id", F.size("tokens").alias("n"), F.element_at("mask", 1)["end"].alias("valid"),
-        F.aggregate("tokens", F.lit(0).cast("bigint"), lambda acc, t: acc + t).alias("id_sum"),
-        F.array_max(F.transform("offsets", lambda s: s["end"])).alias("last_end"))
+        ids_digest().alias("ids"), spans_digest(F.col("offsets")).alias("offsets"))
 
 
 @query("f4_map_batches", f"""with recursive {vocab_sql('conversations')}, src as (select conv_id, turn, text from conversations), {wordpiece_sql('conv_id, turn')}
-  select conv_id, turn, n, id_sum from tokenized""")
+  select conv_id, turn, n, ids, offsets from tokenized""")
 def f4(spark, sf):
     """The struct UDF in Arrow batches next to the key, on conversations."""
     talk = table(spark, sf, "conversations")
     udf = wordpiece_udf(vocab_dict(build_vocab(talk, size=20_000)), strip_accents=False, broadcast=spark.sparkContext.broadcast)
     rows = map_batches(talk, udf, ["conv_id", "turn"], ["text"])
-    return rows.select("conv_id", "turn", F.size("tokens").alias("n"),
-                       F.aggregate("tokens", F.lit(0).cast("bigint"), lambda acc, t: acc + t).alias("id_sum"))
+    return rows.select("conv_id", "turn", F.size("tokens").alias("n"), ids_digest().alias("ids"), spans_digest(F.col("offsets")).alias("offsets"))
