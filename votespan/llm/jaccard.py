@@ -32,6 +32,8 @@ from votespan.llm.common import (
 from votespan.llm.graph import components
 
 SLICE = 2 << 20
+#: Members of a clump that are compared with its first one in one go, about.
+SALT = 128
 
 
 def least_depth(similarity: float, trees: int, depth: int, target: float) -> int:
@@ -294,7 +296,7 @@ def jaccard_links(
 
     salted = clumps.join(sizes, "clump").select(
         F.col("clump").alias("key"), F.col("v").alias("member"), "members",
-        F.pmod(F.xxhash64("v"), F.ceil(F.col("members") / block)).cast("long").alias("salt"))
+        F.pmod(F.xxhash64("v"), F.ceil(F.col("members") / SALT)).cast("long").alias("salt"))
     members = (
         pairs.select(F.col("a").alias("key"), F.col("b").alias("member"), F.lit(0).cast("long").alias("salt"), F.lit(False).alias("clump"))
         .unionByName(salted.select("key", "member", "salt", F.lit(True).alias("clump"))))
