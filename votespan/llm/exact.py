@@ -223,7 +223,8 @@ def keep_best(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     fresh = match(snapshot, grouped(rows.where(~old)), docs, id_col, text_col)
     both = fresh.select("digest", "best", "n").unionByName(snapshot.buckets).unionByName(
         fresh.where("held is not null").select("digest", F.col("held").alias("best"), F.lit(0).cast("long").alias("n")))
-    groups = both.groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
+    # Written, so that both sides of the join below are shuffled and a hot digest can be split.
+    groups = stash(both.groupBy("digest").agg(F.max("best").alias("best"), F.sum("n").alias("group_size")), "exact-groups")
     own = F.struct(F.col("points"), F.bitwise_not("id").alias("minus_id"), F.col("k2"))
     return rows.join(groups, "digest").select(
         "id", "k2", "digest", "points", F.bitwise_not("best.minus_id").alias("keep_id"), "group_size",
