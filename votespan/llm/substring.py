@@ -164,7 +164,7 @@ def _repeats(batches):
 
 
 def repeated_windows(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, first: int = 10, hot: int = 10_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, first: int = 10, hot: int = 1_000,
 ) -> DataFrame:
     """(k1, k2, spans): per document the runs of window starts, as (start, count) pairs of ints in binary.
 
@@ -261,7 +261,7 @@ def _cut(length: int, whole: bool):
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, first: int = 10, hot: int = 10_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, first: int = 10, hot: int = 1_000,
     carry: list[str] | None = None, whole: bool = False,
 ) -> DataFrame:
     """(k1, k2, n_words, n_removed, kept, rest): one row per row of ``docs``.
