@@ -25,7 +25,7 @@ from votespan.llm.common import (
     discard, inside, keyed, longs, mix, packed, plain_id, signed, slices, squeeze, stash, text_bytes, text_of_rows,
     unsqueezed, window_hashes, word_bounds, word_hashes)
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Windows dealt out as one row at most.
 RUN = 32
 
