@@ -24,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from votespan.llm.common import keyed, shuffle_partitions, slices, worker_cache
-from votespan.llm.tokens import SAFE
+from votespan.llm.tokens import SAFE, id_width
 
-BLOCK = 6 << 20
+BLOCK = 8 << 20
 ROW = "bucket long, block long, words binary, places binary, codes binary"
 
 
@@ -70,13 +70,16 @@ def pre_tokens(texts: list[str], pattern) -> tuple[list[str], list[np.ndarray]]:
 
     for text in texts:
         parts = text.split(" ")
-        for p in parts:
-            if not p or p[0].isspace() or p[-1].isspace():
-                parts = SAFE.split(text)
-                break
-        for p in set(parts[1:]).difference(known):
+        new, tail = set(parts[1:]).difference(known), b""
+        if parts[0][-1:].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in new):
+            parts = SAFE.split(text)
+            # Only the end of a text may be blank, and means something else elsewhere.
+            if len(parts) > 1 and parts[-1][-1].isspace():
+                tail = coded(" " + parts.pop())
+            new = set(parts[1:]).difference(known)
+        for p in new:
             known[p] = coded(" " + p)
-        out.append(np.frombuffer(coded(parts[0]) + b"".join(map(known.__getitem__, parts[1:])), "<u4"))
+        out.append(np.frombuffer(coded(parts[0]) + b"".join(map(known.__getitem__, parts[1:])) + tail, "<u4"))
     return list(numbers), out
 
 
@@ -89,28 +92,33 @@ def _blocks(pattern: str, buckets: int):
         base, n = TaskContext.get().partitionId() << 32, 0
         for batch in slices(batches, "text", BLOCK):
             words, codes = pre_tokens(batch.column(2).to_pylist(), split)
-            # Frequent words get small numbers.
             flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-            by_count = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-            number = np.empty(len(words), np.uint32)
-            number[by_count] = np.arange(len(words))
             raw = [w.encode() for w in words]
             home = np.array([xxhash.xxh64_intdigest(w) % buckets for w in raw], np.int64)
+            # Frequent words get small numbers; words of one bucket and count follow one another.
+            counts = np.bincount(flat, minlength=len(words))
+            alphabet = np.empty(len(words), np.int64)
+            alphabet[sorted(range(len(words)), key=raw.__getitem__)] = np.arange(len(words))
+            by_count = np.lexsort((alphabet, home, -counts))
+            number = np.empty(len(words), np.uint32)
+            number[by_count] = np.arange(len(words))
             block = base | n
             n += 1
             rows = []
             for bucket in np.unique(home).tolist():
-                own = sorted(np.flatnonzero(home == bucket).tolist(), key=raw.__getitem__)
-                sizes = np.array([len(raw[i]) for i in own], "<u4")
-                rows.append((bucket, block, _pack(_head(sizes) + b"".join(raw[i] for i in own)), _pack(number[own].astype("<u4").tobytes()), None))
-            # Two bytes a pre-token; numbers that need more follow as a list of their own.
+                own = by_count[home[by_count] == bucket]
+                sizes = np.array([len(raw[i]) for i in own.tolist()], "<u4")
+                steps = np.diff(number[own].astype(np.int64), prepend=0).astype("<u4")
+                rows.append((bucket, block, _pack(_head(sizes) + b"".join(raw[i] for i in own.tolist())), _pack(steps.tobytes()), None))
+            # Two bytes a pre-token, all low ones first; numbers that need more follow as a list.
             flat = number[flat] if len(flat) else flat
             large = flat >= 0xFFFF
+            small = np.where(large, 0xFFFF, flat).astype(np.uint16)
             body = (
                 _head(np.array([len(c) for c in codes], "<u4")) + batch.column(0).cast(pa.int64()).to_numpy().astype("<i8").tobytes()
-                + batch.column(1).to_numpy().astype("<i8").tobytes()
-                + np.where(large, 0xFFFF, flat).astype("<u2").tobytes() + flat[large].astype("<u4").tobytes())
-            rows.append((block % buckets, block, None, None, _pack(body)))
+                + batch.column(1).to_numpy().astype("<i8").tobytes() + (small & 0xFF).astype(np.uint8).tobytes()
+                + (small >> 8).astype(np.uint8).tobytes() + flat[large].astype("<u4").tobytes())
+            rows.append(((TaskContext.get().partitionId() + n) % buckets, block, None, None, _pack(body)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
                 names=["bucket", "block", "words", "places", "codes"])
@@ -143,6 +151,7 @@ def _encode_words(ranks, pattern: str):
 
     def run(batches):
         code = _coder(ranks, pattern)
+        width = id_width(code.n_vocab)
         known: dict[bytes, tuple[int, bytes]] = {}
         bucket = None
         for batch in batches:
@@ -162,10 +171,10 @@ def _encode_words(ranks, pattern: str):
                     one = known.get(word)
                     if one is None:
                         ids = code.encode_ordinary(word.decode())
-                        one = known[word] = (len(ids), np.array(ids, "<u4").tobytes())
+                        one = known[word] = (len(ids), np.array(ids, width).tobytes())
                     found.append(one)
                 counts, ids = zip(*found)
-                out.append((row["block"], _pack(_head(np.array(counts, "<u4")) + b"".join(ids)), row["places"], None))
+                out.append((row["block"], _pack(width.encode() + _head(np.array(counts, "<u4")) + b"".join(ids)), row["places"], None))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
                 if out else [pa.array([], k) for k in (pa.int64(), pa.binary(), pa.binary(), pa.binary())],
@@ -182,10 +191,10 @@ def _assemble(table: pa.Table) -> pa.Table:
             body = _unpack(row["codes"])
             continue
         raw = _unpack(row["ids"])
-        n, at = _sizes(raw)
+        n, at = _sizes(raw[3:])
         counts.append(n)
-        ids.append(np.frombuffer(raw, "<u4", offset=at))
-        places.append(np.frombuffer(_unpack(row["places"]), "<u4"))
+        ids.append(np.frombuffer(raw, raw[:3].decode(), offset=3 + at))
+        places.append(np.cumsum(np.frombuffer(_unpack(row["places"]), "<u4").astype(np.int64)))
     n_words = sum(map(len, places))
     size, start = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
     if n_words:
@@ -198,7 +207,7 @@ def _assemble(table: pa.Table) -> pa.Table:
     k1, k2 = np.frombuffer(body, "<i8", rows, at), np.frombuffer(body, "<i8", rows, at + 8 * rows)
     at += 16 * rows
     total = int(per_text.sum())
-    codes = np.frombuffer(body, "<u2", total, at).astype(np.int64)
+    codes = np.frombuffer(body, np.uint8, total, at) + (np.frombuffer(body, np.uint8, total, at + total).astype(np.int64) << 8)
     codes[codes == 0xFFFF] = np.frombuffer(body, "<u4", offset=at + 2 * total)
     sizes = size[codes]
     ends = np.cumsum(sizes)
@@ -230,20 +239,16 @@ def _decode(ranks):
             kept["bytes_of"] = ranks.value["name"]
         of = kept["token_bytes"].__getitem__
         for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            texts = [b"".join(map(of, ids or ())) for ids in _lists(batch.column(at))]
+            lists = batch.column(batch.schema.get_field_index("ids"))
+            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().tolist()
+            there = lists.is_valid().to_pylist()
+            texts = [b"".join(map(of, flat[a:b].tolist())) if ok else b"" for a, b, ok in zip(ends[:-1], ends[1:], there)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return run
 
 
-def _lists(column: pa.Array):
-    """The lists of a column one by one."""
-    for one in column:
-        yield one.values.tolist() if one.is_valid else None
-
-
 def decode(ids: DataFrame, ranks_path: str) -> DataFrame:
     """Adds ``decoded``, the bytes of ``ids``."""
     ranks = ids.sparkSession.sparkContext.broadcast({"name": ranks_path, "ranks": read_ranks(ranks_path)})
