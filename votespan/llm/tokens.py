@@ -17,6 +17,7 @@ from votespan.llm.common import worker_cache
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Words encoded in one call, and words in a generation of the cache.
 JOINED, KEPT = 300, 600_000
+SPACE = "\u0120"
 #: Marks that end words, and the last letter of the scripts in which they are split off.
 MARKS, LATIN = ".,;:!?", "\u024f"
 
@@ -31,8 +32,9 @@ class PieceEncoder:
         self.width = id_width(self.library.get_vocab_size())
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        newline = self.library.encode("\n", add_special_tokens=False).ids
-        self.newline = newline[0] if len(newline) == 1 else None
+        # Byte-level vocabularies write a space as the letter below.
+        self.spaced = np.zeros(self.library.get_vocab_size(), bool)
+        self.spaced[[i for token, i in self.library.get_vocab().items() if token.startswith(SPACE)]] = True
         self.marks = {m: x.tobytes() for m, x in zip(MARKS, self._ids(list(MARKS)))}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -46,20 +48,18 @@ class PieceEncoder:
         todo = set(words).difference(marked)
         todo.update(w[:-1] for w in marked)
         todo.difference_update(self.known)
-        plain = sorted(w for w in todo if "\n" not in w) if self.newline is not None else []
+        plain = sorted(w for w in todo if len(w.split()) == 1)
         for i in range(0, len(plain), JOINED):
             group = plain[i : i + JOINED]
-            # Lines of one text: the newlines come back as ids of their own.
-            ids = self._ids([" " + "\n ".join(group)])[0]
-            ends = np.append(np.flatnonzero(ids == self.newline), len(ids)).tolist()
-            if len(ends) != len(group):
+            # One text: each word begins with the one token in it that begins with a space.
+            ids = self._ids([" " + " ".join(group)])[0]
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(group) or starts[0]:
                 self.known.update(zip(group, (x.tobytes() for x in self._ids([" " + w for w in group]))))
                 continue
-            start = 0
             raw, size = ids.tobytes(), ids.itemsize
-            for word, end in zip(group, ends):
-                self.known[word] = raw[start * size : end * size]
-                start = end + 1
+            edges = [*(starts * size).tolist(), len(raw)]
+            self.known.update((word, raw[x:y]) for word, x, y in zip(group, edges[:-1], edges[1:]))
         others = list(todo.difference(plain))
         if others:
             self.known.update(zip(others, (x.tobytes() for x in self._ids([" " + w for w in others]))))
