@@ -8,6 +8,7 @@ result.  Order among documents is (k1, k2).
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -65,8 +66,37 @@ def worker_cache() -> dict:
     return home.__dict__.setdefault("cache", {})
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int) -> Iterator[pa.RecordBatch]:
+#: What an operator keeps in a worker and others have no use for.
+LARGE = ("encoders", "coder", "ranks_of", "token_bytes", "bytes_of")
+
+
+def begin(*keep: str) -> None:
+    """Drops what another operator left in this worker."""
+    kept = worker_cache()
+    for name in LARGE:
+        if name not in keep:
+            kept.pop(name, None)
+
+
+def finish() -> None:
+    """Gives free memory back: idle workers stay, and executors have a limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int, keep: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     """Record batches of at most ``most`` bytes of text, or of one row."""
+    begin(*keep)
+    try:
+        yield from _cut(batches, text_col, most)
+    finally:
+        finish()
+
+
+def _cut(batches, text_col, most):
     for batch in batches:
         at = batch.schema.get_field_index(text_col)
         if batch.num_rows == 0:
@@ -216,18 +246,22 @@ def unsqueezed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[p
     """(rows, bytes of their texts on end, offsets) of at most ``most`` bytes of text, or one row."""
     import zstandard
 
+    begin()
     coder = zstandard.ZstdDecompressor()
-    for batch in batches:
-        texts, size, start = [], 0, 0
-        for i, frame in enumerate(batch.column(batch.schema.get_field_index("z"))):
-            text = coder.decompress(frame.as_buffer())
-            if texts and size + len(text) > most:
-                yield batch.slice(start, i - start), *_joined(texts)
-                texts, size, start = [], 0, i
-            texts.append(text)
-            size += len(text)
-        if texts:
-            yield batch.slice(start), *_joined(texts)
+    try:
+        for batch in batches:
+            texts, size, start = [], 0, 0
+            for i, frame in enumerate(batch.column(batch.schema.get_field_index("z"))):
+                text = coder.decompress(frame.as_buffer())
+                if texts and size + len(text) > most:
+                    yield batch.slice(start, i - start), *_joined(texts)
+                    texts, size, start = [], 0, i
+                texts.append(text)
+                size += len(text)
+            if texts:
+                yield batch.slice(start), *_joined(texts)
+    finally:
+        finish()
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

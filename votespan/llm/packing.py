@@ -35,7 +35,7 @@ def _pieces(vocabulary, end_id: int, most: int, keep_ids: bool):
         part = TaskContext.get().partitionId()
         seen = np.zeros(most + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text", SLICE, ("encoders",)):
             out = [[] for _ in range(9)]
             for k1, k2, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1)), code.encode(batch.column(2).to_pylist())):
                 ids = np.frombuffer(raw, code.width).astype("<u4").tobytes() + end

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from votespan.llm.common import BASES, byte_values, ranges_hash, slices, text_bytes, text_of_rows, worker_cache
+from votespan.llm.common import BASES, begin, byte_values, ranges_hash, slices, text_bytes, text_of_rows, worker_cache
 
 SLICE = 2 << 20
 BITS = 18
@@ -201,6 +201,7 @@ def fit(
 
 def _score(model):
     def run(texts: pa.Array) -> pa.Array:
+        begin()
         data, offsets = text_bytes(texts)
         out = []
         start = 0
