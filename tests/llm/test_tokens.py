@@ -11,7 +11,6 @@ import public_tokenizers
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from votespan.llm.bpe import decimal_digest, decode, encode

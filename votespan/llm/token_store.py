@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from votespan.llm.common import keyed, longs, shuffle_partitions, slices, stash
+from votespan.llm.common import keyed, shuffle_partitions, slices, stash
 from votespan.llm.tokens import encoder, id_width, read_vocabulary
 
 SLICE = 2 << 20
