@@ -33,8 +33,13 @@ VOTES = """votes as (select l_orderkey as post_id, l_linenumber as annotator_id,
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, text) as the files give them."""
-    return table(spark, sf, "documents").select("doc_id", "text")
+    """(doc_id, text), dealt out to the cores.
+
+    The given file is a single row group and so a single task; a table of many files needs
+    no such step, and no operator takes it.
+    """
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    return rows.repartition(spark.sparkContext.defaultParallelism, "doc_id")
 
 
 def word_lists(spark: SparkSession, sf: str) -> DataFrame:
