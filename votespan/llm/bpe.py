@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from votespan.llm.common import keyed, shuffle_partitions, slices, worker_cache
 from votespan.llm.tokens import SAFE, id_width
 
-BLOCK = 8 << 20
+BLOCK = 10 << 20
 ROW = "bucket long, block long, words binary, places binary, codes binary"
 
 
@@ -38,7 +38,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def _pack(values) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(bytes(values))
+    return zstandard.ZstdCompressor(level=9).compress(bytes(values))
 
 
 def _unpack(frame: bytes) -> bytes:
