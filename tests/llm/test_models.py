@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from votespan.llm.knn import KdTree, top_k
-from votespan.llm.licenses import license_matches
+from votespan.llm.licenses import license_matches, windows
 from votespan.llm.license_texts import NOTICES
 from votespan.llm.quality import BITS, DENSE, OrdinalModel, expected_grade, features, fit, fit_rows, good, graded, rate
 
@@ -93,6 +93,51 @@ def test_licenses(spark):
         license_matches(docs, [])
 
 
+def test_licenses_in_windows(spark):
+    """Notices laid out over paragraphs, in comments, in mid-line and next to each other."""
+    prose = "\n".join(f"line {i} of a long file with words w{i * 7} and x{i * 11} in it" for i in range(300))
+    apache, gpl, mit = (max((t for m, t in NOTICES if m == n), key=len) for n in ("Apache-2.0", "GPL-3.0", "MIT"))
+
+    def laid_out(notice, *breaks, mark=""):
+        for at in breaks:
+            assert at in notice.replace("\n", " ")
+            notice = notice.replace("\n", " ").replace(at, "\n\n" + at)
+        return "\n".join(mark + x for x in notice.split("\n"))
+
+    published = [
+        laid_out(mit, "The above copyright notice", "THE SOFTWARE IS"), laid_out(gpl, "This program is distributed", "You should have", mark=" * "),
+        laid_out(apache, "Unless required", "You may obtain", "http", mark="# ")]
+    middle = "This module is, as its authors say, released under the MIT License. and its docs are something else that goes on for long"
+    texts = [f"{prose}\n{x}\n{prose}" for x in [*published, middle]]
+    texts += [f"{prose}\n{published[0]}\n\n{published[2]}\n{published[0]}\n{prose}", prose, (middle + "\n") * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["k1"], r["line"], r["passage"], r["license"], r["dice"]) for r in license_matches(docs, NOTICES).collect() if r["k1"] < 5)
+    wanted = [(0, "MIT"), (1, "GPL-3.0"), (2, "Apache-2.0"), (3, "MIT"), (4, "MIT"), (4, "Apache-2.0"), (4, "MIT")]
+    assert [(k, name) for k, _, kind, name, _ in got if kind == "window"] == wanted
+    assert all(dice > 0.99 for *_, kind, _, dice in got if kind == "window")
+    assert [at for _, at, kind, _, _ in got if kind == "window"][:4] == [300] * 4
+    many = [r for r in license_matches(docs, NOTICES).collect() if r["k1"] > 4]
+    assert len(many) == 3000 and {(r["k1"], r["passage"], r["license"]) for r in many} == {(6, "window", "MIT")}
+
+
+def test_windows_find_what_trying_all_finds():
+    draw = random.Random(5)
+    for _ in range(150):
+        n, size = draw.randrange(2, 45), draw.randrange(2, 9)
+        pairs = np.array([draw.randrange(draw.choice([6, 14, 40])) for _ in range(n)], np.uint64)
+        hit = pairs < size
+        dice = {(i, j): 2 * len(np.unique(pairs[i : j + 1][hit[i : j + 1]])) / (len(np.unique(pairs[i : j + 1])) + size)
+                for i in range(n) for j in range(i, n)}
+        found = windows(pairs, hit, size, 0.8)
+        assert all(dice[i, j] == d >= 0.8 for d, i, j in found)
+        assert max(dice.values()) < 0.8 or max(found)[0] == max(dice.values())
+        taken = np.zeros(n + 1, int)
+        for _, i, j in found:
+            taken[i : j + 2] += 1
+        assert taken.max() <= 1
+        assert all(taken[i : j + 2].any() for (i, j), d in dice.items() if d >= 0.8)
+
+
 def knn_truth(rows, k, is_query):
     sound = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in rows
              if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]

@@ -1,13 +1,21 @@
 """Licence scan: Dice coefficient over word bigrams against notices.
 
 Every line, every paragraph (lines up to one without words) and the whole of each text is a
-passage.  Normalised, a passage is its words: ASCII letters in lower case, digits and whatever
+passage, and so is every window: a stretch of words anywhere in the text, across lines and
+paragraphs, that reaches the threshold.  Normalised, a passage is its words: ASCII letters in lower case, digits and whatever
 is not ASCII; all else parts words.  Dice = 2 |A and B| / (|A| + |B|) over sets of word bigrams.
 
 A notice of b bigrams can reach the threshold t only with passages of t/(2-t) b to (2-t)/t b
 bigrams that share at least t/(2-t) b of them with it; these bounds leave few passages and,
 for each, few notices to compare.
 
+Windows are searched in every text that holds t/(2-t) b bigrams of a notice.  A window has at
+most (2/t-2) b bigrams that are not the notice's, so stretches with more of them part the text;
+in what is left each bigram of the notice begins a window, and all its ends are compared.  The
+best windows of a notice that share no word are taken, then those between them.  Of windows of
+several notices those with the best Dice stay; a window is left out if half of its matching
+bigrams belong to a better one, or if it lies in a passage that is reported under the same name.
+
 Cases: null and empty texts have no passages, nor have passages of fewer than two words
 of notices that fit a passage equally well the smallest name and then the first one
 is named; rows that repeat an id are scanned each by itself; other columns are not read.
@@ -15,6 +23,8 @@ is named; rows that repeat an id are scanned each by itself; other columns are n
 
 from __future__ import annotations
 
+from bisect import insort
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,19 +79,126 @@ def passages(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple
     return doc, [line, np.cumsum(part)[line], doc], first_line
 
 
+def _ends(pairs: np.ndarray, hit: np.ndarray, size: int, threshold: float) -> list[tuple[float, int, int]]:
+    """(Dice, first bigram, last bigram): the best window from every bigram of the notice on, if it reaches the threshold.
+
+    ``new`` holds where each distinct bigram from the start on occurs first; there are never more
+    of them than a window can have, however often they repeat.
+    """
+    ratio = threshold / (2 - threshold)
+    least, most = ratio * size - 1e-9, int(size / ratio + 1e-9)
+    n = len(pairs)
+    order = np.argsort(pairs, kind="stable")
+    same = pairs[order[1:]] == pairs[order[:-1]]
+    after, before = np.full(n, n), np.full(n, -1)
+    after[order[:-1][same]] = order[1:][same]
+    before[order[1:][same]] = order[:-1][same]
+    after, before, flags = after.tolist(), before.tolist(), hit.tolist()
+    found, new, common, end = [], [], 0, 0
+    for i in range(n):
+        while end < n and (before[end] >= i or len(new) < most):
+            if before[end] < i:
+                new.append(end)
+                common += flags[end]
+            end += 1
+        if flags[i] and common >= least:
+            at = np.array(new)
+            dice = 2 * np.cumsum(hit[at]) / (np.arange(1, len(at) + 1) + size)
+            best = int(np.argmax(dice))
+            if dice[best] >= threshold:
+                found.append((float(dice[best]), i, new[best]))
+        del new[0]
+        if after[i] < end:
+            insort(new, after[i])
+        else:
+            common -= flags[i]
+    return found
+
+
+def _stretches(pairs: np.ndarray, hit: np.ndarray, size: int, threshold: float) -> list[tuple[int, int]]:
+    """(begin, end) of the stretches between which no window of the notice can reach."""
+    spare = int(size * (2 / threshold - 2) + 1e-9)
+    at = np.flatnonzero(hit)
+    cuts = []
+    for g in np.flatnonzero(np.diff(at) - 1 > spare).tolist():
+        gap = pairs[at[g] + 1 : at[g + 1]]
+        if len(np.unique(gap[: 4 * spare + 8])) > spare or len(np.unique(gap)) > spare:
+            cuts.append(g + 1)
+    least = threshold / (2 - threshold) * size - 1e-9
+    ranges = [(int(at[a]), int(at[b - 1]) + 1) for a, b in zip([0, *cuts], [*cuts, len(at)]) if b - a >= least]
+    return [(a, b) for a, b in ranges if len(np.unique(pairs[a:b][hit[a:b]])) >= least]
+
+
+def windows(pairs: np.ndarray, hit: np.ndarray, size: int, threshold: float) -> list[tuple[float, int, int]]:
+    """(Dice, first bigram, last bigram) of the best windows of a text that share no word.
+
+    ``hit``: which bigrams of the text are among the ``size`` ones of the notice.
+    """
+    out, todo = [], [(0, len(pairs))]
+    while todo:
+        low, high = todo.pop()
+        for a, b in _stretches(pairs[low:high], hit[low:high], size, threshold) if hit[low:high].any() else []:
+            a, b = a + low, b + low
+            taken, kept = np.zeros(b - a + 2, bool), []
+            for dice, i, j in sorted(_ends(pairs[a:b], hit[a:b], size, threshold), key=lambda x: (-x[0], x[2] - x[1], x[1])):
+                if not taken[i : j + 1].any():
+                    # The bigrams next to a window share a word with it.
+                    taken[max(i - 1, 0) : j + 2] = True
+                    kept.append((dice, a + i, a + j))
+            if kept:
+                out += kept
+                spans = sorted((i, j) for _, i, j in kept)
+                todo += [(x, y) for x, y in zip([a, *(j + 2 for _, j in spans)], [*(i - 1 for i, _ in spans), b]) if x < y]
+    return out
+
+
 def _scan(names: list[str], sets: list[np.ndarray], threshold: float):
     ratio = threshold / (2 - threshold)
     sizes = np.array([len(x) for x in sets])
     known = np.unique(np.concatenate(sets))
+    member = np.array([np.isin(known, x) for x in sets])
     least, most = ratio * sizes.min(), sizes.max() / ratio
 
+    def in_windows(pairs, which, doc, reported):
+        """(text, "window", first word, name, Dice); ``which``: number of each known bigram or -1."""
+        at = np.flatnonzero(which >= 0)
+        if not len(at):
+            return
+        docs, kinds = np.divmod(np.unique(doc[at] * len(known) + which[at]), len(known))
+        tried: dict[int, list[int]] = {}
+        for n, size in enumerate(sizes.tolist()):
+            for d in np.flatnonzero(np.bincount(docs[member[n][kinds]]) >= ratio * size - 1e-9).tolist():
+                tried.setdefault(d, []).append(n)
+        for d, notices in tried.items():
+            begin, end = np.searchsorted(doc, [d, d + 1]).tolist()
+            own, kind = pairs[begin : end - 1], which[begin : end - 1]
+            hits = {n: (kind >= 0) & member[n][kind] for n in notices}
+            ranked = sorted(
+                (-dice, -int(hits[n][i : j + 1].sum()), j - i, i, n, j)
+                for n in notices for dice, i, j in windows(own, hits[n], int(sizes[n]), threshold))
+            claimed, kept = np.zeros(len(own), bool), []
+            for dice, _, _, i, n, j in ranked:
+                match = np.flatnonzero(hits[n][i : j + 1]) + i
+                if 2 * claimed[match].sum() < len(match):
+                    claimed[match] = True
+                    kept.append((begin + i, begin + j + 2, names[n], -dice))
+            reach: dict[str, int] = {}
+            spans = [(a, -b, name, 0) for a, b, name in reported.get(d, [])] + [(a, -b, name, dice) for a, b, name, dice in kept]
+            for a, b, name, dice in sorted(spans):
+                inside = reach.get(name, 0) >= -b
+                reach[name] = max(reach.get(name, 0), -b)
+                if dice and not inside:
+                    yield d, "window", a, name, dice
+
     def run(batches):
         for batch in slices(batches, "text", SLICE):
             data, offsets = text_bytes(batch.column(2))
             starts, pairs = bigrams(data, offsets)
             doc, units, first_line = passages(data, offsets, starts)
-            hit = np.isin(pairs, known)
-            found = []
+            which = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
+            which[known[which] != pairs] = -1
+            hit = which >= 0
+            found, reported = [], {}
             for kind, unit in zip(KINDS, units):
                 inner = np.zeros(len(unit), bool)
                 inner[:-1] = unit[1:] == unit[:-1]
@@ -101,6 +218,11 @@ def _scan(names: list[str], sets: list[np.ndarray], threshold: float):
                     if best:
                         d = int(doc[a])
                         found.append((d, kind, int(units[0][a] - first_line[d]), names[best[1]], best[0]))
+                        reported.setdefault(d, []).append((a, b, names[best[1]]))
+            which[:-1][doc[1:] != doc[:-1]] = -1
+            which[-1:] = -1
+            for d, kind, a, name, dice in in_windows(pairs, which, doc, reported):
+                found.append((d, kind, int(units[0][a] - first_line[d]), name, dice))
             if found:
                 rows, kind, at, name, dice = zip(*found)
                 take = pa.array(rows)
