@@ -12,6 +12,8 @@ from votespan.sources.datasets import (
 from votespan.sources.keyed_json import ANNOTATED, json_to_parquet, read_keyed_json
 from votespan.sources.results import long_to_wide, read_results, read_runs, wide_to_long, write_results
 from votespan.sources.scratch import scratch_path
+from workload import QUERIES
+from workload.sources import partition_files
 
 POSTS = {
     f"{i}_x": {
@@ -168,3 +170,9 @@ def test_read_runs(spark):
 def test_scratch_follows_the_session(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_queries_return_every_result_that_is_read(spark, sf):
+    read = [tuple(r) for r in read_results(spark, partition_files(spark, sf)).select("name", F.round("value", 6)).collect()]
+    got = [tuple(r) for q in ("s8_read_results", "s8_read_averages") for r in QUERIES[q](spark, sf).select("name", "value").collect()]
+    assert sorted(read) == sorted(got) and sum("_macro_f1" in n for n, _ in got) == 4

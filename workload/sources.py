@@ -139,6 +139,18 @@ def s8(spark, sf):
     return rows.filter(~F.col("name").rlike("_(macro|micro)_f1$"))
 
 
+_part_of = "[" + ", ".join(str(p) for p in range(1, 5) for _ in label_slice(TARGETS, p, 4)) + "]"
+_averages = f"""select part, 'test_target_macro_f1' as name, round(avg({f1_sql()}), 6) as value from test group by part
+  union all select part, 'test_target_micro_f1', round({f1_sql('sum(pos_pos)', 'sum(neg_pos)', 'sum(pos_neg)')}, 6) from test group by part"""
+
+
+@query("s8_read_averages", f"with {SPLIT_CELLS}, test as (select *, {_part_of}[item + 1] as part from cells where split = 'test') {_averages}")
+def s8_averages(spark, sf):
+    """The names that are in every file: macro and micro F1 of each slice, told apart by the file."""
+    rows = read_results(spark, partition_files(spark, sf)).filter(F.col("name").rlike("_(macro|micro)_f1$"))
+    return rows.select(F.regexp_extract("file", r"/part_(\d+)/", 1).cast("int").alias("part"), "name", F.round("value", 6).alias("value"))
+
+
 _wide_names = [f"test_target_{m}_f1" for m in ("macro", "micro")] + [f"test_target_f1_{n}" for n in TARGETS] + [
     f"test_target_confusion_{n}_{c}" for n in TARGETS for c in ("neg_neg", "neg_pos", "pos_neg", "pos_pos")]
 _where = "where split = 'test'"
