@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from votespan.llm import knn
 from votespan.llm.knn import KdTree, top_k
 from votespan.llm.licenses import license_matches, windows
 from votespan.llm.license_texts import NOTICES
@@ -171,6 +172,23 @@ def test_top_k_edges(spark):
         top_k(spark.createDataFrame([(2, [1e9]), (3, [1.0])], kind), F.col("vec_id") % 2 == 0).collect()
 
 
+def test_top_k_of_a_repeated_row(spark, monkeypatch):
+    """A third of the rows are one row: shards hold it once, ranks list it as often as it occurs."""
+    draw = np.random.default_rng(8)
+    rows = [(i, draw.integers(-60, 60, 4).tolist()) for i in range(1, 60)] + [(0, [70, 70, 70, 70])] * 7 + [(3, [1, 1, 1, 1])] * 400
+    df = spark.createDataFrame([(i, [x / 64 for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    seen, plain = [], knn._of_one_length
+    monkeypatch.setattr(knn, "_of_one_length", lambda t, dims, shards, *rest: seen.append((t.count(), shards)) or plain(t, dims, shards, *rest))
+    got = {tuple(r) for r in top_k(df, F.col("vec_id") % 10 == 0, k=12, shard_size=16, leaf=4).collect()}
+    assert seen == [(61, 4)]
+    want = set()
+    for own, q in rows[:59] + rows[59:60]:
+        if own % 10 == 0:
+            ranked = sorted((-int(np.dot(q, v)), i) for i, v in rows if i != own)[:12]
+            want |= {(own, n + 1, i, -score) for n, (score, i) in enumerate(ranked)}
+    assert got == want
+
+
 def test_kd_tree_bounds():
     draw = np.random.default_rng(6)
     vectors = draw.integers(-50, 50, (500, 6)).astype(float)

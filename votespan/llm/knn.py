@@ -13,7 +13,9 @@ sides of bounded size.
 Cases: vectors that are null or hold null, NaN or infinite components take no part, neither
 as queries nor as candidates; nor do rows without id.  Vectors are compared with vectors of
 their own length.  Rows that repeat an id are candidates each by itself, are not candidates of
-a query of that id, and as queries give one result each, or one in all if their vectors agree.  Components must fit 31 bits after
+a query of that id, and as queries give one result each, or one in all if their vectors agree.
+Rows that agree in id and vector are one row of a shard with its number of copies, and are ranked
+as often as they occur.  Components must fit 31 bits after
 scaling, or it raises.  Other columns are not read.
 """
 
@@ -64,9 +66,9 @@ class KdTree:
         """The best score each node may hold for each query."""
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
-    def search(self, query: np.ndarray, own: int, bounds: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of the best ``k`` that reach ``floor``, without ids equal to ``own``."""
-        scores, ids = np.zeros(0), np.zeros(0, np.int64)
+    def search(self, query: np.ndarray, own: int, bounds: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, ids, places among the vectors) of the best ``k`` that reach ``floor``, without ids equal to ``own``."""
+        scores, ids, places = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
         heap = [(-bounds[0], 0)]
         while heap:
             bound, node = heapq.heappop(heap)
@@ -83,12 +85,13 @@ class KdTree:
             found = self.vectors[rows] @ query
             near = (found >= floor) & (self.ids[rows] != own)
             scores, ids = np.concatenate([scores, found[near]]), np.concatenate([ids, self.ids[rows][near]])
+            places = np.concatenate([places, rows[near]])
             if len(ids) > k:
                 best = np.lexsort((ids, -scores))[:k]
-                scores, ids = scores[best], ids[best]
+                scores, ids, places = scores[best], ids[best], places[best]
             if len(ids) == k:
                 floor = max(floor, scores.min())
-        return scores, ids
+        return scores, ids, places
 
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -112,12 +115,13 @@ def _search(k: int, leaf: int, dims_of):
             bounds = tree.bounds(q.astype(np.float64))
             if not exact:
                 bounds = bounds + np.abs(bounds) * 1e-9 + 1
+            copies = vectors.column("copies").to_numpy()
             floors = queries.column("floor").to_numpy()
             for i, (own, row) in enumerate(zip(queries.column("query_id").to_pylist(), queries.column("row").to_pylist())):
-                scores, ids = tree.search(q[i], own, bounds[i], k, floors[i])
-                out.append((np.full(len(ids), own), np.full(len(ids), row), ids, scores.astype(np.int64)))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-        return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=["query_id", "row", "vec_id", "score"])
+                scores, ids, places = tree.search(q[i], own, bounds[i], k, floors[i])
+                out.append((np.full(len(ids), own), np.full(len(ids), row), ids, scores.astype(np.int64), copies[places]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
+        return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=["query_id", "row", "vec_id", "score", "copies"])
 
     return run
 
@@ -142,6 +146,7 @@ def top_k(
     """
     rows = stash(
         whole_vectors(candidates, id_col, vector_col, scale)
+        .groupBy("vec_id", "v", "dims").agg(F.count("*").alias("copies"))
         .withColumn("row", F.xxhash64("vec_id", "v")).withColumn("query", F.coalesce(is_query, F.lit(False))), "vectors")
     sizes = {r["dims"]: (r["n"], r["q"]) for r in rows.groupBy("dims").agg(
         F.count("*").alias("n"), F.count_if("query").alias("q")).collect()}
@@ -156,8 +161,11 @@ def top_k(
     for p in parts[1:]:
         found = found.unionByName(p)
     best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+    nearest = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k)
+    upto = F.sum("copies").over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = nearest.withColumn("last", upto).withColumn("first", F.col("last") - F.col("copies") + 1).where(F.col("first") <= k)
+    ranks = F.sequence(F.col("first").cast("int"), F.least("last", F.lit(k)).cast("int"))
+    return ranked.select("query_id", F.explode(ranks).alias("rank"), "vec_id", "score")
 
 
 def _of_one_length(rows: DataFrame, dims: int, shards: int, blocks: int, k: int, leaf: int) -> DataFrame:
@@ -166,14 +174,14 @@ def _of_one_length(rows: DataFrame, dims: int, shards: int, blocks: int, k: int,
         F.col("vec_id").alias("query_id"), "row", "v", F.col("shard").alias("home"),
         F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).dropDuplicates(["query_id", "row"]), "queries")
     run = _search(k, leaf, lambda key, d=dims: d)
-    out = "query_id long, row long, vec_id long, score long"
+    out = "query_id long, row long, vec_id long, score long, copies long"
 
     def against(queries: DataFrame, vectors: DataFrame) -> DataFrame:
         return vectors.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(run, out)
 
     # At home first: what is kth there is a floor everywhere else.
-    in_blocks = dealt.select("vec_id", "v", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")).select(
-        "vec_id", "v", "shard", F.col("b").cast("long").alias("block"))
+    in_blocks = dealt.select("vec_id", "v", "copies", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")).select(
+        "vec_id", "v", "copies", "shard", F.col("b").cast("long").alias("block"))
     start = F.lit(float("-inf"))
     home = stash(against(asked.withColumn("shard", F.col("home")).withColumn("floor", start), in_blocks), "home-results")
     floors = home.groupBy("query_id", "row").agg(
