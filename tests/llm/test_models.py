@@ -11,7 +11,7 @@ from votespan.llm import knn
 from votespan.llm.knn import KdTree, top_k
 from votespan.llm.licenses import license_matches, windows
 from votespan.llm.license_texts import NOTICES
-from votespan.llm.quality import BITS, DENSE, OrdinalModel, expected_grade, features, fit, fit_rows, good, graded, rate
+from votespan.llm.quality import BITS, DENSE, OrdinalModel, expected_grade, features, fit, fit_rows, good, graded, rate, sampled
 
 
 def sentences(spark, n, start=0):
@@ -54,6 +54,19 @@ def test_classifier_edges(spark):
     assert rate(texts.limit(0), model).collect() == []
 
 
+def test_classifier_sample_is_of_joined_rows(spark):
+    """An id that a third of the documents have, and one that many ratings have."""
+    docs = spark.createDataFrame(
+        [(0, f"text {i}") for i in range(3000)] + [(i, "plain") for i in range(1, 3001)] + [(1, "copy")] * 3000, "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(3001)] + [(2, 1)] * 1000, "doc_id long, grade int")
+    some = sampled(docs, ratings, F.col("grade"), sample=500).select("id", "grade", "t", "copies").distinct()
+    of = {r["id"]: r["n"] for r in some.groupBy("id").agg(F.sum("copies").alias("n")).collect()}
+    assert 400 < sum(of.values()) < 600
+    assert 100 < of[0] < 200 and 145 <= of[1] <= 155 and 45 <= of[2] <= 55
+    whole = sampled(docs, ratings, F.col("grade")).select("id", "grade", "t", "copies").distinct()
+    assert whole.agg(F.sum("copies")).first()[0] == 3000 + 3000 + 3000 + 1000
+
+
 def test_ordinal_gradient():
     """The fitted loss falls, and a flat model gives the shares of the grades."""
     draw = np.random.default_rng(0)

@@ -7,12 +7,13 @@ tail, P(grade >= j), to select by.
 Features of a text: which words it holds (lower-cased ASCII, hashed), the share of each ASCII
 mark, of capitals and digits, and the shares of words that repeat their neighbour or occur
 before.  The weights are fitted by FTRL with an L1 penalty, so words that tell nothing weigh
-nothing.  The fit reads a bounded sample of the rated rows (``sample``, by hash of the id);
-scoring reads every text whole.
+nothing.  The fit reads a bounded sample (``sample``) of the documents joined with their
+ratings; scoring reads every text whole.
 
 Cases: null and empty texts have no words and are scored by their (zero) features; ratings
 without grade or without a document are left out; rated documents that repeat an id are used
-each by itself; no ratings at all give a model that finds every grade equally likely; columns of
+each by itself, those that repeat the text too are read once and count as often as they occur in
+the sample; no ratings at all give a model that finds every grade equally likely; columns of
 the documents other than id and text pass through unread.
 """
 
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from votespan.llm.common import BASES, begin, byte_values, ranges_hash, slices, text_bytes, text_of_rows, worker_cache
+from votespan.llm.common import BASES, begin, byte_values, ranges_hash, slices, stash, text_bytes, text_of_rows, worker_cache
 
 SLICE = 2 << 20
 BITS = 18
@@ -157,22 +158,34 @@ def _ftrl(total, square, rate, l1, l2):
 
 
 def _feature_rows(batches):
+    """(id, grade, t, copies, text) to the same with features; what a task has read before is left out."""
+    seen = set()
     for batch in slices(batches, "text", SLICE):
-        data, offsets = text_bytes(batch.column(2))
+        new = []
+        for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+            if key not in seen:
+                seen.add(key)
+                new.append(i)
+        if not new:
+            continue
+        batch = batch.take(pa.array(new))
+        data, offsets = text_bytes(batch.column(4))
         doc, index, dense = features(data, offsets)
         ends = np.searchsorted(doc, np.arange(len(dense) + 1))
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(index.astype(np.int32)))
         flat = pa.array(dense.ravel())
         shares = pa.ListArray.from_arrays(pa.array((np.arange(len(dense) + 1) * DENSE).astype(np.int32)), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, shares], names=["id", "grade", "words", "dense"])
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in range(4)), lists, shares], names=["id", "grade", "t", "copies", "words", "dense"])
 
 
 def _fit(n_grades: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("grade", "ascending")])
+        table = table.sort_by([("id", "ascending"), ("grade", "ascending"), ("t", "ascending")])
         rows = [(np.array(w.values, np.int64), np.array(d.values)) for w, d in zip(
             (x for c in table.column("words").chunks for x in c), (x for c in table.column("dense").chunks for x in c))]
-        model = fit_rows(rows, table.column("grade").to_numpy(), n_grades)
+        each = np.repeat(np.arange(len(rows)), table.column("copies").to_numpy())
+        model = fit_rows([rows[i] for i in each], table.column("grade").to_numpy()[each], n_grades)
         return pa.table({
             "weights": pa.array([model.weights.astype("<f4").tobytes()], pa.binary()),
             "thresholds": pa.array([model.thresholds.astype("<f8").tobytes()], pa.binary())})
@@ -180,18 +193,36 @@ def _fit(n_grades: int):
     return run
 
 
+def sampled(
+    docs: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000,
+) -> DataFrame:
+    """(id, grade, t, copies, text): of the rows of ``docs`` joined with ``ratings`` about ``sample`` at most.
+
+    Rows that agree in id, grade and text (``t`` is its hash) are counted before they are joined
+    and drawn together: ``copies`` of them are in the sample.  They may still come several times.
+    """
+    rated = ratings.select(F.col(id_col).cast("long").alias("id"), grade.cast("int").alias("grade")).where(
+        "id is not null and grade is not null").groupBy("id", "grade").agg(F.count("*").alias("r"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    joined = stash(
+        texts.groupBy("id", "t").agg(F.count("*").alias("d")).join(rated, "id").select(
+            "id", "grade", "t", (F.col("d") * F.col("r")).alias("n")), "rated-texts")
+    total = joined.agg(F.sum("n")).first()[0] or 0
+    share = min(1.0, sample / max(1, total))
+    draw = F.pmod(F.xxhash64("id", "t", "grade", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = joined.withColumn("copies", F.floor(F.col("n") * F.lit(share) + draw)).where("copies > 0").drop("n")
+    # Not more keys than about ``sample``: texts that are not chosen are not shuffled.
+    return texts.join(F.broadcast(chosen), ["id", "t"]).select("id", "grade", "t", "copies", "text")
+
+
 def fit(
     docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, id_col: str = "doc_id", text_col: str = "text",
     sample: int = 20_000,
 ) -> OrdinalModel:
     """``grade``: 0 .. n_grades - 1, an expression over ``ratings``; at most about ``sample`` rows are used."""
-    rated = ratings.select(F.col(id_col).cast("long").alias("id"), grade.cast("int").alias("grade")).where(
-        "id is not null and grade is not null")
-    share = min(1.0, sample / max(1, rated.count()))
-    rated = rated.where(F.pmod(F.xxhash64(F.col("id"), F.lit(29)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(rated, "id").select("id", "grade", "text").mapInArrow(
-        _feature_rows, "id long, grade int, words array<int>, dense array<double>")
+    rows = sampled(docs, ratings, grade, id_col, text_col, sample).mapInArrow(
+        _feature_rows, "id long, grade int, t long, copies long, words array<int>, dense array<double>").dropDuplicates(["id", "grade", "t"])
     found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(_fit(n_grades), "weights binary, thresholds binary").collect()
     if not found:
         even = np.arange(1, n_grades) / n_grades
