@@ -16,9 +16,12 @@ from votespan.llm.license_texts import NOTICES
 from votespan.llm.licenses import license_matches
 from votespan.llm.lines import line_digests
 from votespan.llm.packing import pack, token_pieces
+from votespan.llm.piece_counts import count_pieces
 from votespan.llm.quality import expected_grade, fit, good, graded, rate
+from votespan.llm.spelling import counted_words, spelling_forms
 from votespan.llm.substring import substring_digests
 from votespan.llm.token_store import read_store, write_store
+from votespan.llm.whitening import fit_whitening, scaled, whiten
 from votespan.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +176,21 @@ select doc_id, first_value(doc_id) over best as keep_id, (count(*) over (partiti
 from t window best as (partition by h order by n desc, doc_id)""")
 def op10(spark, sf):
     return exact_classes(table(spark, sf, "documents"))
+
+
+@query("op11_token_counts")
+def op11(spark, sf):
+    counts = count_pieces(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.select(plain_id(), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query("op12_spelling_variants")
+def op12(spark, sf):
+    return spelling_forms(counted_words(table(spark, sf, "documents"))).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_whitening")
+def op13(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", scaled(F.col("embedding"), 1024, 100_000).alias("x"))
+    return whiten(vectors, "vec_id", "x", fit_whitening(vectors, "x", 8))
