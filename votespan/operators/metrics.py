@@ -200,21 +200,21 @@ def _weight_of(freqs: Sequence[float] | None, item: Column) -> Column:
     return F.get(F.array(*[F.lit((1.0 - f) / (f + EPS)) for f in freqs]), item)
 
 
-def task_metrics(
-    pred: DataFrame, task: str, names: Sequence[str] | None = None, split: str = "split", item: str = "item",
-    freqs: Sequence[float] | None = None, no_loss: Sequence[str] = UNTRAINED,
-) -> DataFrame:
-    """(split, name, value) of every multi-label metric, from one pass over the predictions.
-
-    Names are ``<split>_<task>_macro_f1``, ``…_micro_f1``, ``…_f1_<label>``,
-    ``…_confusion_<label>_<truth>_<prediction>`` and, but for the splits ``no_loss``,
-    ``…_loss_<item>``; labels are ``names`` by item or the item.  ``freqs`` are the shares of
-    positives that weigh the log loss.
-    """
+def item_sums(pred: DataFrame, by: Sequence[str], mask: str | None = None) -> DataFrame:
+    """What all multi-label metrics are made of, a row per group: confusion counts, both halves of
+    the log loss and the number of rows.  One aggregation, so streams take it too."""
     z, y = F.col("logit"), F.col("truth")
-    cells = harden(pred).groupBy(split, item).agg(
+    rows = harden(pred if mask is None else pred.filter(F.col(mask)))
+    return rows.groupBy(*as_list(by)).agg(
         *cell_counts(F.col("hard"), F.col("pred")), F.sum(y * softplus(-z)).alias("pos_loss"),
         F.sum((1.0 - y) * softplus(z)).alias("neg_loss"), F.count(z * y).alias("n"))
+
+
+def metrics_of(
+    cells: DataFrame, task: str, names: Sequence[str] | None = None, split: str = "split", item: str = "item",
+    freqs: Sequence[float] | None = None, no_loss: Sequence[str] = UNTRAINED,
+) -> DataFrame:
+    """(split, name, value) of every multi-label metric, from ``item_sums`` by split and item."""
     label = F.get(F.array(*[F.lit(n) for n in names]), F.col(item)) if names else F.col(item).cast("string")
 
     def entry(name: Column, value: Column) -> Column:
@@ -238,6 +238,20 @@ def task_metrics(
     return folded.select(split, F.inline(entries))
 
 
+def task_metrics(
+    pred: DataFrame, task: str, names: Sequence[str] | None = None, split: str = "split", item: str = "item",
+    freqs: Sequence[float] | None = None, no_loss: Sequence[str] = UNTRAINED,
+) -> DataFrame:
+    """(split, name, value) of every multi-label metric, from one pass over the predictions.
+
+    Names are ``<split>_<task>_macro_f1``, ``…_micro_f1``, ``…_f1_<label>``,
+    ``…_confusion_<label>_<truth>_<prediction>`` and, but for the splits ``no_loss``,
+    ``…_loss_<item>``; labels are ``names`` by item or the item.  ``freqs`` are the shares of
+    positives that weigh the log loss.
+    """
+    return metrics_of(item_sums(pred, [split, item]), task, names, split, item, freqs, no_loss)
+
+
 def evaluate_splits(
     target: DataFrame | None = None, label: DataFrame | None = None,
     score: DataFrame | None = None, rationale: DataFrame | None = None,

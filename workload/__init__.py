@@ -2,5 +2,5 @@
 
 from workload.registry import ORACLE, QUERIES  # noqa: F401
 from workload import (  # noqa: F401
-    aggregates, columns, composites, evaluation, ordering, sources, spans, text,
+    aggregates, columns, composites, evaluation, ordering, sources, spans, streams, text,
 )
