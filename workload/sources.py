@@ -50,7 +50,7 @@ def _post_digest(df):
 
 @query("s1_read_keyed_json", POSTS_SQL)
 def s1(spark, sf):
-    return _post_digest(read_keyed_json(spark, _keyed_json(spark, sf), first_member="post_id"))
+    return _post_digest(read_keyed_json(spark, _keyed_json(spark, sf)))
 
 
 @query("s2_json_to_parquet", POSTS_SQL)
