@@ -12,8 +12,9 @@ from workload import QUERIES
 from workload.tables import CATEGORIES, posts, predictions
 
 PYTHON = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow")
-# Sub-word tokenising, alignment and the user's model leave the JVM; nothing else does.
+# Sub-word tokenising, alignment, the scan of JSON for brackets and the user's model leave the JVM; nothing else does.
 LEAVES_JVM = {
+    "s1_read_keyed_json",
     "c7_inspection_report",
     "x2_tokenize", "f4_map_batches", "c1_prepare_annotated", "c1_prepare_rationale", "c2_prepare_scored", "c3_run_prepare", "r1_score",
     "w5_align_words", "w5_align_detokenized", "j4_remap_spans", "j4_remap_span_rows", "x11_render_spans"}
@@ -35,7 +36,16 @@ def test_preparing_nested_posts_needs_no_shuffle(spark, sf, tmp_path, plan_of):
     read = spark.read.parquet(str(tmp_path / "posts"))
     assert nodes(plan_of(label_posts(read, CATEGORIES)), "Exchange") == 0
     plan = plan_of(prepare_annotated(read, {"[CLS]": 0, "[SEP]": 1, "[UNK]": 2}, CATEGORIES))
-    assert nodes(plan, "Exchange") == 0 and nodes(plan, "ArrowEvalPython") == 2
+    assert nodes(plan, "Exchange") == 0 and nodes(plan, "MapInArrow") == 1
+
+
+def test_a_filter_does_not_prepare_twice(spark, sf, tmp_path, plan_of):
+    posts(spark, sf).write.parquet(str(tmp_path / "posts"))
+    read = spark.read.parquet(str(tmp_path / "posts"))
+    ready = prepare_annotated(read, {"[CLS]": 0, "[SEP]": 1, "[UNK]": 2}, CATEGORIES)
+    for kept in (F.size("rationale") > 0, F.size("tokens") > 3, F.col("label_plain") > 0):
+        plan = plan_of(ready.where(kept).select("post_id", F.size("rationale")))
+        assert nodes(plan, "MapInArrow") == 1 and nodes(plan, "ArrowEvalPython") == 0 and nodes(plan, "FileScan") == 1
 
 
 def test_statistics_are_one_pass(spark, sf, plan_of):

@@ -1,7 +1,10 @@
+import random
+import time
+
 import pytest
 from conftest import rows
 
-from votespan.operators.tokenizer import SPECIALS, build_vocab, tokenize, vocab_dict, word_counts
+from votespan.operators.tokenizer import LongestMatch, SPECIALS, Vocabulary, build_vocab, pieces_of, tokenize, vocab_dict, word_counts
 
 VOCAB = {t: i for i, t in enumerate(SPECIALS + ["hello", "wor", "##ld", ",", "!", "un", "##able"])}
 
@@ -39,7 +42,7 @@ def test_equals_a_public_tokenizer(spark, sf, accents, max_length):
     if max_length:
         public.enable_truncation(max_length)
     hard = spark.createDataFrame([(-i - 1, t) for i, t in enumerate(HARD)], "doc_id bigint, text string")
-    for r in tokenize(hard.unionByName(docs.select("doc_id", "text")), "text", vocab, max_length, accents).collect():
+    for r in tokenize(hard.unionByName(docs.select("doc_id", "text")), "text", vocab, max_length, accents, longest_word=100).collect():
         want = public.encode(r.text)
         assert r.tokens == want.ids
         assert [tuple(o) for o in r.offsets] == want.offsets
@@ -53,3 +56,50 @@ def test_vocab(spark):
         "##a", "##b", "##c", "a", "b", "c", "##,", "##d", ",", "d", "ab"]
     with pytest.raises(ValueError):
         vocab_dict(build_vocab(df), limit=3)
+
+
+def greedy(word, vocab):
+    """Piece after piece by trying every length."""
+    out, start = [], 0
+    while start < len(word):
+        for end in range(len(word), start, -1):
+            if (piece := vocab.get(("##" if start else "") + word[start:end])) is not None:
+                out.append((piece, end - start))
+                start = end
+                break
+        else:
+            return None
+    return out
+
+
+@pytest.mark.parametrize("letters,longest", [("ab", 3), ("ab", 7), ("abc", 4), ("a", 9), ("abcde", 2)])
+def test_the_trie_gives_the_longest_pieces(letters, longest):
+    draw = random.Random(longest)
+    for _ in range(60):
+        some = lambda: "".join(draw.choice(letters) for _ in range(draw.randint(1, longest)))
+        tokens = {some() for _ in range(draw.randint(0, 9))} | {"##" + some() for _ in range(draw.randint(0, 9))} | {"##"}
+        vocab = {t: i for i, t in enumerate(sorted(tokens))}
+        trie = LongestMatch(vocab)
+        for _ in range(40):
+            word = "".join(draw.choice(letters) for _ in range(draw.randint(1, 25)))
+            assert trie.pieces(word) == greedy(word, vocab), (vocab, word)
+
+
+def test_long_words_take_linear_time_and_the_same_ids():
+    vocab = Vocabulary({t: i for i, t in enumerate([*SPECIALS, "a", "##a", "##aa", "##aaaab", "##b", "ab", "##" + "a" * 50])})
+    for text in ("ab" * 70, "a" * 333, "a" * 100 + "b" * 30, "b" * 80):
+        word = [p[0] for p in pieces_of(text, vocab, True)]
+        want = greedy(text, vocab)
+        assert word == ([vocab["[UNK]"]] if want is None else [p for p, _ in want])
+    seconds = []
+    for n in (250_000, 1_000_000):
+        begun = time.perf_counter()
+        assert len(vocab.trie.pieces("ab" + "aab" * (n // 3))) > n // 4
+        seconds.append(time.perf_counter() - begun)
+    assert seconds[1] < 12 * seconds[0]
+
+
+def test_a_word_may_be_set_to_be_unknown(spark):
+    df = spark.createDataFrame([("unable" + "able" * 40,)], "text string")
+    assert len(tokenize(df, "text", VOCAB).first().tokens) == 44
+    assert tokenize(df, "text", VOCAB, longest_word=100).first().tokens == [VOCAB[t] for t in ("[CLS]", "[UNK]", "[SEP]")]

@@ -131,6 +131,15 @@ def align_row(words: list[str | None], text: str) -> list[tuple[int, int]]:
     return out
 
 
+def aligned_spans(lists: list[list[str | None] | None], texts: list[str | None]) -> pa.Array:
+    """Spans of the words of each row; null words or text give null."""
+    spans = [None if w is None or t is None else align_row(w, t) for w, t in zip(lists, texts)]
+    bounds = np.cumsum([0, *(len(s or ()) for s in spans)]).astype(np.int32)
+    flat = np.array([x for s in spans for x in s or ()], np.int32).reshape(-1, 2)
+    pairs = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in (0, 1)], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(bounds), pairs, mask=pa.array([s is None for s in spans], pa.bool_()))
+
+
 def align_words(words: Column, text: Column) -> Column:
     """Character span of each word, searched left to right from the end of the last find.
 
@@ -140,11 +149,7 @@ def align_words(words: Column, text: Column) -> Column:
     """
     @F.arrow_udf("array<struct<start:int,end:int>>")
     def aligned(lists: pa.Array, texts: pa.Array) -> pa.Array:
-        spans = [None if w is None or t is None else align_row(w, t) for w, t in zip(lists.to_pylist(), texts.to_pylist())]
-        bounds = np.cumsum([0, *(len(s or ()) for s in spans)]).astype(np.int32)
-        flat = np.array([x for s in spans for x in s or ()], np.int32).reshape(-1, 2)
-        pairs = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in (0, 1)], ["start", "end"])
-        return pa.ListArray.from_arrays(pa.array(bounds), pairs, mask=pa.array([s is None for s in spans], pa.bool_()))
+        return aligned_spans(lists.to_pylist(), texts.to_pylist())
 
     return aligned(words, text)
 

@@ -17,14 +17,15 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from votespan.functions.arrays import span
+from votespan.functions.text import aligned_spans
 
 # Executors need no copy of this package: the functions travel with the plan.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The special tokens of the public uncased vocabularies.
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
-# The published default: longer words are unknown.
-LONGEST_WORD = 100
+#: Longer words are matched along a trie, shorter ones by looking up their pieces.
+SHORT = 64
 MEMO_SIZE = 200_000
 WORD_PATTERN = r"([\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r])"
 
@@ -85,7 +86,83 @@ def _is_sign(ch: str) -> bool:
 BLANK_FREE = re.compile("[^ \t\n\r   -     　]+")
 
 
-def pieces_of(chunk: str, vocab: dict[str, int], strip_accents: bool, longest_word: int | None = LONGEST_WORD) -> list[tuple[int, int, int]]:
+class LongestMatch:
+    """The longest known piece at each place of a word, in time that grows with the word alone.
+
+    A trie over the vocabulary with failure links, after "Fast WordPiece Tokenization" (Song et
+    al., 2021).  Where no letter leads on from a node, the pieces the letters so far are known
+    to begin with are given out, and the link leads to the node of what is left of them.
+    """
+
+    START, INNER = 0, 1  # the node in front of a word, and the node between two pieces
+
+    def __init__(self, vocab: dict[str, int]):
+        self.next: dict[tuple[int, str], int] = {}
+        self.children: list[list[tuple[str, int]]] = [[], []]
+        ends: dict[int, tuple[int, int]] = {}
+        for token, number in vocab.items():
+            node, letters = (self.INNER, token[2:]) if token.startswith("##") else (self.START, token)
+            for c in letters:
+                onward = self.next.get((node, c))
+                if onward is None:
+                    onward = self.next[node, c] = len(self.children)
+                    self.children[node].append((c, onward))
+                    self.children.append([])
+                node = onward
+            if letters:
+                ends[node] = (number, len(letters))
+        self.link: list[int | None] = [None] * len(self.children)
+        self.given: list[tuple[tuple[int, int], ...]] = [()] * len(self.children)
+        # Nodes by their distance from the two roots: links lead to nearer ones.
+        level = [self.START, self.INNER]
+        while level:
+            below = []
+            for node in level:
+                for c, child in self.children[node]:
+                    below.append(child)
+                    if child in ends:
+                        self.link[child], self.given[child] = self.INNER, (ends[child],)
+                        continue
+                    at, found = self.link[node], self.given[node]
+                    while at is not None and (at, c) not in self.next:
+                        found, at = found + self.given[at], self.link[at]
+                    if at is not None:
+                        self.link[child], self.given[child] = self.next[at, c], found
+            level = below
+
+    def pieces(self, letters: str) -> list[tuple[int, int]] | None:
+        """(id, letters) of each piece, None where some place has none."""
+        out, node = [], self.START
+        for c in letters:
+            onward = self.next.get((node, c))
+            while onward is None:
+                if self.link[node] is None:
+                    return None
+                out += self.given[node]
+                node = self.link[node]
+                onward = self.next.get((node, c))
+            node = onward
+        while node != self.INNER:
+            if self.link[node] is None:
+                return None
+            out += self.given[node]
+            node = self.link[node]
+        return out
+
+
+class Vocabulary(dict):
+    """Tokens and their ids; the trie is built when the first long word comes."""
+
+    _trie: LongestMatch | None = None
+
+    @property
+    def trie(self) -> LongestMatch:
+        if self._trie is None:
+            self._trie = LongestMatch(self)
+        return self._trie
+
+
+def pieces_of(chunk: str, vocab: dict[str, int], strip_accents: bool, longest_word: int | None = None) -> list[tuple[int, int, int]]:
     """(id, start, end) of a blank-free stretch of text, ends counted in its characters."""
     words: list[list[tuple[str, int]]] = [[]]
     for at, ch in enumerate(chunk):
@@ -115,6 +192,12 @@ def _longest_pieces(word: list[tuple[str, int]], vocab: dict[str, int], longest_
     if longest_word is not None and len(letters) > longest_word:
         return unknown
     found, start = [], 0
+    if len(letters) > SHORT:
+        pieces = (vocab if isinstance(vocab, Vocabulary) else Vocabulary(vocab)).trie.pieces(letters)
+        for piece, size in pieces or ():
+            found.append((piece, word[start][1], word[start + size - 1][1] + 1))
+            start += size
+        return unknown if pieces is None else found
     while start < len(letters):
         for end in range(len(letters), start, -1):
             piece = vocab.get(("##" if start else "") + letters[start:end])
@@ -135,7 +218,7 @@ class PiecePool:
     """
 
     def __init__(self, vocab: dict[str, int], strip_accents: bool, longest_word: int | None):
-        self.vocab, self.strip_accents, self.longest_word = vocab, strip_accents, longest_word
+        self.vocab, self.strip_accents, self.longest_word = Vocabulary(vocab), strip_accents, longest_word
         self.reset()
 
     def reset(self) -> None:
@@ -172,9 +255,52 @@ def _lists(values: pa.Array, bounds: np.ndarray, nulls: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values, mask=pa.array(nulls))
 
 
+def cut_texts(texts: list[str | None], pool: PiecePool, max_length: int | None = None) -> tuple[pa.Array, pa.Array]:
+    """(ids, spans of characters) of each text, specials included; null text gives nulls."""
+    if len(pool.number) >= MEMO_SIZE:
+        pool.reset()
+    room = None if max_length is None else max(max_length - 2, 0)
+    numbers: list[int] = []
+    bases: list[int] = []
+    stretches, nulls = [0], []
+    known, count = pool.number, pool.count
+    for text in texts:
+        nulls.append(text is None)
+        if text is not None:
+            numbers.append(0)
+            bases.append(0)
+            used = 0
+            for found in BLANK_FREE.finditer(text):
+                chunk = found[0]
+                n = known.get(chunk)
+                if n is None:
+                    n = pool.add(chunk)
+                numbers.append(n)
+                bases.append(found.start())
+                if room is not None:
+                    used += count[n]
+                    if used >= room:
+                        break
+            numbers.append(1)
+            bases.append(0)
+        stretches.append(len(numbers))
+    pieces, ends = pool.lay_out(numbers, bases)
+    bounds = np.concatenate([[0], ends])[stretches]
+    if max_length is not None:
+        sizes = np.diff(bounds)
+        place = np.arange(len(pieces)) - np.repeat(bounds[:-1], sizes)
+        last = np.repeat(sizes, sizes) - 1
+        pieces = pieces[(place < max_length - 1) | (place == last)]
+        bounds = np.concatenate([[0], np.cumsum(np.minimum(sizes, max_length))])
+    gone = np.array(nulls, bool)
+    spans = pa.StructArray.from_arrays(
+        [pa.array(np.ascontiguousarray(pieces[:, i])) for i in (1, 2)], ["start", "end"])
+    return _lists(pa.array(np.ascontiguousarray(pieces[:, 0])), bounds, gone), _lists(spans, bounds, gone)
+
+
 def wordpiece_udf(
     vocab: dict[str, int], max_length: int | None = None, strip_accents: bool = True, broadcast: Callable = lambda v: v,
-    longest_word: int | None = LONGEST_WORD,
+    longest_word: int | None = None,
 ):
     """Arrow UDF text -> struct<tokens, offsets>; the vocabulary travels as a broadcast.
 
@@ -185,48 +311,8 @@ def wordpiece_udf(
     @F.arrow_udf("tokens array<int>, offsets array<struct<start:int,end:int>>")
     def tokenize_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pool = PiecePool(shared.value if hasattr(shared, "value") else shared, strip_accents, longest_word)
-        room = None if max_length is None else max(max_length - 2, 0)
         for texts in batches:
-            if len(pool.number) >= MEMO_SIZE:
-                pool.reset()
-            numbers: list[int] = []
-            bases: list[int] = []
-            stretches, nulls = [0], []
-            known, count = pool.number, pool.count
-            for text in texts.to_pylist():
-                nulls.append(text is None)
-                if text is not None:
-                    numbers.append(0)
-                    bases.append(0)
-                    used = 0
-                    for found in BLANK_FREE.finditer(text):
-                        chunk = found[0]
-                        n = known.get(chunk)
-                        if n is None:
-                            n = pool.add(chunk)
-                        numbers.append(n)
-                        bases.append(found.start())
-                        if room is not None:
-                            used += count[n]
-                            if used >= room:
-                                break
-                    numbers.append(1)
-                    bases.append(0)
-                stretches.append(len(numbers))
-            pieces, ends = pool.lay_out(numbers, bases)
-            bounds = np.concatenate([[0], ends])[stretches]
-            if max_length is not None:
-                sizes = np.diff(bounds)
-                place = np.arange(len(pieces)) - np.repeat(bounds[:-1], sizes)
-                last = np.repeat(sizes, sizes) - 1
-                pieces = pieces[(place < max_length - 1) | (place == last)]
-                bounds = np.concatenate([[0], np.cumsum(np.minimum(sizes, max_length))])
-            gone = np.array(nulls, bool)
-            spans = pa.StructArray.from_arrays(
-                [pa.array(np.ascontiguousarray(pieces[:, i])) for i in (1, 2)], ["start", "end"])
-            yield pa.StructArray.from_arrays(
-                [_lists(pa.array(np.ascontiguousarray(pieces[:, 0])), bounds, gone), _lists(spans, bounds, gone)],
-                ["tokens", "offsets"])
+            yield pa.StructArray.from_arrays(list(cut_texts(texts.to_pylist(), pool, max_length)), ["tokens", "offsets"])
 
     return tokenize_text
 
@@ -248,16 +334,46 @@ def valid_runs(tokens: Column, tail_plus_one: bool = False) -> Column:
 def tokenize(
     df: DataFrame, text: str, vocab: DataFrame | dict[str, int], max_length: int | None = None,
     strip_accents: bool = True, tail_plus_one: bool = False, keep: Sequence[str] | None = None,
-    longest_word: int | None = LONGEST_WORD, vocab_limit: int = 1_000_000,
+    longest_word: int | None = None, vocab_limit: int = 1_000_000,
 ) -> DataFrame:
     """Adds ``tokens``, ``mask`` (valid runs) and ``offsets`` (character spans).
 
     Null text gives nulls.  ``max_length`` cuts a row, specials included; words of more than
-    ``longest_word`` characters are unknown; a vocabulary table of more than ``vocab_limit``
-    rows is refused, for it is sent to every task.
+    ``longest_word`` characters are unknown (the published rule sets 100); a vocabulary table
+    of more than ``vocab_limit`` rows is refused, for it is sent to every task.
     """
     words = vocab if isinstance(vocab, dict) else vocab_dict(vocab, vocab_limit)
     share = df.sparkSession.sparkContext.broadcast
     keys = [c for c in (keep or df.columns)]
     out = map_batches(df, wordpiece_udf(words, max_length, strip_accents, share, longest_word), keys, [text])
     return out.select(*keys, "tokens", valid_runs(F.col("tokens"), tail_plus_one).alias("mask"), "offsets")
+
+
+def tokenize_aligned(
+    df: DataFrame, words: str, text: str, vocab: DataFrame | dict[str, int], max_length: int | None = None,
+    strip_accents: bool = True, tail_plus_one: bool = False, longest_word: int | None = None, vocab_limit: int = 1_000_000,
+) -> DataFrame:
+    """Puts ``tokens``, ``mask``, ``offsets`` and ``word_spans`` (where each word stands in the
+    text) in place of ``words`` and ``text``.
+
+    Words and text go to Python once for all of it.  Unlike columns of UDFs, the step is a node
+    of its own in the plan: a filter on its results cannot make Spark run it a second time.
+    """
+    table = vocab if isinstance(vocab, dict) else vocab_dict(vocab, vocab_limit)
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    keys = [c for c in df.columns if c not in (words, text)]
+    spans = "array<struct<start:int,end:int>>"
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = PiecePool(shared.value, strip_accents, longest_word)
+        for batch in batches:
+            of = dict(zip(batch.schema.names, batch.columns))
+            texts = of[text].to_pylist()
+            ids, offsets = cut_texts(texts, pool, max_length)
+            yield pa.RecordBatch.from_arrays(
+                [*(of[k] for k in keys), ids, offsets, aligned_spans(of[words].to_pylist(), texts)],
+                names=[*keys, "tokens", "offsets", "word_spans"])
+
+    out = df.mapInArrow(run, ", ".join([*kept, "tokens array<int>", f"offsets {spans}", f"word_spans {spans}"]))
+    return out.select(*keys, "tokens", valid_runs(F.col("tokens"), tail_plus_one).alias("mask"), "offsets", "word_spans")

@@ -8,11 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from votespan.functions.columns import category_columns, empty_map
-from votespan.functions.text import align_words, detokenize, remap_spans
+from votespan.functions.text import detokenize, remap_spans
 from votespan.operators.joins import left_join_features
 from votespan.operators.sampling import SPLITS, with_split
 from votespan.operators.stats import dataset_stats
-from votespan.operators.tokenizer import tokenize
+from votespan.operators.tokenizer import tokenize, tokenize_aligned
 from votespan.operators.votes import (
     dedupe_mean, is_label, majority, names_label, nested_consensus, nested_label_share, nested_target_share,
     vote_shares,
@@ -44,14 +44,14 @@ def label_posts(posts: DataFrame, cats: Mapping[str, Sequence[str]], rounded: Se
 def prepare_annotated(
     posts: DataFrame, vocab: DataFrame | dict[str, int], cats: Mapping[str, Sequence[str]],
     rounded: Sequence[str] = ROUNDED, max_length: int | None = None, strip_accents: bool = True,
-    denominator: str = "nonzero", skip_empty: bool = False, tail_plus_one: bool = False,
+    denominator: str = "nonzero", skip_empty: bool = False, tail_plus_one: bool = False, longest_word: int | None = None,
 ) -> DataFrame:
     """Annotated posts to (post_id, label_*, target_*, tokens, mask, rationale).
 
     Input columns are post_id, annotators, rationales and post_tokens; ``cats`` names the
     categories of ``label`` and ``target``.  ``max_length`` cuts texts.  Each output row
-    comes from its own input row, so the plan has no shuffle; only the tokeniser leaves
-    the JVM.
+    comes from its own input row, so the plan has no shuffle; tokens and the places of words
+    come from one step in Python, which a filter on the output leaves where it is.
     """
     columns = [c for g in ("label", "target") for c in category_columns(cats[g], g)]
     marks = nested_consensus(F.col("rationales"), denominator)
@@ -61,21 +61,18 @@ def prepare_annotated(
         "post_id", *columns, "post_tokens",
         F.coalesce(marks, empty_map("int", "double")).alias("rationale"),
         detokenize(F.col("post_tokens")).alias("text"))
-    tokenized = tokenize(
-        labelled, "text", vocab, max_length, strip_accents, tail_plus_one,
-        keep=["post_id", *columns, "rationale", "post_tokens", "text"])
-    moved = remap_spans(
-        F.col("rationale"), align_words(F.col("post_tokens"), F.col("text")), F.col("offsets"), skip_empty)
+    tokenized = tokenize_aligned(labelled, "post_tokens", "text", vocab, max_length, strip_accents, tail_plus_one, longest_word)
+    moved = remap_spans(F.col("rationale"), F.col("word_spans"), F.col("offsets"), skip_empty)
     return tokenized.select("post_id", *columns, "tokens", "mask", moved.alias("rationale"))
 
 
 def prepare_scored(
     comments: DataFrame, vocab: DataFrame | dict[str, int], key: str = "comment_id", score: str = "score",
-    max_length: int | None = None, strip_accents: bool = True, tail_plus_one: bool = False,
+    max_length: int | None = None, strip_accents: bool = True, tail_plus_one: bool = False, longest_word: int | None = None,
 ) -> DataFrame:
     """Scored comments to (key, score, tokens, mask, offsets), one row per comment."""
     once = dedupe_mean(comments, key, score)
-    return tokenize(once, "text", vocab, max_length, strip_accents, tail_plus_one, keep=[key, "score"])
+    return tokenize(once, "text", vocab, max_length, strip_accents, tail_plus_one, keep=[key, "score"], longest_word=longest_word)
 
 
 def join_labelled(posts: DataFrame, labels: DataFrame, rationale: DataFrame, key: str) -> DataFrame:
