@@ -54,3 +54,46 @@ def test_target_heads(points):
     mine = got.filter("item = 0 and id = 5").first().logit
     x = points.filter("id = 5").first().x
     assert mine == pytest.approx(float(np.dot(heads["t0"].coefficients, x) + heads["t0"].intercept))
+
+
+def alone(df, features, target, weight, reg):
+    """The same head by the library's own fit, one target at a time."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows_ = df.where(F.col(target).isNotNull()).select(
+        array_to_vector(features).alias("features"), F.col(target).alias("label"), F.when(F.col(target) > 0.5, weight).otherwise(1.0).alias("weight"))
+    return LogisticRegression(family="binomial", weightCol="weight", maxIter=500, tol=1e-12, regParam=reg).fit(rows_)
+
+
+@pytest.mark.parametrize("most_curvature", [1 << 22, 0])
+def test_heads_fitted_together_equal_heads_fitted_alone(spark, most_curvature):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4)) * np.array([1.0, 10.0, 0.1, 1.0]) + np.array([0.0, 5.0, 0.0, -1.0])
+    logit = np.stack([x @ [1.0, 0.1, 3.0, 0.0] + 0.3, x @ [0.0, -0.2, 1.0, 1.0] - 1.0], axis=1)
+    y = (rng.random(logit.shape) < 1 / (1 + np.exp(-logit))).astype(float)
+    data = [([float(v) for v in x[i]], float(y[i, 0]), None if i % 5 == 0 else float(y[i, 1]), 1.0, None) for i in range(400)]
+    df = spark.createDataFrame(data, "x array<double>, a double, b double, every double, none double").repartition(3)
+    heads = fit_target_heads(df, "x", ["a", "b", "every", "none"], {"b": 2.5}, max_iter=3000, reg=0.01, most_curvature=most_curvature)
+    for target, weight in (("a", 1.0), ("b", 2.5)):
+        model = alone(df, "x", target, weight, 0.01)
+        assert list(heads[target].coefficients) == pytest.approx(list(model.coefficients), abs=2e-4)
+        assert heads[target].intercept == pytest.approx(model.intercept, abs=2e-4)
+    # A target without both sides has nothing to tell apart.
+    assert not heads["every"].coefficients.any() and heads["every"].intercept > 20
+    assert not heads["none"].coefficients.any() and heads["none"].intercept < -20
+
+
+def test_rounds_are_passes(points, monkeypatch):
+    from votespan.operators import heads as module
+
+    passes = []
+    summed = module._Blocks.summed
+    monkeypatch.setattr(module._Blocks, "summed", lambda self, of, n, given=None: passes.append(of) or summed(self, of, n, given))
+    heads = fit_target_heads(points, "x", ["t0", "t1"])
+    assert len(passes) == 1 + max(h.rounds for h in heads.values()) <= 20
+
+
+def test_heads_of_no_rows(spark):
+    df = spark.createDataFrame([], "x array<double>, a double")
+    assert fit_target_heads(df, "x", ["a"])["a"].coefficients.size == 0
