@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from votespan.operators.metrics import task_metrics, weighted_bce
 from votespan.operators.stats import dataset_stats
+from votespan.plans.evaluate import evaluate
 from votespan.plans.prepare import label_posts, prepare_annotated
 from workload import QUERIES
 from workload.tables import CATEGORIES, posts, predictions
@@ -94,7 +95,18 @@ def test_planning_runs_no_job(spark, sf, name):
 
 
 def test_evaluation_reads_its_table_once(spark, sf, plan_of):
-    assert nodes(plan_of(QUERIES["c5_evaluate"](spark, sf)), "FileScan", "Generate") == 2
+    plan = plan_of(QUERIES["c5_evaluate"](spark, sf))
+    assert nodes(plan, "FileScan") == 1 and nodes(plan, "Join", "Union") == 0
+
+
+def test_evaluation_does_not_grow_with_the_labels(spark, plan_of):
+    df = spark.createDataFrame([], "split string, target_logits array<double>, target array<double>, label_logits array<double>, label array<double>")
+
+    def without_names(n):
+        plan = plan_of(evaluate(df, [f"label{i}" for i in range(n)], n_labels=n))
+        return len(re.sub(r"label\d+,? ?", "", plan))
+
+    assert without_names(200) < 1.05 * without_names(5)
 
 
 def test_batches_rank_keys_only(spark, tmp_path, plan_of):

@@ -79,8 +79,24 @@ def test_runs_over_steps(spark, step):
     rng = random.Random(step)
     flags = {k: [rng.random() < p for _ in range(n)] for k, p, n in [("hot", 0.9, 400), ("all", 1.1, 16), ("none", -1, 9), ("mix", 0.5, 50)]}
     df = spark.createDataFrame([(k, i, f) for k, fs in flags.items() for i, f in enumerate(fs)], "k string, pos int, flag boolean")
-    got = rows(runs_table(df, ["k"], "pos", "flag", step=step))
-    assert got == sorted(((k, a, b) for k, fs in flags.items() for a, b in runs_of(fs)), key=repr)
+    want = sorted(((k, a, b) for k, fs in flags.items() for a, b in runs_of(fs)), key=repr)
+    assert rows(runs_table(df, ["k"], "pos", "flag", step=step)) == want
+    assert rows(runs_table(df.filter("k != 'none'"), ["k"], "pos", "flag", step=step, fan=1 << 12)) == want
+
+
+def test_runs_over_many_levels(spark):
+    """Stretches of 64 steps: a run goes on over borders of three levels, far along the group."""
+    far = 1 << 40
+    ranges = [(0, 1), (60, 4100), (5000, 8192), (8193, 8200), (far - 10, far + 4096), (far + 5000, far + 5001)]
+    df = spark.createDataFrame([("g", a, b) for a, b in ranges], "k string, a long, b long").select(
+        "k", F.explode(F.sequence("a", F.col("b") - 1)).alias("pos"), F.lit(True).alias("flag"))
+    assert rows(runs_table(df, ["k"], "pos", "flag", step=8, fan=64)) == sorted((("g", a, b) for a, b in ranges), key=repr)
+
+
+def test_newest_keeps_few_rows_before_the_shuffle(hot, plan_of):
+    plan = plan_of(newest(hot, ["source"], [F.desc("t"), F.col("id")], "id", 35))
+    below = plan[plan.index("Exchange"):]
+    assert "WindowGroupLimit" in below and plan.count("Exchange") == 1 and "_part" not in plan
 
 
 def test_pad_length_and_complete(spark):

@@ -176,3 +176,28 @@ def test_queries_return_every_result_that_is_read(spark, sf):
     read = [tuple(r) for r in read_results(spark, partition_files(spark, sf)).select("name", F.round("value", 6)).collect()]
     got = [tuple(r) for q in ("s8_read_results", "s8_read_averages") for r in QUERIES[q](spark, sf).select("name", "value").collect()]
     assert sorted(read) == sorted(got) and sum("_macro_f1" in n for n, _ in got) == 4
+
+
+def test_results_of_many_headers_are_one_plan(spark, tmp_path, plan_of):
+    for i in range(60):
+        (tmp_path / f"d{i % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"d{i % 3}" / f"{i}.csv").write_text(f'"m,{i}",n_{i},both\n{i}.5,,"1e2"\r\n\n-1,2,3,4\n' if i % 2 else f'a""b,"c""d{i}"\n{i}')
+    got = read_results(spark, str(tmp_path / "d*/*.csv"))
+    assert plan_of(got).count("FileScan") == 2 and "Union" not in plan_of(got)
+    want = []
+    for i in range(60):
+        if i % 2:
+            want += [(f"m,{i}", i + 0.5), (f"n_{i}", None), ("both", 100.0), (f"m,{i}", -1.0), (f"n_{i}", 2.0), ("both", 3.0)]
+        else:
+            want += [('a""b', float(i)), (f'c"d{i}', None)]
+    assert rows(got, "name", "value") == sorted(want, key=repr)
+
+
+def test_results_by_braces_and_by_lists(spark, tmp_path):
+    for part in (1, 2, 3):
+        (tmp_path / f"part_{part}").mkdir()
+        (tmp_path / f"part_{part}" / "r.csv").write_text(f"x\n{part}\n")
+    one_two = [("x", 1.0), ("x", 2.0)]
+    assert rows(read_results(spark, f"{tmp_path}/part_{{1,2}}/*.csv"), "name", "value") == one_two
+    assert rows(read_results(spark, [f"{tmp_path}/part_1/r.csv", f"{tmp_path}/part_2/*.csv"]), "name", "value") == one_two
+    assert {r["file"].rsplit("/", 2)[1] for r in read_results(spark, f"{tmp_path}/*/r.csv").collect()} == {"part_1", "part_2", "part_3"}

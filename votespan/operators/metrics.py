@@ -7,7 +7,7 @@ rows left, so hot items are folded before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -86,9 +86,9 @@ def _ratio(a: Column, b: Column) -> Column:
     return a / (b + F.lit(EPS))
 
 
-def binary_f1() -> Column:
+def binary_f1(of: Callable[[str], Column] = F.col) -> Column:
     """Mean of the positive and the negative class's F1 from the four counts."""
-    tp, tn, fp, fn = (F.col(c).cast("double") for c in ("pos_pos", "neg_neg", "neg_pos", "pos_neg"))
+    tp, tn, fp, fn = (of(c).cast("double") for c in ("pos_pos", "neg_neg", "neg_pos", "pos_neg"))
 
     def score(hit: Column, extra: Column, missed: Column) -> Column:
         precision, recall = _ratio(hit, hit + extra), _ratio(hit, hit + missed)
@@ -264,22 +264,28 @@ def evaluate_splits(
     ``pred`` (and so no loss), ``score`` has numbers ``truth`` and ``pred``.  The splits
     ``no_loss`` report no losses.
     """
-    def named(df: DataFrame, name: str, value: str, loss: bool = False) -> DataFrame:
-        rows = df.filter(~F.col(split).isin(*no_loss)) if loss else df
-        return rows.select(
-            split, F.concat(F.col(split), F.lit(f"_{name}")).alias("name"), F.col(value).cast("double").alias("value"))
+    def named(df: DataFrame, *values: tuple[str, str, bool]) -> DataFrame:
+        """A row for each (name, column, whether it is a loss)."""
+        rows = df.select(split, F.inline(F.array(*[F.struct(
+            F.concat(F.col(split), F.lit(f"_{name}")).alias("name"), F.col(value).cast("double").alias("value"),
+            F.lit(loss).alias("loss")) for name, value, loss in values])))
+        return rows.filter(~F.col("loss") | ~F.col(split).isin(*no_loss)).drop("loss")
 
     parts = []
     if target is not None:
         parts.append(task_metrics(target, "target", target_names, split, freqs=target_freqs, no_loss=no_loss))
     if label is not None:
-        parts.append(named(multiclass_macro_f1(label, by=split), "label_f1", "f1"))
+        parts.append(named(multiclass_macro_f1(label, by=split), ("label_f1", "f1", False)))
     if score is not None:
-        errors = mse(score, by=split)
-        parts += [named(errors, "score_mse", "mse"), named(errors, "score_loss", "mse", True)]
+        parts.append(named(mse(score, by=split), ("score_mse", "mse", False), ("score_loss", "mse", True)))
     if rationale is not None:
-        parts.append(named(masked_binary_f1(rationale, by=split), "rationale_f1", "f1"))
-        parts.append(named(focal_loss(rationale, by=split), "rationale_loss", "loss", True))
+        rows = harden(rationale)
+        on = F.col("mask")
+        sums = rows.groupBy(split).agg(
+            *cell_counts(F.col("hard"), F.col("pred"), on),
+            F.sum(focal(F.col("logit"), F.col("truth")) * on.cast("double")).alias("_focal"), F.sum(on.cast("double")).alias("_masked"))
+        scores = sums.select(split, binary_f1().alias("f1"), (F.col("_focal") / (F.col("_masked") + F.lit(EPS))).alias("loss"))
+        parts.append(named(scores, ("rationale_f1", "f1", False), ("rationale_loss", "loss", True)))
     if not parts:
         raise ValueError("no predictions given")
     out = parts[0]

@@ -95,20 +95,26 @@ def assign_batches(
     return df.join(batches, same).drop(*[f"_{k}" for k in key])
 
 
-def newest(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], key: str, n: int, salts: int = 64,
-) -> DataFrame:
+#: Spark keeps only the first rows of a group in each task, before the shuffle, up to this many.
+KEPT_IN_TASKS = 1000
+#: Parts of a group that are ranked by themselves first if more rows than that are wanted.
+PARTS = 64
+
+
+def newest(df: DataFrame, by: Sequence[str], order: Sequence[Column], key: str, n: int) -> DataFrame:
     """The first n rows per group along ``order``.
 
-    Ranked first among ``salts`` parts of a group, then among their winners, so no task
-    sorts a whole group.
+    Every task keeps its own first n of a group, so n rows a task and group are shuffled and no
+    task sorts a whole group.  Spark does that by itself for ``n`` below a limit; beyond it,
+    parts of a group are ranked first, then their winners.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-    some = Window.partitionBy(*by, "_salt").orderBy(*order)
-    rest = salted.withColumn("_rn", F.row_number().over(some)).filter(F.col("_rn") <= n)
     every = Window.partitionBy(*by).orderBy(*order)
-    return (rest.withColumn("_rn", F.row_number().over(every)).filter(F.col("_rn") <= n)
-            .drop("_rn", "_salt"))
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", str(KEPT_IN_TASKS)))
+    if n > min(limit, KEPT_IN_TASKS):
+        some = Window.partitionBy(*by, "_part").orderBy(*order)
+        df = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS))).withColumn("_rn", F.row_number().over(some)).filter(
+            F.col("_rn") <= n).drop("_rn", "_part")
+    return df.withColumn("_rn", F.row_number().over(every)).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def beyond_n_latest(df: DataFrame, by: Sequence[str], order: Sequence[Column], key: str, n: int) -> DataFrame:
@@ -116,22 +122,35 @@ def beyond_n_latest(df: DataFrame, by: Sequence[str], order: Sequence[Column], k
     return df.join(newest(df, by, order, key, n).select(key), key, "left_anti")
 
 
-def runs_table(df: DataFrame, by: Sequence[str], pos: str, flag: str, step: int = 4096) -> DataFrame:
+#: Runs at the borders of so many stretches of positions are joined up in one task.
+FAN = 1 << 20
+
+
+def runs_table(df: DataFrame, by: Sequence[str], pos: str, flag: str, step: int = 4096, fan: int = FAN) -> DataFrame:
     """Half-open runs of true per group, from rows (by, pos, flag) with pos 0, 1, 2, …
 
-    Runs are found within steps of positions; only those touching a step's edge, two per
-    step at most, are then joined up along the whole group.
+    Runs are found within steps of positions.  Those that touch the border of a step, two a
+    step at most, are joined up within stretches of ``fan`` steps, those that then touch the
+    border of a stretch within ``fan`` stretches, and so on: a task sees two rows for each
+    part it joins, however long the group.
     """
     on = df.filter(F.col(flag)).withColumn("_step", F.floor(F.col(pos) / step))
     in_step = Window.partitionBy(*by, "_step").orderBy(pos)
+    cols = [*by, "start", "end"]
     runs = (on.withColumn("_island", F.col(pos) - F.row_number().over(in_step))
             .groupBy(*by, "_step", "_island")
-            .agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("end")))
-    at_edge = (F.col("start") % step == 0) | (F.col("end") % step == 0)
-    along = Window.partitionBy(*by).orderBy("start")
-    joined = (runs.filter(at_edge)
-              .withColumn("_new", (F.col("start") != F.coalesce(F.lag("end").over(along), F.lit(-1))).cast("int"))
-              .withColumn("_run", F.sum("_new").over(along))
-              .groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")))
-    cols = [*by, "start", "end"]
-    return runs.filter(~at_edge).select(*cols).unionByName(joined.select(*cols))
+            .agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("end"))).select(*cols)
+    out, width = None, step
+    while width < 1 << 62:
+        wider = min(width * fan, 1 << 62)
+        at_edge = (F.col("start") % width == 0) | (F.col("end") % width == 0)
+        inner = runs.filter(~at_edge)
+        out = inner if out is None else out.unionByName(inner)
+        group = [*by, F.floor(F.col("start") / wider).alias("_stretch")]
+        along = Window.partitionBy(*by, "_stretch").orderBy("start")
+        runs = (runs.filter(at_edge).select(*cols, group[-1])
+                .withColumn("_new", (F.col("start") != F.coalesce(F.lag("end").over(along), F.lit(-1))).cast("int"))
+                .withColumn("_run", F.sum("_new").over(along))
+                .groupBy(*by, "_stretch", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*cols))
+        width = wider
+    return out.unionByName(runs)

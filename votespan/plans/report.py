@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from votespan.functions.columns import extract_groups
@@ -37,6 +39,6 @@ def merge_partition_results(
     return append_rows(targets, summary, ["part", "name", "f1"]).orderBy("part", "name").select("name", "f1")
 
 
-def partition_report(spark: SparkSession, glob: str) -> DataFrame:
-    """The table over every results file the glob matches."""
-    return merge_partition_results(read_results(spark, glob))
+def partition_report(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """The table over every results file that the path, glob or list of them names."""
+    return merge_partition_results(read_results(spark, paths))

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def wide_to_long(df: DataFrame, keys: Sequence[str] = (), value: str = "value") -> DataFrame:
@@ -25,26 +24,39 @@ def write_results(metrics: DataFrame, path: str, names: Sequence[str] | None = N
     long_to_wide(metrics, names).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def read_results(spark: SparkSession, glob: str) -> DataFrame:
+#: A cell and the comma after it; quotes inside a quoted cell are doubled.
+CELL = r'("(?:[^"]|"")*"|[^,]*),'
+
+
+def csv_cells(line: Column) -> Column:
+    """The cells of a CSV line, empty ones null."""
+    cells = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(CELL), F.lit(1))
+
+    def bare(c: Column) -> Column:
+        inner = F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+        return F.nullif(F.when(c.startswith('"'), inner).otherwise(c), F.lit(""))
+
+    return F.transform(cells, bare)
+
+
+def read_results(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """CSVs with a header each, of different columns, as rows (file, name, value).
 
-    The header lines are compared first; files with the same one are then read together by
-    Spark's reader.  Cells that are no numbers fail the read, empty ones are null.
+    ``paths`` is a path, a glob (braces included) or a list of them.  All files are read as one
+    table of lines, and each line meets the header of its own file, so the plan is the same for
+    any number of files and headers.  Cells that are no numbers fail the read, empty ones are
+    null; cells beyond the header are left out, blank lines too.
     """
-    paths = glob.split(",") if "," in glob else [glob]
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("nth"), "value")
-    first = lines.groupBy("file").agg(F.min_by("value", F.struct("at", "nth")).alias("header"))
-    # One row for each set of columns, with its files' names.
-    kinds = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
-    parts = []
-    for kind in kinds:
-        wide = spark.read.option("header", True).option("escape", '"').csv(kind["files"]).withColumn("_file", F.col("_metadata.file_path"))
-        parts.append(wide_to_long(wide, ["_file"]).withColumnRenamed("_file", "file"))
-    if not parts:
-        return spark.createDataFrame([], "file string, name string, value double")
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("nth")).alias("place"),
+        "value").where(F.trim("value") != "")
+    headers = lines.groupBy("file").agg(F.min(F.struct("place", "value")).alias("first")).select(
+        "file", F.col("first.place").alias("first"), csv_cells(F.col("first.value")).alias("names"))
+    rows = lines.join(headers, "file").where(F.col("place") != F.col("first"))
+    cells = rows.select("file", "names", csv_cells(F.col("value")).alias("cells"))
+    pairs = F.transform("names", lambda n, i: F.struct(n.alias("name"), F.get("cells", i).cast("double").alias("value")))
+    return cells.select("file", F.inline(pairs))
 
 
 def read_runs(runs: DataFrame, experiment, limit: int | None = None) -> DataFrame:
