@@ -243,16 +243,18 @@ def _decode(ranks):
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().tolist()
             there = lists.is_valid().to_pylist()
             texts = [b"".join(map(of, flat[a:b].tolist())) if ok else b"" for a, b, ok in zip(ends[:-1], ends[1:], there)]
+            kept = [i for i, name in enumerate(batch.schema.names) if name != "decoded"]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
+                [*(batch.column(i) for i in kept), pa.array(texts, pa.binary())],
+                names=[*(batch.schema.names[i] for i in kept), "decoded"])
 
     return run
 
 
 def decode(ids: DataFrame, ranks_path: str) -> DataFrame:
-    """Adds ``decoded``, the bytes of ``ids``."""
+    """Adds ``decoded``, the bytes of ``ids``, in place of a column of that name."""
     ranks = ids.sparkSession.sparkContext.broadcast({"name": ranks_path, "ranks": read_ranks(ranks_path)})
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema if f.name != "decoded"]
     return ids.mapInArrow(_decode(ranks), ", ".join([*fields, "decoded binary"]))
 
 

@@ -155,8 +155,12 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return kept[base][0][: n + 1], kept[base][1][: n + 1]
 
 
+#: Longest range for the polynomial below: of two letters alone, strings of 1,024 can be built that agree under every base.
+SHORT_RANGE = 64
+
+
 def ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A polynomial hash (modulo 2^64, then mixed) of values[start:end] for every range."""
+    """A polynomial hash (modulo 2^64, then mixed) of values[start:end] for every range, of ``SHORT_RANGE`` values at most."""
     up, down = powers(base, len(values))
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[:-1], out=sums[1:])
@@ -184,7 +188,15 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return ranges_hash(byte_values()[data], starts, ends, BASES[0])
+    """64 bits for each range of bytes: all short ones together, long ones by xxh3."""
+    found = ranges_hash(byte_values()[data], starts, ends, BASES[0])
+    long = np.flatnonzero(ends - starts > SHORT_RANGE)
+    if len(long):
+        import xxhash
+
+        view = memoryview(np.ascontiguousarray(data))
+        found[long] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    return found
 
 
 def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:

@@ -92,7 +92,11 @@ class OrdinalModel:
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= j) for j = 1 .. number of thresholds."""
-        return _sigmoid(scores[:, None] - self.thresholds[None, :])
+        return tails_of(self.thresholds, scores)
+
+
+def tails_of(thresholds: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    return _sigmoid(scores[:, None] - thresholds[None, :])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -230,18 +234,19 @@ def fit(
     return OrdinalModel(np.frombuffer(found[0]["weights"], "<f4").astype(float), np.frombuffer(found[0]["thresholds"], "<f8"))
 
 
-def _score(model):
+def _score(shared):
     def run(texts: pa.Array) -> pa.Array:
         begin()
+        weights, thresholds = shared.value
         data, offsets = text_bytes(texts)
         out = []
         start = 0
         while start < len(texts):
             stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE, "right")) - 1)
             doc, index, dense = features(data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start])
-            out.append(scores_of(model.value.weights, doc, index, dense))
+            out.append(scores_of(weights, doc, index, dense))
             start = stop
-        tails = model.value.tails(np.concatenate(out) if out else np.zeros(0))
+        tails = tails_of(thresholds, np.concatenate(out) if out else np.zeros(0))
         bounds = pa.array((np.arange(len(tails) + 1) * tails.shape[1]).astype(np.int32))
         return pa.ListArray.from_arrays(bounds, pa.array(tails.ravel()))
 
@@ -249,8 +254,14 @@ def _score(model):
 
 
 def rate(docs: DataFrame, model: OrdinalModel, text_col: str = "text", into: str = "tails") -> DataFrame:
-    """Adds ``into``: P(grade >= 1), P(grade >= 2), ...; they sum to the expected grade."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """Adds ``into``: P(grade >= 1), P(grade >= 2), ...; they sum to the expected grade.
+
+    A column of that name is refused rather than lost.
+    """
+    if into in docs.columns:
+        raise ValueError(f"there is a column {into} already")
+    # Arrays alone: a broadcast of the class would ask executors for this package.
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     run = _score(shared)
 
     @F.arrow_udf("array<double>")

@@ -101,7 +101,7 @@ def _window_rows(short: int, long: int):
             seen = np.zeros(len(at), bool)
             seen[order[1:][same]] = True
             alone = np.isin(a, sets[1])
-            key = np.where(seen, mix(k2[doc].view(np.uint64)), np.where(alone, mix(w, 3), a))
+            key = np.where(seen, mix(k2[doc].view(np.uint64)), np.where(alone, mix(w ^ mix(a, 4), 3), a))
             cut = np.ones(len(at), bool)
             cut[1:] = (np.diff(at) != 1) | (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (seen[1:] != seen[:-1])
             first = np.flatnonzero(cut)
