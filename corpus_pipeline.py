@@ -4,8 +4,10 @@ Each stage works on all rows the one before it kept: texts the classifier reject
 exact copies, then near copies but one of each group, then words of passages that occur
 before, and what is left is packed.  All but the last return the columns of ``documents``.
 
-Cases: null ids and texts pass through; rows that repeat an id with another text are documents
-of their own, rows that agree in both are copies; an empty table gives an empty result.
+Cases: null ids and texts pass through (a null text is compared and packed as an empty one);
+rows that repeat an id with another text are documents of their own, rows that agree in both
+are copies, of which the first by its other columns stays; other columns are carried along,
+``n_chars`` is counted anew where words go; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,16 +26,21 @@ ROOM = 2048
 
 
 def _rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (k1, k2) are in ``kept``, one for each."""
+    """The rows of ``docs`` whose (k1, k2) are in ``kept``, one for each: the first by its other columns."""
     rows = keyed(docs, "doc_id", "text", F.struct(*docs.columns).alias("row")).drop("text")
-    once = Window.partitionBy("k1", "k2").orderBy(F.lit(0))
+    # Null texts come after empty ones; then the other columns decide, written out so that any type can.
+    others = F.to_json(F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != "text"]), {"ignoreNullFields": "false"})
+    once = Window.partitionBy("k1", "k2").orderBy(F.col("row.text").isNull(), others)
     return rows.join(kept, ["k1", "k2"]).withColumn("nth", F.row_number().over(once)).where("nth = 1").select("row.*")
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the classifier finds good."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), graded(), 3)
-    return rate(docs, model, into="_tails").where(good("_tails")).drop("_tails")
+    into = "_tails"
+    while into in docs.columns:
+        into += "_"
+    return rate(docs, model, into=into).where(good(into)).drop(into)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +59,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages of twenty words or more that occur before go; untouched texts stay as they are."""
-    carried = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = remove_repeats(docs, carry=carried, whole=True)
-    return cut.select("rest.*", F.col("kept").alias("text")).withColumn(
-        "n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Words of passages of twenty words or more that occur before go; untouched rows stay as they are, null texts too."""
+    there = "_there"
+    while there in docs.columns:
+        there += "_"
+    cut = remove_repeats(docs.withColumn(there, F.col("text").isNotNull()), carry=[c for c in docs.columns if c != "text"] + [there], whole=True)
+    of = {c: F.col(f"rest.`{c}`") for c in docs.columns}
+    of["text"] = F.when(F.col(f"rest.{there}"), F.col("kept"))
+    if "n_chars" in docs.columns:
+        of["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(of["n_chars"])
+    return cut.select(*[v.alias(c) for c, v in of.items()])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
