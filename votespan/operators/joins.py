@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from votespan.functions.columns import as_list
+from votespan.operators.positions import offset_index
 
 
 def left_join_features(df: DataFrame, *features: DataFrame, key) -> DataFrame:
@@ -40,3 +44,17 @@ def remap_span_rows(old: DataFrame, new: DataFrame, key: str, cell_bits: int = 6
     best = n.join(o, inside).groupBy(F.col(f"n.{key}").alias(key), "n.cell", F.col("n.pos").alias("pos")).agg(
         F.max_by("o.value", "o.old_pos").alias("value"))
     return best.drop("cell")
+
+
+def align_by_position(frames: Sequence[tuple[DataFrame, Sequence[str]]], how: str = "full", out: str = "pos") -> DataFrame:
+    """Frames side by side: the first row of each, the second of each, and so on.
+
+    Each frame comes with the columns that order it (unique together); its rows are numbered
+    along them without sorting it in one task, and frames meet on the numbers.  Shorter
+    frames are filled up with nulls (``how="inner"``: the others are cut).  Names must differ.
+    """
+    names = [c for df, _ in frames for c in df.columns]
+    if len(set(names)) < len(names) or out in names:
+        raise ValueError(f"columns must differ, also from {out}")
+    numbered = [offset_index(df, [], F.col(order[0]), [F.col(c) for c in order], out) for df, order in frames]
+    return reduce(lambda a, b: a.join(b, out, how), numbered)

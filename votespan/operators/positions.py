@@ -154,3 +154,9 @@ def runs_table(df: DataFrame, by: Sequence[str], pos: str, flag: str, step: int
                 .groupBy(*by, "_stretch", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*cols))
         width = wider
     return out.unionByName(runs)
+
+
+def sort_by(df: DataFrame, column: str, last: Sequence[str] = ()) -> DataFrame:
+    """Rows in the order of a column, those named in ``last`` behind all others, in the order given there."""
+    place = F.array_position(F.array(*[F.lit(x) for x in last]).cast("array<string>"), F.col(column).cast("string"))
+    return df.orderBy(F.coalesce(place, F.lit(0)), column)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from votespan.functions.arrays import (
     arr_to_pairs, densify, explode_rows, keep_empty, map_to_pairs, pad, pairs_to_map, render_spans, runs_of_true,
@@ -13,7 +13,7 @@ from votespan.functions.columns import (
     flatten_struct, gated, harden, keep_matching, multihot, onehot, prefix_cols, slice_number, with_key,
 )
 from votespan.functions.text import align_words
-from votespan.operators.joins import inner_join_features, left_join_features
+from votespan.operators.joins import align_by_position, inner_join_features, left_join_features
 from votespan.operators.metrics import multilabel_f1
 from votespan.operators.votes import is_label, names_label, nested_consensus, rationale_consensus, vote_share, vote_shares
 from votespan.sources.results import wide_to_long
@@ -75,11 +75,15 @@ def p8(spark, sf):
     return pairs.groupBy("doc_id", "annotator").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"))
 
 
-@query("p9_with_key", "select source, count(*) as n, count(distinct (doc_id, source, n_chars)) as keys from documents group by 1")
+@query("p9_with_key", """select doc_id, source, n_chars, count(*) over same as copies, min(doc_id) over same as first_id
+  from (select doc_id, source, n_chars from documents union all select doc_id, source, n_chars from documents where doc_id % 3 = 0) window same as (partition by doc_id, source, n_chars)""")
 def p9(spark, sf):
-    rows = with_key(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), ["doc_id", "source", "n_chars"])
-    keys = rows.groupBy("source", "row_key").agg(F.count(F.lit(1)).alias("c"))
-    return keys.groupBy("source").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("keys"))
+    """Every row with the rows of its key: equal keys are equal rows."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    rows = with_key(docs.unionByName(docs.where("doc_id % 3 = 0")), ["doc_id", "source", "n_chars"])
+    same = Window.partitionBy("row_key")
+    return rows.select(
+        "doc_id", "source", "n_chars", F.count(F.lit(1)).over(same).alias("copies"), F.min("doc_id").over(same).alias("first_id"))
 
 
 def _consensus(spark, sf):
@@ -176,13 +180,16 @@ def j3(spark, sf):
     return keep_empty(table(spark, sf, "documents"), "doc_id", _consensus(spark, sf)).select("doc_id", "pos")
 
 
-@query("j5_align_by_position", f"""with {CELLS}, numbered as (select item, row_number() over (order by item) - 1 as nth, {f1_sql()} as f1 from cells)
-  select {_names}[nth + 1] as target, round(f1, 6) as f1 from numbered""")
+@query("j5_align_by_position", """with c as (select row_number() over (order by c_custkey) - 1 as pos, c_custkey, c_name from customer),
+  s as (select row_number() over (order by s_acctbal, s_suppkey) - 1 as pos, s_suppkey, s_acctbal from supplier),
+  n as (select row_number() over (order by n_name) - 1 as pos, n_name from nation)
+  select pos, c_custkey, c_name, s_suppkey, s_acctbal, n_name from c full join s using (pos) full join n using (pos)""")
 def j5(spark, sf):
-    """Scores and names that belong together by position only: the join is on the position."""
-    scores = multilabel_f1(predictions(spark, sf), "none").select(F.col("item").alias("pos"), F.round("f1", 6).alias("f1"))
-    names = spark.createDataFrame([(i, t) for i, t in enumerate(TARGETS)], "pos int, target string")
-    return inner_join_features(names, scores, "pos").select("target", "f1")
+    """Customers, suppliers by balance and nations by name, side by side."""
+    return align_by_position([
+        (table(spark, sf, "customer").select("c_custkey", "c_name"), ["c_custkey"]),
+        (table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), ["s_acctbal", "s_suppkey"]),
+        (table(spark, sf, "nation").select("n_name"), ["n_name"])])
 
 
 # ---- arrays and maps
@@ -266,7 +273,8 @@ def x11(spark, sf):
     return glued.select("doc_id", line.alias("t")).select("doc_id", F.md5("t").alias("line"), F.length("t").cast("bigint").alias("width"))
 
 
-@query("x12_float_threshold", """select vec_id, cast(len(list_filter(embedding, lambda x: x::double > (0.1 - 1e-7)::double)) as int) as n from embeddings""")
+@query("x12_float_threshold", """select vec_id, array_to_string(list_transform(embedding, lambda x: case when x::double > (0.1 - 1e-7)::double then '1' else '0' end), '') as flags from embeddings""")
 def x12(spark, sf):
     flags = above(F.transform("embedding", lambda x: x.cast("double")), 0.1)
-    return table(spark, sf, "embeddings").select("vec_id", F.size(F.filter(flags, lambda b: b)).alias("n"))
+    return table(spark, sf, "embeddings").select(
+        "vec_id", F.array_join(F.transform(flags, lambda b: F.when(b, "1").otherwise("0")), "").alias("flags"))

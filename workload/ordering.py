@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from votespan.functions.columns import row_hash
-from votespan.operators.batches import complete_batches, pad_length
-from votespan.operators.positions import assign_batches, beyond_n_latest, newest, source_index
+from votespan.operators.batches import bucketed_batches, complete_batches, pad_length, padding_share
+from votespan.operators.permutation import PRIME, ROUNDS, shuffled
+from votespan.operators.positions import assign_batches, beyond_n_latest, newest, offset_index, sort_by, source_index
 from votespan.operators.sampling import (
     append_rows, balanced_draws, balanced_sample, combine_sources, sample_n, shuffle, source_sizes, with_split,
 )
@@ -62,9 +63,63 @@ def w7(spark, sf):
     return with_split(table(spark, sf, "documents").select("doc_id"), ["doc_id"])
 
 
-@query("w8_sort_by", "select doc_id, lang, n_chars from documents order by n_chars, doc_id")
+@query("w8_sort_by", """select lang, count(*) as n, row_number() over (order by case lang when 'en' then 1 when 'de' then 2 else 0 end, lang) - 1 as place
+  from documents group by lang""")
 def w8(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "lang", "n_chars").orderBy("n_chars", "doc_id")
+    """A report of the languages, the two largest at its end."""
+    report = sort_by(table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang", last=["en", "de"])
+    # Places of a handful of sorted rows.
+    return report.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+
+
+def permutation_sql(x: str, n: str, source: str, seed: int) -> str:
+    """Recursive CTE ``walk`` (x, n, p, done): every position's place, stirred until it is below n."""
+    def mixed(digit, turn):
+        y = f"((({digit}) + {(seed * 7919 + turn * 104729 + 12345) % PRIME}) * 48271) % {PRIME}"
+        return f"(({y}) * ({y}) + ({y}) * {turn + 3}) % {PRIME}"
+
+    def stirred(of):
+        sql = f"select x, n, a, b, {of} // b as h, {of} % b as l from"
+        # The first round stands innermost.
+        layers = []
+        for turn in range(ROUNDS):
+            h, lo = ("h", f"(l + ({mixed('h', turn)}) % b) % b") if turn % 2 else (f"(h + ({mixed('l', turn)}) % a) % a", "l")
+            layers.append(f"select x, n, a, b, {h} as h, {lo} as l from (")
+        return f"select x, n, a, b, h * b + l as p from ({''.join(reversed(layers))}{sql} " + "{}" + ")" * ROUNDS + ")"
+
+    first = stirred("x").format(f"(select {x} as x, {n} as n, cast(greatest(ceil(sqrt({n})), 1) as bigint) as a, "
+                                f"cast(ceil({n} / greatest(ceil(sqrt({n})), 1)) as bigint) as b from {source})")
+    return f"walk as ({first} union all {stirred('p').format('(select * from walk where p >= n)')})"
+
+
+@query("w6_shuffle_position", "with recursive " + permutation_sql("i", "total", "(select row_number() over (order by doc_id) - 1 as i, count(*) over () as total from documents)", 3)
+       + ", rows as (select doc_id, row_number() over (order by doc_id) - 1 as i from documents) select doc_id, p as place from rows join walk on x = i where p < n")
+def w6_position(spark, sf):
+    """Each document's place in a shuffle, computed from its position."""
+    docs = table(spark, sf, "documents").select("doc_id")
+    placed = offset_index(docs, [], F.floor(F.col("doc_id") / 1000), [F.col("doc_id")], "pos", total="n")
+    return placed.select("doc_id", shuffled(F.col("pos"), F.col("n"), 3).alias("place"))
+
+
+def buckets_sql(size: int, per: int, seed: int) -> str:
+    return f"""numbered as (select doc_id, lang, n_chars, row_number() over (order by n_chars, {hash_sql(seed, 'doc_id')}, doc_id) - 1 as i, count(*) over () as total from documents),
+      dealt as (select *, i // {size * per} as bucket, {hash_sql(f'{seed}:batch', 'doc_id')} as h from numbered),
+      filled as (select *, bucket * {per} + (row_number() over (partition by bucket order by h, doc_id) - 1) // {size} as number, (total + {size - 1}) // {size} as batches from dealt),
+      {permutation_sql('number', 'batches', '(select distinct number, batches from filled)', seed)}"""
+
+
+@query("w3_bucketed_batches", f"with recursive {buckets_sql(16, 8, 2)} select doc_id, lang, p as batch from filled join walk on x = number where p < n")
+def w3_buckets(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    return bucketed_batches(docs, ["doc_id"], "n_chars", 16, per_bucket=8, seed=2).drop("n_chars")
+
+
+@query("w3_padding_share", f"""with recursive {buckets_sql(16, 8, 2)}, per as (select number, count(*) as c, max(n_chars) as m, sum(n_chars) as s from filled group by 1)
+  select cast(sum(c) as bigint) as rows, cast(sum(c * m) as bigint) as cells, round((sum(c * m) - sum(s))::double / sum(c * m), 6) as padding from per""")
+def w3_padding(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    batches = bucketed_batches(docs, ["doc_id"], "n_chars", 16, per_bucket=8, seed=2)
+    return padding_share(batches, "batch", "n_chars").withColumn("padding", F.round("padding", 6))
 
 
 @query("w9_source_index", f"""with local as (select doc_id, lang as source, row_number() over (partition by lang order by {hash_sql(0, 'doc_id')}, doc_id) - 1 as local_idx from documents),
