@@ -14,7 +14,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from votespan.llm.bpe import decimal_digest, decode, encode
-from votespan.llm.packing import pack, sequences, slot_table, solve_configurations, token_pieces
+from votespan.llm.packing import best_fit, least_sequences, pack, sequences, slot_table, solve_configurations, token_pieces
 from votespan.llm.token_store import read_store, train_dictionary, write_store
 from votespan.llm.tokens import PieceEncoder, read_vocabulary
 from votespan.sources.scratch import scratch_path
@@ -158,7 +158,7 @@ def test_configurations_reach_the_bound():
     histogram = defaultdict(int)
     for _ in range(3000):
         histogram[min(256, int(draw.expovariate(1 / 60)) + 1)] += 1
-    plan = solve_configurations(dict(histogram), 256)
+    plan, least = solve_configurations(dict(histogram), 256)
     covered = defaultdict(int)
     for times, config in plan:
         assert sum(n * t for n, t in config.items()) <= 256
@@ -166,7 +166,80 @@ def test_configurations_reach_the_bound():
             covered[n] += times * t
     assert covered == histogram
     bound = -(-sum(n * c for n, c in histogram.items()) // 256)
+    assert least >= bound
     assert sum(t for t, _ in plan) <= bound * 1.005 + 1
     table = slot_table(plan)
     assert len(table) == sum(sum(c.values()) for _, c in plan)
-    assert solve_configurations({}, 256) == [] and slot_table([]).shape == (0, 4)
+    assert solve_configurations({}, 256) == ([], 0) and slot_table([]).shape == (0, 4)
+
+
+def by_pieces(lengths, room):
+    """Best-fit decreasing, piece by piece."""
+    import bisect
+
+    spaces = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(spaces, n)
+        space = spaces.pop(at) if at < len(spaces) else room
+        bisect.insort(spaces, space - n)
+    return len(spaces)
+
+
+def checked(plan, histogram, room):
+    covered = defaultdict(int)
+    for times, config in plan:
+        assert times > 0 and sum(n * t for n, t in config.items()) <= room
+        for n, t in config.items():
+            covered[n] += times * t
+    assert covered == histogram
+    return sum(t for t, _ in plan)
+
+
+#: Shortest and longest piece, and how far over the bound the plan may be.
+SHAPES = [(300, 1300, 0.005), (650, 760, 0.06), (500, 1100, 0.04), (1, 2047, 0.002), (1, 300, 0.0), (900, 2048, 0.001), (2048, 2048, 0.0)]
+
+
+@pytest.mark.parametrize("low,high,gap", SHAPES)
+def test_the_program_is_never_above_best_fit_and_near_its_bound(low, high, gap):
+    draw = random.Random(low)
+    lengths = [draw.randint(low, high) for _ in range(20_000)]
+    histogram = defaultdict(int)
+    for n in lengths:
+        histogram[n] += 1
+    plain = checked(best_fit(dict(histogram), 2048), histogram, 2048)
+    assert plain == by_pieces(lengths, 2048)
+    plan, bound = solve_configurations(dict(histogram), 2048)
+    assert bound <= checked(plan, histogram, 2048) <= min(plain, bound * (1 + gap) + 1)
+    assert bound >= least_sequences(dict(histogram), 2048) >= -(-sum(lengths) // 2048)
+
+
+def fewest(lengths, room):
+    """The least number of sequences, by trying everything."""
+    best = len(lengths)
+
+    def go(i, spaces):
+        nonlocal best
+        if len(spaces) >= best:
+            return
+        if i == len(lengths):
+            best = len(spaces)
+            return
+        for at in range(len(spaces)):
+            if spaces[at] >= lengths[i] and spaces[at] not in spaces[:at]:
+                go(i + 1, [s - lengths[i] if j == at else s for j, s in enumerate(spaces)])
+        go(i + 1, [*spaces, room - lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    go(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_bounds_hold_for_small_tables(lengths):
+    histogram = defaultdict(int)
+    for n in lengths:
+        histogram[n] += 1
+    plan, bound = solve_configurations(dict(histogram), 20, rounds=50)
+    least = fewest(lengths, 20)
+    assert bound <= least <= checked(plan, histogram, 20)
