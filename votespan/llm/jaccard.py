@@ -2,9 +2,10 @@
 
 Documents with the same set of word shingles form a class; only one of each goes on.  A class
 has ``trees`` signature paths of ``depth`` minima.  Sorted by path, each tree is a prefix
-trie.  Two classes are compared if in some tree they share a prefix; prefixes are shortened
-from the full depth until a pair of the wanted similarity is found with the target recall
-(``least_depth``).  All candidates are then verified on their whole shingle sets.
+trie.  Two classes are compared if in some tree they share a prefix.  How far prefixes are
+shortened follows from the similarity and the target recall alone (``least_depth``), the same
+for all nodes: what a node holds does not change it, for a prefix that stops early could lose a
+link.  All candidates are then verified on their whole shingle sets.
 
 Small nodes give their pairs one by one.  Nodes with more than ``cap`` classes would give
 pairs by the square of their size; they are joined to clumps instead.  The members of a clump
