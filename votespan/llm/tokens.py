@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from votespan.llm.common import worker_cache
 
@@ -47,7 +49,7 @@ class PieceEncoder:
         marked = [w for w in words if w[-1] in MARKS and len(w) > 1 and w[-2] <= LATIN and w[-2].isalnum()]
         todo = set(words).difference(marked)
         todo.update(w[:-1] for w in marked)
-        todo.difference_update(self.known)
+        todo = todo.difference(self.known)
         plain = sorted(w for w in todo if len(w.split()) == 1)
         for i in range(0, len(plain), JOINED):
             group = plain[i : i + JOINED]
@@ -67,31 +69,65 @@ class PieceEncoder:
             self.known[w] = self.known[w[:-1]] + self.marks[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Texts are cut and their distinct pieces found by Arrow; ids are put together by number."""
         if len(self.known) > KEPT:
             self.known, self.older = {}, self.known
-        pieces = [text.split(" ") for text in texts]
-        tails = [b""] * len(texts)
-        new = set()
-        for parts in pieces:
-            new.update(parts[1:])
-        new.difference_update(self.known)
-        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        new -= odd
-        for i, parts in enumerate(pieces):
-            if parts[0][-1:].isspace() or (odd and not odd.isdisjoint(parts[1:])):
-                parts = pieces[i] = SAFE.split(texts[i])
-                # Only the end of a text may be blank, and means something else elsewhere.
-                if len(parts) > 1 and parts[-1][-1].isspace():
-                    tails[i] = self._ids([" " + parts.pop()])[0].tobytes()
-                new.update(w for w in parts[1:] if w not in self.known)
+        pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = pieces.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        bounds = pieces.offsets.to_numpy().astype(np.int64)
+        # A text's first piece follows no space.
+        inner = np.ones(len(codes), bool)
+        inner[bounds[:-1]] = False
+        used = np.zeros(len(words), bool)
+        used[codes[inner]] = True
+        ids = list(map(self.known.get, words))
+        odd = np.zeros(len(words), bool)
+        missing = [i for i, (x, there) in enumerate(zip(ids, used.tolist())) if x is None and there]
+        blank = [i for i in missing if not (w := words[i]) or w[0].isspace() or w[-1].isspace()]
+        if blank:
+            odd[blank] = True
+            missing = [i for i in missing if not odd[i]]
+        self._fetch([words[i] for i in missing])
+        for i in missing:
+            ids[i] = self.known[words[i]]
+        heads = [words[c] for c in codes[bounds[:-1]].tolist()]
+        slow = np.array([h[-1:].isspace() for h in heads], bool)
+        if blank:
+            slow |= np.add.reduceat((odd[codes] & inner).astype(np.int64), bounds[:-1]) > 0
+
+        raw = [x or b"" for x in ids]
+        size = np.fromiter(map(len, raw), np.int32, len(raw)) // np.int32(np.dtype(self.width).itemsize)
+        start, flat = np.cumsum(size, dtype=np.int32) - size, np.frombuffer(b"".join(raw), self.width)
+        codes = codes[inner]
+        sizes = size[codes]
+        ends = np.zeros(len(codes) + 1, np.int32)
+        np.cumsum(sizes, out=ends[1:])
+        # Steps of one inside a piece, and a jump to where the next one's ids lie.
+        out = flat[np.repeat(start[codes] - ends[:-1], sizes) + np.arange(ends[-1], dtype=np.int32)]
+        # Each text has one piece less among the inner ones.
+        cuts = ends[bounds - np.arange(len(bounds))].tolist()
+        firsts = self._ids(heads)
+        return [
+            self._by_pieces(text) if alone else head.tobytes() + out[x:y].tobytes()
+            for text, alone, head, x, y in zip(texts, slow.tolist(), firsts, cuts[:-1], cuts[1:])]
+
+    def _fetch(self, words: list[str]) -> None:
+        """Words that are not known: from the older generation, or by the library."""
         if self.older:
-            back = new.intersection(self.older)
-            self.known.update((w, self.older[w]) for w in back)
-            new -= back
-        self._learn(sorted(new))
-        heads = self._ids([p[0] for p in pieces])
-        get = self.known.__getitem__
-        return [head.tobytes() + b"".join(map(get, parts[1:])) + tail for head, parts, tail in zip(heads, pieces, tails)]
+            older = self.older
+            self.known.update((w, older[w]) for w in words if w in older)
+            words = [w for w in words if w not in older]
+        self._learn(sorted(words))
+
+    def _by_pieces(self, text: str) -> bytes:
+        """A text with blanks of other kinds next to its spaces."""
+        parts, tail = SAFE.split(text), b""
+        # Only the end of a text may be blank, and means something else elsewhere.
+        if len(parts) > 1 and parts[-1][-1].isspace():
+            tail = self._ids([" " + parts.pop()])[0].tobytes()
+        self._fetch(list({w for w in parts[1:] if w not in self.known}))
+        return self._ids(parts[:1])[0].tobytes() + b"".join(map(self.known.__getitem__, parts[1:])) + tail
 
 
 def id_width(vocabulary_size: int) -> str:
