@@ -62,8 +62,11 @@ _EVENTS = f"""pred as (select event_id, ts, {split_sql('event_id')} as split, ca
 
 
 def _daily_cells(spark, sf):
-    """Confusion counts by day, split and label under a watermark, as update mode leaves them."""
-    stream = windowed(_arriving(event_predictions(spark, sf), "stream-events", "ts", each=1), "ts", "1 day", "1 hour")
+    """Confusion counts by day, split and label under a watermark, as update mode leaves them.
+
+    Files written side by side arrive in any order, so rows may come as late as the table is long.
+    """
+    stream = windowed(_arriving(event_predictions(spark, sf), "stream-events", "ts", each=1), "ts", "1 day", "400 days")
     path = scratch_path(spark, "stream-days")
     start_updates(multilabel_confusion(stream, ["window", "split", "item"]), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
     return read_latest(spark, f"{path}/rows", ["window", "split", "item"])
