@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,10 +191,11 @@ def test_top_k_of_a_repeated_row(spark, monkeypatch):
     draw = np.random.default_rng(8)
     rows = [(i, draw.integers(-60, 60, 4).tolist()) for i in range(1, 60)] + [(0, [70, 70, 70, 70])] * 7 + [(3, [1, 1, 1, 1])] * 400
     df = spark.createDataFrame([(i, [x / 64 for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
-    seen, plain = [], knn._of_one_length
-    monkeypatch.setattr(knn, "_of_one_length", lambda t, dims, shards, *rest: seen.append((t.count(), shards)) or plain(t, dims, shards, *rest))
+    seen, plain = [], knn.grow_trees
+    monkeypatch.setattr(knn, "grow_trees", lambda *given: seen.append(plain(*given)) or seen[-1])
     got = {tuple(r) for r in top_k(df, F.col("vec_id") % 10 == 0, k=12, shard_size=16, leaf=4).collect()}
-    assert seen == [(61, 4)]
+    sizes = [r["n"] for r in seen[0][2].collect()]
+    assert sum(sizes) == 61 and len(sizes) >= 4 and max(sizes) < 40
     want = set()
     for own, q in rows[:59] + rows[59:60]:
         if own % 10 == 0:
@@ -202,6 +204,44 @@ def test_top_k_of_a_repeated_row(spark, monkeypatch):
     assert got == want
 
 
+def test_equal_vectors_fill_no_shard(spark, monkeypatch):
+    """A third of the ids share one vector: their cell is dealt on by a hash, and no result changes."""
+    draw = np.random.default_rng(9)
+    rows = [(i, draw.integers(-60, 60, 3).tolist()) for i in range(600)] + [(600 + i, [50, -50, 50]) for i in range(300)]
+    df = spark.createDataFrame([(i, [x / 64 for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    seen, plain = [], knn.grow_trees
+    monkeypatch.setattr(knn, "grow_trees", lambda *given: seen.append(plain(*given)) or seen[-1])
+    got = {tuple(r) for r in top_k(df, F.col("vec_id") % 100 == 0, shard_size=50, leaf=8).collect()}
+    assert got == knn_truth([(i, [x / 64 for x in v]) for i, v in rows], 20, lambda i: i % 100 == 0)
+    sizes = [r["n"] for r in seen[0][2].collect()]
+    assert sum(sizes) == 900 and max(sizes) < 100
+
+
+def test_like_vectors_share_cells_and_queries_skip_far_ones(spark):
+    """Two far groups: boxes of the other group cannot hold the kth score."""
+    draw = np.random.default_rng(10)
+    vectors = np.concatenate([draw.integers(100, 120, (300, 4)), draw.integers(-120, -100, (300, 4))])
+    cuts = knn.median_cuts(vectors, 3)
+    cells = knn.cells_of(vectors, cuts)
+    assert set(cells[:300]).isdisjoint(cells[300:]) and set(cells) == set(range(8))
+    boxes = {4: (np.arange(8), *(np.stack([f(vectors[cells == c]) for c in range(8)]) for f in (lambda x: x.min(0), lambda x: x.max(0))))}
+    scores = np.sort(vectors @ vectors[0])[-20]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([4]), pa.array([vectors[0].astype("<i4").tobytes()]), pa.array([float(scores)])], names=["dims", "raw", "floor"])
+    found = set(next(knn._routed(boxes)([batch])).column(3).to_pylist()[0])
+    assert found <= set(cells[:300]) and set(cells[np.flatnonzero(vectors @ vectors[0] >= scores)]) <= found
+
+
+def test_a_stored_tree_is_the_same(spark):
+    draw = np.random.default_rng(11)
+    vectors, copies = draw.integers(-2**31 + 1, 2**31, (100, 5)), draw.integers(1, 9, 100)
+    tree = KdTree(np.arange(100), vectors, 8)
+    again, times = KdTree.unpacked(5, *tree.packed(copies))
+    assert (vectors[again.ids] == again.vectors).all() and (copies[again.ids] == times).all()
+    assert (again.low == tree.low).all() and (again.high == tree.high).all()
+    assert all((np.sort(again.ids[again.rows[n]]) == np.sort(rows)).all() for n, rows in tree.rows.items())
+
+
 def test_kd_tree_bounds():
     draw = np.random.default_rng(6)
     vectors = draw.integers(-50, 50, (500, 6)).astype(float)
