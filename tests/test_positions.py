@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from votespan.operators.batches import complete_batches, pad_length
 from votespan.operators.positions import (
-    assign_batches, beyond_n_latest, newest, offset_index, runs_table, source_index,
+    assign_batches, beyond_n_latest, newest, offset_index, ordered_index, runs_table, source_index, spread_points,
 )
 from votespan.operators.sampling import (
     append_rows, balanced_draws, balanced_sample, combine_sources, sample_n, shuffle, with_split,
@@ -31,6 +31,51 @@ def test_offset_index_equals_row_number(hot):
     assert rows(got) == rows(want.select(*got.columns))
 
 
+@pytest.mark.parametrize("by", [[], ["source"]])
+@pytest.mark.parametrize("drawn, apart", [(1 << 16, 16), (500, 3), (1 << 16, 1), (1, 1)])
+def test_ordered_index_equals_row_number(hot, by, drawn, apart):
+    skewed = hot.withColumn("t", F.when(F.col("id") % 2 == 0, F.lit(50)).when(F.col("id") % 7 != 0, F.col("t")))
+    got = ordered_index(skewed, by, ["t", "id"], "idx", total="n", drawn=drawn, apart=apart)
+    plain = Window.partitionBy(*by).orderBy("t", "id")
+    want = skewed.withColumn("idx", (F.row_number().over(plain) - 1).cast("bigint")).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
+    assert rows(got) == rows(want.select(*got.columns))
+
+
+def test_ordered_cuts_follow_the_data(hot):
+    """Half of the rows share one value, the others crowd at one end: no cut holds much more than its part."""
+    skewed = hot.select(F.when(F.col("id") % 2 == 0, F.lit(0.0)).otherwise(F.exp(-F.col("id") / 20)).alias("t"), "id")
+    points = spread_points(skewed, [], ["t", "id"], drawn=1500, apart=16).first()[0]
+    flat = [tuple(p) for block in points for p in block]
+    assert flat == sorted(set(flat)) and all(len(b) <= 64 for b in points) and 60 < len(flat) < 130
+    places = sorted(tuple(r) for r in skewed.collect())
+    edges = [0, *[places.index(p) for p in flat], len(places)]
+    assert max(b - a for a, b in zip(edges[:-1], edges[1:])) < 100
+    again = spread_points(skewed.repartition(11), [], ["t", "id"], drawn=1500, apart=16).first()[0]
+    assert [tuple(p) for block in again for p in block] == flat
+
+
+def test_ordered_index_edges(spark):
+    empty = spark.createDataFrame([], "g string, t double")
+    assert ordered_index(empty, ["g"], ["t"]).collect() == [] == ordered_index(empty, [], ["t"]).collect()
+    # Rows equal in everything are drawn once and get all the places.
+    same = spark.createDataFrame([(None, 1.0)] * 50 + [("a", float("nan")), ("a", None)], "g string, t double")
+    got = ordered_index(same, ["g"], ["t"], apart=1).collect()
+    assert sorted(r["idx"] for r in got if r["g"] is None) == list(range(50))
+    assert [r["t"] for r in sorted((r for r in got if r["g"]), key=lambda r: r["idx"])][0] is None
+
+
+def test_hash_cuts_follow_the_size(spark, monkeypatch):
+    """Prefixes grow with the largest group; positions stay the same."""
+    from votespan.operators import positions
+
+    df = spark.range(5000).withColumn("g", F.col("id") % 50 == 0)
+    want = rows(source_index(df, "g", ["id"]), "id", "local_idx", "global_idx")
+    monkeypatch.setattr(positions, "CUT_ROWS", 30)
+    assert rows(source_index(df, "g", ["id"]), "id", "local_idx", "global_idx") == want
+    hashed = df.withColumn("_h", positions.row_hash(0, "id"))
+    assert hashed.select(F.length(positions.hash_prefix(hashed, ["g"]))).distinct().collect() == [(2,)]
+
+
 def test_source_index_is_dense(hot):
     got = rows(source_index(hot, "source", ["id"]), "global_idx", "source", "local_idx")
     assert sorted(r[0] for r in got) == list(range(3000))

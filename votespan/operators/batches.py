@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from votespan.functions.columns import row_hash
 from votespan.operators.permutation import shuffled
-from votespan.operators.positions import offset_index
+from votespan.operators.positions import ordered_index
 
 
 def pad_length(df: DataFrame, by, tokens: str = "tokens", fixed: int | None = None, out: str = "length") -> DataFrame:
@@ -43,13 +43,11 @@ def bucketed_batches(
     rows of like length.  Batch numbers are shuffled then, and lengths come mixed.  The rows
     that fill no batch are the longest ones; ``drop_last`` leaves them out.
 
-    Rows of one length are told apart by three digits of the key's hash, so no task numbers
-    all of them; a bucket has ``size`` times ``per_bucket`` rows.
+    Rows of one length are cut by their keys' hashes, so no task numbers all of them; a bucket
+    has ``size`` times ``per_bucket`` rows.
     """
     hashed = df.withColumn("_h", row_hash(seed, *key))
-    order = [F.col(length), F.col("_h"), *[F.col(k) for k in key]]
-    coarse = F.struct(F.col(length), F.substring("_h", 1, 3))
-    placed = offset_index(hashed, [], coarse, order, "_at", total="_total")
+    placed = ordered_index(hashed, [], [length, "_h", *key], "_at", total="_total")
     placed = placed.withColumn("_bucket", F.floor(F.col("_at") / (size * per_bucket)))
     # Another order than that of the numbering, or neighbours would stay together.
     inner = Window.partitionBy("_bucket").orderBy(row_hash(f"{seed}:batch", *key), *key)

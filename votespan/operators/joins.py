@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from votespan.functions.columns import as_list
-from votespan.operators.positions import offset_index
+from votespan.operators.positions import ordered_index
 
 
 def left_join_features(df: DataFrame, *features: DataFrame, key) -> DataFrame:
@@ -56,5 +56,5 @@ def align_by_position(frames: Sequence[tuple[DataFrame, Sequence[str]]], how: st
     names = [c for df, _ in frames for c in df.columns]
     if len(set(names)) < len(names) or out in names:
         raise ValueError(f"columns must differ, also from {out}")
-    numbered = [offset_index(df, [], F.col(order[0]), [F.col(c) for c in order], out) for df, order in frames]
+    numbered = [ordered_index(df, [], order, out) for df, order in frames]
     return reduce(lambda a, b: a.join(b, out, how), numbered)

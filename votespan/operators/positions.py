@@ -1,8 +1,9 @@
 """Row numbers over large groups.
 
 A plain ``row_number`` sorts a whole group in one task.  Here a group is cut along a
-coarse, order-preserving column (hash prefix, minute); the cuts are counted first, and a
-row's number is the size of the cuts before its own plus its rank inside it.
+coarse, order-preserving column; the cuts are counted first, and a row's number is the size
+of the cuts before its own plus its rank inside it.  Cuts follow the data: hash prefixes are as
+long as the number of rows asks for, and other orders are cut at points of a draw.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from votespan.functions.arrays import bind
 from votespan.functions.columns import row_hash
 
-# Hex digits of the hash prefix by default: 65,536 cuts of a table, 4,096 of each of its groups.
-TABLE_DIGITS, GROUP_DIGITS = 4, 3
+#: Rows of a cut by hash prefix, at most about; a sixteenth of it at least, in the largest group.
+CUT_ROWS = 1 << 16
+#: Rows drawn in all to see how an order is spread, about; drawn rows from one cut to the next; cuts looked through at once.
+DRAWN, APART, BLOCK = 1 << 16, 16, 64
 
 
 def cut_starts(cut: DataFrame, total: str | None = None) -> DataFrame:
@@ -48,29 +52,78 @@ def offset_index(
         "_cut", "_start", "_rank")
 
 
-def hash_index(
-    df: DataFrame, by: Sequence[str], key: Sequence[str], seed, out: str = "idx", total: str | None = None,
-    digits: int | None = None,
+def spread_points(df: DataFrame, by: Sequence[str], order: Sequence[str], drawn: int = DRAWN, apart: int = APART) -> DataFrame:
+    """(by, _points): values of ``order`` that cut each group into about equal parts, in blocks.
+
+    Rows are drawn by a hash of their values, about ``drawn`` in all, however many there are;
+    equal rows are drawn once.  Which ones does not depend on partitions or lost tasks, unlike a
+    sketch that is merged in any order, so the cuts are the same wherever they are used.  Every
+    ``apart``-th one cuts.  A group with few drawn rows is not cut.
+    """
+    total = df.agg(F.count(F.lit(1))).scalar()
+    place = F.pmod(F.xxhash64(*by, *order), F.lit(1 << 30)).cast("double")
+    taken = df.where(place * total < float(drawn << 30))
+    every = F.sort_array(F.collect_set(F.struct(*order)))
+    cuts = taken.groupBy(*by).agg(every.alias("_drawn")).withColumn(
+        "_drawn", F.filter("_drawn", lambda _, i: i % apart == apart - 1)).where(F.size("_drawn") > 0)
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_drawn") - 1) / BLOCK).cast("int")), lambda i: F.slice("_drawn", i * BLOCK + 1, BLOCK))
+    return cuts.select(*by, blocks.alias("_points"))
+
+
+def _points_up_to(points: Column, row: Column) -> Column:
+    """How many points lie at or before ``row``: whole blocks first, then the last one."""
+    def in_block(nth: Column) -> Column:
+        upto = F.size(F.filter(F.get(points, nth - 1), lambda p: p <= row))
+        return F.when(nth == 0, 0).otherwise((nth - 1) * BLOCK + upto)
+
+    return F.coalesce(bind(F.size(F.filter(points, lambda b: F.get(b, F.lit(0)) <= row)), in_block), F.lit(0))
+
+
+def ordered_index(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "idx", total: str | None = None,
+    drawn: int = DRAWN, apart: int = APART,
 ) -> DataFrame:
-    """Position in the seeded random order of a unique key, cut by hash prefix.
+    """Position (from 0) of each row in its ``by`` group along ``order`` (ascending, nulls first).
 
-    A task sorts a cut; each more of ``digits`` makes cuts a sixteenth as large.
+    However skewed the order is, its cuts hold about as many rows: they are points of all its
+    columns together, so many rows of one time are cut too, by what comes after it.  Rows equal
+    in ``order`` stand in any order among themselves.  The points are no more than ``drawn`` over
+    ``apart``, about, whatever the size of the table.
     """
+    points, row = spread_points(df, by, order, drawn, apart), F.struct(*order)
+    if by:
+        named = points.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(by)})
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)])
+        met = df.join(F.broadcast(named), same, "left").drop(*[f"_{i}" for i in range(len(by))])
+    else:
+        met = df.withColumn("_points", points.select("_points").scalar())
+    cut = met.withColumn("_stretch_of", _points_up_to(F.col("_points"), row)).drop("_points")
+    return offset_index(cut, by, F.col("_stretch_of"), [F.col(c) for c in order], out, total).drop("_stretch_of")
+
+
+def hash_index(
+    df: DataFrame, by: Sequence[str], key: Sequence[str], seed, out: str = "idx", total: str | None = None,
+) -> DataFrame:
+    """Position in the seeded random order of a unique key, cut by hash prefix."""
     hashed = df.withColumn("_h", row_hash(seed, *key))
     return offset_index(
-        hashed, by, hash_prefix(by, digits), [F.col("_h"), *[F.col(k) for k in key]], out, total).drop("_h")
+        hashed, by, hash_prefix(hashed, by), [F.col("_h"), *[F.col(k) for k in key]], out, total).drop("_h")
 
 
-def hash_prefix(by: Sequence[str], digits: int | None = None) -> Column:
-    return F.substring("_h", 1, digits or (GROUP_DIGITS if by else TABLE_DIGITS))
+def hash_prefix(df: DataFrame, by: Sequence[str]) -> Column:
+    """So many hex digits of the hash that the largest group has no more than ``CUT_ROWS`` rows a cut."""
+    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"))
+    digits = largest.select(F.greatest(F.ceil(F.log(16.0, F.col("max(n)") / CUT_ROWS)), F.lit(0)).cast("int")).scalar()
+    return F.substring(F.col("_h"), F.lit(1), digits)
 
 
-def source_index(df: DataFrame, source: str, key: Sequence[str], seed=0, digits: int | None = None) -> DataFrame:
+def source_index(df: DataFrame, source: str, key: Sequence[str], seed=0) -> DataFrame:
     """Adds ``local_idx`` within its source and ``global_idx`` over all sources.
 
     Sources lie one after another in name order: global = rows of the sources before + local.
     """
-    local = hash_index(df, [source], key, seed, "local_idx", digits=digits)
+    local = hash_index(df, [source], key, seed, "local_idx")
     sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
         F.col(source).alias("_source"),
@@ -80,14 +133,12 @@ def source_index(df: DataFrame, source: str, key: Sequence[str], seed=0, digits:
             .drop("_offset", "_source"))
 
 
-def assign_batches(
-    df: DataFrame, key: Sequence[str], size: int, seed=0, drop_last: bool = False, digits: int | None = None,
-) -> DataFrame:
+def assign_batches(df: DataFrame, key: Sequence[str], size: int, seed=0, drop_last: bool = False) -> DataFrame:
     """Adds ``batch``: consecutive rows of a seeded random order, ``size`` to a batch.
 
     Keys alone are ranked; the rows then meet their batch number.
     """
-    places = hash_index(df.select(*key), [], key, seed, "_idx", total="_total", digits=digits)
+    places = hash_index(df.select(*key), [], key, seed, "_idx", total="_total")
     if drop_last:
         places = places.filter(F.col("_idx") < F.col("_total") - F.col("_total") % size)
     batches = places.select(*[F.col(k).alias(f"_{k}") for k in key], F.floor(F.col("_idx") / size).alias("batch"))

@@ -86,8 +86,8 @@ def balanced_sample(
     the last key of a source is not unique.
     """
     hashed = df.withColumn("_h", row_hash(seed, *key))
-    cut = with_cut(hashed, [source], hash_prefix([source]))
-    # A source has at most 4,096 cuts.
+    cut = with_cut(hashed, [source], hash_prefix(hashed, [source]))
+    # A source has one cut for some ten thousand rows.
     cuts = cut_starts(cut, "size").groupBy(F.col(f"_cut.{source}").alias("_source")).agg(
         F.max("size").alias("size"),
         F.collect_list(F.struct(F.col("_cut._coarse").alias("at"), F.col("_start").alias("start"), F.col("_n").alias("n"))).alias("cuts"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from votespan.functions.columns import row_hash
 from votespan.operators.batches import bucketed_batches, complete_batches, pad_length, padding_share
 from votespan.operators.permutation import PRIME, ROUNDS, shuffled
-from votespan.operators.positions import assign_batches, beyond_n_latest, newest, offset_index, sort_by, source_index
+from votespan.operators.positions import assign_batches, beyond_n_latest, newest, offset_index, ordered_index, sort_by, source_index
 from votespan.operators.sampling import (
     append_rows, balanced_draws, balanced_sample, combine_sources, sample_n, shuffle, source_sizes, with_split,
 )
@@ -53,6 +53,17 @@ def w3(spark, sf):
     return pad_length(rows, "batch").drop("tokens").withColumn("length", F.col("length").cast("bigint"))
 
 
+@query("w9_skewed_positions", """select event_id, event_type, squeezed, row_number() over (partition by event_type order by squeezed, event_id) - 1 as pos,
+  count(*) over (partition by event_type) as n from (select event_id, event_type,
+  case when event_id % 3 = 0 then 0 else cast(epoch_us(ts) - 1704067200000000 as bigint) // 1000 end as squeezed from events)""")
+def w9_skewed(spark, sf):
+    """A third of the events stand at one time: cuts go through it."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp_ltz")) - 1704067200000000
+    events = table(spark, sf, "events").select(
+        "event_id", "event_type", F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.floor(micros / 1000)).alias("squeezed"))
+    return ordered_index(events, ["event_type"], ["squeezed", "event_id"], "pos", total="n")
+
+
 @query("w6_shuffle", f"select doc_id, lang, {hash_sql(3, 'doc_id')} as hashed from documents order by hashed")
 def w6(spark, sf):
     return shuffle(table(spark, sf, "documents").select("doc_id", "lang"), ["doc_id"], 3).withColumn("hashed", row_hash(3, "doc_id"))
