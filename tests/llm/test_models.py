@@ -108,6 +108,25 @@ def test_licenses(spark):
         license_matches(docs, [])
 
 
+def test_licenses_of_one_family_are_told_apart(spark):
+    """Each notice is found under its own name, alone and amid other words, as are versions near another notice."""
+    rows, want = [], set()
+    for i, (name, text) in enumerate(NOTICES):
+        rows.append((i, "words before it\n\n" + text.replace("\n", " ") + "\n\nand words after it"))
+        want.add((i, name))
+    others = [("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+              ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License v2.1"),
+              ("MIT", "// SPDX-License-Identifier: MIT"), ("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-only")]
+    for i, (name, text) in enumerate(others, len(rows)):
+        rows.append((i, "some code\n" + text + "\nmore code"))
+        want.add((i, name))
+    # Words of a thousand letters that only their order tells apart are different words.
+    rows.append((len(rows), "license identifier " + "ab" * 600))
+    got = license_matches(spark.createDataFrame(rows, "doc_id long, text string"), NOTICES)
+    assert {(r["k1"], r["license"]) for r in got.where("passage = 'line'").collect()} == want
+    assert {(r["k1"], r["license"]) for r in got.collect()} == want
+
+
 def test_licenses_in_windows(spark):
     """Notices laid out over paragraphs, in comments, in mid-line and next to each other."""
     prose = "\n".join(f"line {i} of a long file with words w{i * 7} and x{i * 11} in it" for i in range(300))

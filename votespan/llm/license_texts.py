@@ -1,7 +1,71 @@
 """Public licence notices to scan for."""
 
+#: Names as they stand after ``SPDX-License-Identifier:``, and the licence each means.
+IDENTIFIERS = {
+    "AGPL-3.0": "AGPL-3.0", "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0", "Apache-2.0": "Apache-2.0",
+    "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "CC-BY-4.0": "CC-BY-4.0",
+    "CC-BY-NC-4.0": "CC-BY-NC-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "GPL-2.0": "GPL-2.0", "GPL-2.0-only": "GPL-2.0",
+    "GPL-2.0-or-later": "GPL-2.0", "GPL-3.0": "GPL-3.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "ISC": "ISC",
+    "LGPL-2.1": "LGPL-2.1", "LGPL-2.1-only": "LGPL-2.1", "LGPL-2.1-or-later": "LGPL-2.1", "LGPL-3.0": "LGPL-3.0",
+    "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "MIT": "MIT", "MPL-2.0": "MPL-2.0", "Unlicense": "Unlicense",
+}
+
+#: The notices of the GNU licences differ in these words only: (name, thing, licence, version, sign before "either" and "or").
+GNU = [
+    ("AGPL-3.0", "program", "Affero General", "3", ","),
+    ("GPL-2.0", "program", "General", "2", ";"),
+    ("LGPL-2.1", "library", "Lesser General", "2.1", ";"),
+    ("LGPL-3.0", "library", "Lesser General", "3", ","),
+]
+
+
+def gnu_notice(thing: str, licence: str, version: str, sign: str) -> str:
+    """The notice that the GNU licences ask for."""
+    public = f"GNU {licence} Public License"
+    return (
+        f"This {thing} is free software{':' if sign == ',' else ';'} you can redistribute it and/or modify it under the terms of the "
+        f"{public} as published by the Free Software Foundation{sign} either version {version} of the License, or (at your option) "
+        f"any later version. This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+        f"the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {public} for more details. You should "
+        f"have received a copy of the {public} along with this {thing}. If not, see <https://www.gnu.org/licenses/>.")
+
+
+def gnu_versions(version: str) -> list[str]:
+    """The ways a short notice writes a version."""
+    return [f"version {version}", f"v{version}", *([] if "." in version else [f"version {version}.0", f"v{version}.0"])]
+
+
+#: The clauses that the BSD licences share.
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED
+OF THE POSSIBILITY OF SUCH DAMAGE."""
+
 #: Fixed values: (name, text).
 NOTICES = [
+    *((licence, f"SPDX-License-Identifier: {name}") for name, licence in IDENTIFIERS.items()),
+    *((name, gnu_notice(*words)) for name, *words in GNU),
+    *((name, f"This work is licensed under the GNU {licence} Public License, {form}.")
+      for name, _, licence, version, _ in GNU for form in gnu_versions(version)),
+    *(("GPL-3.0", f"This work is licensed under the GNU General Public License, {form}.") for form in gnu_versions("3")[1:]),
+    ("BSD-2-Clause", f"{BSD_HEAD} {BSD_TAIL}"),
+    ("BSD-3-Clause", f"{BSD_HEAD} {BSD_THIRD} {BSD_TAIL}"),
+    ("CC0-1.0", """To the extent possible under law, the author has waived all copyright and related or neighboring rights to
+this work."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+purpose, commercial or non-commercial, and by any means."""),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0

@@ -16,7 +16,7 @@ best windows of a notice that share no word are taken, then those between them.
 several notices those with the best Dice stay; a window is left out if half of its matching
 bigrams belong to a better one, or if it lies in a passage that is reported under the same name.
 
-Cases: null and empty texts have no passages, nor have passages of fewer than two words
+Cases: null and empty texts have no passages, nor have passages of fewer than two words;
 of notices that fit a passage equally well the smallest name and then the first one
 is named; rows that repeat an id are scanned each by itself; other columns are not read.
 """
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from votespan.llm.common import BASES, byte_values, keyed, mix, ranges_hash, slices, text_bytes, text_of_rows
+from votespan.llm.common import keyed, mix, slices, text_bytes, text_of_rows, word_hashes
 
 SLICE = 2 << 20
 KINDS = ("line", "paragraph", "text")
@@ -54,7 +54,7 @@ def bigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first[edges] = ink[edges]
     last[edges - 1] = ink[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    words = ranges_hash(byte_values()[lower[data]], starts, ends, BASES[0])
+    words = word_hashes(lower[data], starts, ends)
     return starts, mix(words ^ (mix(np.roll(words, -1), 41)), 42)
 
 
