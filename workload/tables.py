@@ -32,14 +32,21 @@ VOTES = """votes as (select l_orderkey as post_id, l_linenumber as annotator_id,
   [l_returnflag, l_linestatus] as targets from lineitem)"""
 
 
+#: Rows and characters of text a task gets, at most about.
+TASK_ROWS, TASK_CHARS = 20_000, 8 << 20
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, text), dealt out to the cores.
+    """(doc_id, text), dealt out to the cores, in more parts the longer the texts are in all.
 
     The given file is a single row group and so a single task; a table of many files needs
-    no such step, and no operator takes it.
+    no such step, and no operator takes it.  Words, marks and spans are many times their text, so
+    what a task holds must not grow with the table.
     """
-    rows = table(spark, sf, "documents").select("doc_id", "text")
-    return rows.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    rows = table(spark, sf, "documents")
+    n, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_chars"), F.lit(0))).first()
+    parts = max(spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS), -(-chars // TASK_CHARS))
+    return rows.select("doc_id", "text").repartition(parts, "doc_id")
 
 
 def word_lists(spark: SparkSession, sf: str) -> DataFrame:
