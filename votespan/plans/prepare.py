@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from votespan.functions.columns import category_columns, empty_map
-from votespan.functions.text import detokenize, remap_spans
+from votespan.functions.text import detokenize
 from votespan.operators.joins import left_join_features
 from votespan.operators.sampling import SPLITS, with_split
 from votespan.operators.stats import dataset_stats
@@ -50,8 +50,8 @@ def prepare_annotated(
 
     Input columns are post_id, annotators, rationales and post_tokens; ``cats`` names the
     categories of ``label`` and ``target``.  ``max_length`` cuts texts.  Each output row
-    comes from its own input row, so the plan has no shuffle; tokens and the places of words
-    come from one step in Python, which a filter on the output leaves where it is.
+    comes from its own input row, so the plan has no shuffle; tokens, the places of words and
+    the marks of tokens come from one step in Python, which a filter on the output leaves where it is.
     """
     columns = [c for g in ("label", "target") for c in category_columns(cats[g], g)]
     marks = nested_consensus(F.col("rationales"), denominator)
@@ -61,9 +61,10 @@ def prepare_annotated(
         "post_id", *columns, "post_tokens",
         F.coalesce(marks, empty_map("int", "double")).alias("rationale"),
         detokenize(F.col("post_tokens")).alias("text"))
-    tokenized = tokenize_aligned(labelled, "post_tokens", "text", vocab, max_length, strip_accents, tail_plus_one, longest_word)
-    moved = remap_spans(F.col("rationale"), F.col("word_spans"), F.col("offsets"), skip_empty)
-    return tokenized.select("post_id", *columns, "tokens", "mask", moved.alias("rationale"))
+    tokenized = tokenize_aligned(
+        labelled, "post_tokens", "text", vocab, max_length, strip_accents, tail_plus_one, longest_word,
+        values="rationale", skip_empty=skip_empty)
+    return tokenized.select("post_id", *columns, "tokens", "mask", "rationale")
 
 
 def prepare_scored(
