@@ -116,3 +116,17 @@ def test_batches_rank_keys_only(spark, tmp_path, plan_of):
     plan = plan_of(assign_batches(spark.read.parquet(str(tmp_path / "t")), ["id"], 10))
     window = plan[plan.index("Window"):]
     assert "wide" not in window
+
+
+def test_a_source_does_not_meet_its_limit_in_one_task(spark, tmp_path, plan_of):
+    from votespan.operators.sampling import balanced_sample
+
+    spark.range(1000).select("id", (F.col("id") % 2).cast("string").alias("source"), F.lit("x").alias("wide")).write.parquet(str(tmp_path / "t"))
+    # As if every table were large: only what is sent by hand goes to all tasks.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(balanced_sample(spark.read.parquet(str(tmp_path / "t")), "source", ["id"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The counts of the cuts meet their own kind; rows do not.
+    assert "SortMergeJoin" not in plan[:plan.index("BroadcastHashJoin")] and nodes(plan, "BroadcastHashJoin") == 2

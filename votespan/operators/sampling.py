@@ -100,14 +100,15 @@ def balanced_sample(
     order = ["_h", *key]
     rank = F.row_number().over(Window.partitionBy("_source").orderBy(*order))
     twice = F.lead(F.struct(*order)).over(Window.partitionBy("_source").orderBy(*order)) == F.struct(*order)
-    last = (cut.select(source, "_cut", *order).join(edges, same).filter(F.col("_cut._coarse") == F.col("_edge"))
+    # One row a source goes to all tasks: dealt out by source, the rows of one would meet in one.
+    last = (cut.select(source, "_cut", *order).join(F.broadcast(edges), same).filter(F.col("_cut._coarse") == F.col("_edge"))
             .withColumns({"_rank": rank, "_twice": F.coalesce(twice, F.lit(False))}).filter(F.col("_rank") == F.col("_left"))
             .select("_source", F.when(F.col("_twice"), F.raise_error(F.lit("the key is not unique"))).otherwise(
                 F.struct(*order)).alias("_last")))
     whole = edges.filter("_all").select("_source", F.lit(None).cast(last.schema["_last"].dataType).alias("_last"))
     limits = last.unionByName(whole)
     kept = F.col("_last").isNull() | (F.struct(*order) <= F.col("_last"))
-    return hashed.join(limits, same).filter(kept).drop("_h", "_source", "_last")
+    return hashed.join(F.broadcast(limits), same).filter(kept).drop("_h", "_source", "_last")
 
 
 def _draw(seed, what: str, draw: Column, modulus: Column) -> Column:
