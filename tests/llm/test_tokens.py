@@ -5,9 +5,11 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -52,6 +54,47 @@ def test_pieces_are_the_librarys_ids(texts):
     assert code.encode(texts) == want
 
 
+@cache
+def one_coder():
+    return PieceEncoder(read_vocabulary(BYTE_BPE))
+
+
+PARTS = st.sampled_from([
+    *"ab'é!1$|<>×÷ß\n\r\t\v\x1c\x85\xa0\u1680\u180e\u2003\u200b\u2019\u2028\u205f\u3000\ufeff日😀", " ", "  ", "'s", "<|endoftext|>", "|endoftext", "word", "Ġ"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(PARTS, max_size=30).map("".join), min_size=1, max_size=6))
+def test_pieces_around_blanks_marks_and_added_tokens(texts):
+    code = one_coder()
+    want = [np.array(e.ids, "<u2").tobytes() for e in code.library.encode_batch(texts, add_special_tokens=False)]
+    assert code.encode(texts) == want
+    padded = pa.array(["out", *texts, "of it"])
+    assert code.encode(padded.slice(1, len(texts))) == want
+
+
+def test_words_between_lines_and_marks_are_encoded_once():
+    draws = random.Random(3)
+    words = ["".join(draws.choices("abcdefgh", k=7)) for _ in range(40)]
+    texts = ["".join(w for _ in range(50) for w in (draws.choice(words), draws.choice([" ", "\n", ".\n", "!! ", ", "]))) for _ in range(80)]
+    code = PieceEncoder(read_vocabulary(BYTE_BPE))
+    want = [np.array(e.ids, "<u2").tobytes() for e in code.library.encode_batch(texts, add_special_tokens=False)]
+    sent, plain = [], code._ids
+    code._ids = lambda some: sent.extend(some) or plain(some)
+    assert code.encode(texts) == want
+    # Words after a space, after a line feed and at a text's begin, and the marks.
+    assert sum(map(len, sent)) < 3 * 8 * len(words) + 20
+
+
+def test_ids_of_both_generations(monkeypatch):
+    monkeypatch.setattr("votespan.llm.tokens.KEPT", 5)
+    code = PieceEncoder(read_vocabulary(BYTE_BPE))
+    texts = [f"one two three four{i} five  six\tseven, eight" for i in range(6)] + ["", "one two"]
+    want = [np.array(e.ids, "<u2").tobytes() for e in code.library.encode_batch(texts, add_special_tokens=False)]
+    assert [code.encode([t])[0] for t in texts] == want
+    assert [code.encode(texts[i : i + 3]) for i in (0, 3, 0)] == [want[:3], want[3:6], want[:3]]
+
+
 def test_store_round_trip(spark, docs, library):
     path = scratch_path(spark, "store-test")
     write_store(docs, path, BYTE_BPE, end_id=2)

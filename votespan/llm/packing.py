@@ -39,7 +39,7 @@ def _pieces(vocabulary, end_id: int, most: int, keep_ids: bool):
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, "text", SLICE, ("encoders",)):
             out = [[] for _ in range(9)]
-            for k1, k2, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1)), code.encode(batch.column(2).to_pylist())):
+            for k1, k2, raw in zip(*(batch.column(i).to_pylist() for i in (0, 1)), code.encode(batch.column(2))):
                 ids = np.frombuffer(raw, code.width).astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 cut = [0, *range(n % most or most, n + 1, most)]

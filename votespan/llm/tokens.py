@@ -1,27 +1,88 @@
 """Token ids of whole texts by the tokenizers library, at the cost of each distinct word once.
 
-A text is cut at single spaces between two non-blank characters.  Byte-level pre-tokenising
-never joins anything across such a space, so the pieces can be encoded by themselves; a worker
+A text is cut before blanks that follow something else, and between a letter and a mark.
+Byte-level pre-tokens always end there, so the pieces can be encoded by themselves; a worker
 keeps what it has encoded in two generations of bounded size.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-from votespan.llm.common import worker_cache
+from votespan.llm.common import BLANK, text_bytes, worker_cache
 
 #: A space with something on both sides.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: Words encoded in one call, and words in a generation of the cache.
-JOINED, KEPT = 300, 400_000
-SPACE = "\u0120"
-#: Marks that end words, and the last letter of the scripts in which they are split off.
-MARKS, LATIN = ".,;:!?", "\u024f"
+#: Words encoded in one call; words in a generation of the cache, and bytes or ids in it.
+JOINED, KEPT, KEPT_SIZE = 300, 400_000, 16 << 20
+#: How byte-level vocabularies write a space and a line feed.
+BLANKS = ("Ġ", "Ċ")
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+#: No bytes of a blank in any version of Unicode, but for those of longer characters.
+INK = np.arange(256) > 0x20
+INK[0x7F] = False
+
+
+def _inked(data: np.ndarray) -> np.ndarray:
+    """Bytes of characters that are surely no blanks and no format characters."""
+    ink = INK[data]
+    for lead in (0xC2, 0xE1, 0xE2, 0xE3, 0xEF):
+        at = np.flatnonzero(data == lead)
+        if not len(at):
+            continue
+        second = data[at + 1]
+        if lead == 0xC2:
+            at = at[(second == 0x85) | (second == 0xA0)]
+            ink[at] = ink[at + 1] = False
+            continue
+        third = data[at + 2]
+        if lead == 0xE1:
+            odd = (second == 0x9A) | (second == 0xA0)
+        elif lead == 0xE2:
+            odd = (second == 0x81) | (second == 0x80) & ((third <= 0x8F) | (third >= 0xA8) & (third <= 0xAF))
+        elif lead == 0xE3:
+            odd = (second == 0x80) & (third == 0x80)
+        else:
+            odd = (second == 0xBB) & (third == 0xBF)
+        at = at[odd]
+        ink[at] = ink[at + 1] = ink[at + 2] = False
+    return ink
+
+
+class _Known:
+    """Words by number, and their ids on end."""
+
+    def __init__(self, width: str):
+        self.number: dict[str, int] = {}
+        self.start, self.flat, self.size = np.zeros(1, np.int64), np.zeros(0, width), 0
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.number)
+        self.number.update(zip(words, range(n, n + len(words))))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, ids])
+        self.size += sum(map(len, words))
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Their numbers, -1 for those that are not known."""
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of these words on end, how many each has)."""
+        start = self.start[numbers]
+        sizes = self.start[numbers + 1] - start
+        ends = np.cumsum(sizes)
+        # Steps of one inside a word, and a jump to where the next one's ids lie.
+        return self.flat[np.repeat(start - ends + sizes, sizes) + np.arange(sizes.sum())], sizes
+
+    def full(self) -> bool:
+        return len(self.number) > KEPT or max(self.size, len(self.flat)) > KEPT_SIZE
 
 
 class PieceEncoder:
@@ -32,102 +93,90 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_str(vocabulary)
         self.width = id_width(self.library.get_vocab_size())
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        # Byte-level vocabularies write a space as the letter below.
-        self.spaced = np.zeros(self.library.get_vocab_size(), bool)
-        self.spaced[[i for token, i in self.library.get_vocab().items() if token.startswith(SPACE)]] = True
-        self.marks = {m: x.tobytes() for m, x in zip(MARKS, self._ids(list(MARKS)))}
+        self.known, self.older = _Known(self.width), None
+        self.begins = np.zeros(self.library.get_vocab_size(), bool)
+        self.begins[[i for token, i in self.library.get_vocab().items() if token.startswith(BLANKS)]] = True
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.width) for e in found]
 
-    def _learn(self, words: list[str]) -> None:
-        """``words`` follow a space, and neither begin nor end with a blank."""
-        # A mark after a letter or digit is a pre-token of its own.
-        marked = [w for w in words if w[-1] in MARKS and len(w) > 1 and w[-2] <= LATIN and w[-2].isalnum()]
-        todo = set(words).difference(marked)
-        todo.update(w[:-1] for w in marked)
-        todo = todo.difference(self.known)
-        plain = sorted(w for w in todo if len(w.split()) == 1)
+    def _learn(self, plain: list[str], others: list[str]) -> None:
+        """``plain`` words begin with a space or line feed and have no other blank."""
+        ids, sizes = [], []
         for i in range(0, len(plain), JOINED):
             group = plain[i : i + JOINED]
-            # One text: each word begins with the one token in it that begins with a space.
-            ids = self._ids([" " + " ".join(group)])[0]
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(group) or starts[0]:
-                self.known.update(zip(group, (x.tobytes() for x in self._ids([" " + w for w in group]))))
-                continue
-            raw, size = ids.tobytes(), ids.itemsize
-            edges = [*(starts * size).tolist(), len(raw)]
-            self.known.update((word, raw[x:y]) for word, x, y in zip(group, edges[:-1], edges[1:]))
-        others = list(todo.difference(plain))
-        if others:
-            self.known.update(zip(others, (x.tobytes() for x in self._ids([" " + w for w in others]))))
-        for w in marked:
-            self.known[w] = self.known[w[:-1]] + self.marks[w[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Texts are cut and their distinct pieces found by Arrow; ids are put together by number."""
-        if len(self.known) > KEPT:
-            self.known, self.older = {}, self.known
-        pieces = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        coded = pieces.flatten().dictionary_encode()
-        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        bounds = pieces.offsets.to_numpy().astype(np.int64)
-        # A text's first piece follows no space.
-        inner = np.ones(len(codes), bool)
-        inner[bounds[:-1]] = False
-        used = np.zeros(len(words), bool)
-        used[codes[inner]] = True
-        ids = list(map(self.known.get, words))
-        odd = np.zeros(len(words), bool)
-        missing = [i for i, (x, there) in enumerate(zip(ids, used.tolist())) if x is None and there]
-        blank = [i for i in missing if not (w := words[i]) or w[0].isspace() or w[-1].isspace()]
-        if blank:
-            odd[blank] = True
-            missing = [i for i in missing if not odd[i]]
-        self._fetch([words[i] for i in missing])
-        for i in missing:
-            ids[i] = self.known[words[i]]
-        heads = [words[c] for c in codes[bounds[:-1]].tolist()]
-        slow = np.array([h[-1:].isspace() for h in heads], bool)
-        if blank:
-            slow |= np.add.reduceat((odd[codes] & inner).astype(np.int64), bounds[:-1]) > 0
-
-        raw = [x or b"" for x in ids]
-        size = np.fromiter(map(len, raw), np.int32, len(raw)) // np.int32(np.dtype(self.width).itemsize)
-        start, flat = np.cumsum(size, dtype=np.int32) - size, np.frombuffer(b"".join(raw), self.width)
-        codes = codes[inner]
-        sizes = size[codes]
-        ends = np.zeros(len(codes) + 1, np.int32)
-        np.cumsum(sizes, out=ends[1:])
-        # Steps of one inside a piece, and a jump to where the next one's ids lie.
-        out = flat[np.repeat(start[codes] - ends[:-1], sizes) + np.arange(ends[-1], dtype=np.int32)]
-        # Each text has one piece less among the inner ones.
-        cuts = ends[bounds - np.arange(len(bounds))].tolist()
-        firsts = self._ids(heads)
-        return [
-            self._by_pieces(text) if alone else head.tobytes() + out[x:y].tobytes()
-            for text, alone, head, x, y in zip(texts, slow.tolist(), firsts, cuts[:-1], cuts[1:])]
-
-    def _fetch(self, words: list[str]) -> None:
+            # One text: each word begins with the one token in it that begins with a blank.
+            of_all = self._ids(["".join(group)])[0]
+            starts = np.flatnonzero(self.begins[of_all])
+            if len(starts) == len(group) and not starts[0]:
+                ids.append(of_all)
+                sizes.append(np.diff(starts, append=len(of_all)))
+            else:
+                each = self._ids(group)
+                ids += each
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        each = self._ids(others)
+        if plain or others:
+            self.known.add(
+                plain + others, np.concatenate([*ids, *each]), np.concatenate([*sizes, np.array([len(x) for x in each], np.int64)]))
+
+    def _starts(self, data: np.ndarray, offsets: np.ndarray, ink: np.ndarray) -> np.ndarray:
+        """Where pieces begin: at texts, at blanks that follow something else, at marks that follow a letter."""
+        blank, letter = BLANK[data], LETTER[data]
+        # Latin letters of two bytes, without the signs for times and divided by.
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        cut = np.zeros(len(data), bool)
+        cut[1:] = blank[1:] & ink[:-1] | letter[:-1] & MARK[data[1:]]
+        raw = data.tobytes() if self.added else b""
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                cut[at + 1 : at + len(content)] = False
+                at = raw.find(content, at + 1)
+        cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        return np.flatnonzero(cut)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Texts are cut on their bytes and their distinct pieces found by Arrow; ids are put together by number."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        data, offsets = text_bytes(texts)
+        if not len(data):
+            return [b""] * len(texts)
+        if self.known.full():
+            self.known, self.older = _Known(self.width), self.known
+        ink = _inked(data)
+        starts = self._starts(data, offsets, ink)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [
+            None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = pieces.dictionary_encode()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = self.known.find(words)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            first = data[starts]
+            alone = (np.add.reduceat(~ink, starts, dtype=np.int64) == 1) & ((first == 0x20) | (first == 0x0A))
+            plain = np.zeros(len(words), bool)
+            plain[codes] = alone
+            self._fetch([words[i] for i in missing[plain[missing]].tolist()], [words[i] for i in missing[~plain[missing]].tolist()])
+            numbers[missing] = self.known.find([words[i] for i in missing.tolist()])
+        ids, sizes = self.known.ids(numbers[codes])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        cuts = ends[np.searchsorted(starts, offsets)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def _fetch(self, plain: list[str], others: list[str]) -> None:
         """Words that are not known: from the older generation, or by the library."""
-        if self.older:
-            older = self.older
-            self.known.update((w, older[w]) for w in words if w in older)
-            words = [w for w in words if w not in older]
-        self._learn(sorted(words))
-
-    def _by_pieces(self, text: str) -> bytes:
-        """A text with blanks of other kinds next to its spaces."""
-        parts, tail = SAFE.split(text), b""
-        # Only the end of a text may be blank, and means something else elsewhere.
-        if len(parts) > 1 and parts[-1][-1].isspace():
-            tail = self._ids([" " + parts.pop()])[0].tobytes()
-        self._fetch(list({w for w in parts[1:] if w not in self.known}))
-        return self._ids(parts[:1])[0].tobytes() + b"".join(map(self.known.__getitem__, parts[1:])) + tail
+        if self.older is not None:
+            words = plain + others
+            numbers = self.older.find(words)
+            there = numbers >= 0
+            self.known.add([w for w, t in zip(words, there.tolist()) if t], *self.older.ids(numbers[there]))
+            plain, others = ([w for w, t in zip(some, known) if not t] for some, known in (
+                (plain, there[: len(plain)].tolist()), (others, there[len(plain) :].tolist())))
+        self._learn(plain, others)
 
 
 def id_width(vocabulary_size: int) -> str:
