@@ -42,7 +42,7 @@ def _serialised(vocabulary, end_id: int | None, most: int | None = None):
         code = encoder(vocabulary.value)
         tail = b"" if end_id is None else np.array([end_id], code.width).tobytes()
         for batch in slices(batches, "text", SLICE, ("encoders",)):
-            ids = [x + tail for x in code.encode(batch.column(2).to_pylist())]
+            ids = [x + tail for x in code.encode(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([x[:most] for x in ids], pa.binary())], names=["k1", "k2", "ids"])
 
