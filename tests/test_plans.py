@@ -130,3 +130,9 @@ def test_a_source_does_not_meet_its_limit_in_one_task(spark, tmp_path, plan_of):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # The counts of the cuts meet their own kind; rows do not.
     assert "SortMergeJoin" not in plan[:plan.index("BroadcastHashJoin")] and nodes(plan, "BroadcastHashJoin") == 2
+
+
+def test_spans_are_not_sent_to_all_tasks(spark, sf, plan_of):
+    """Spans are many more than the rows whose size Spark's estimate goes by."""
+    plan = plan_of(QUERIES["j4_remap_span_rows"](spark, sf))
+    assert nodes(plan, "BroadcastExchange", "BroadcastHashJoin") == 0 and nodes(plan, "SortMergeJoin") == 1

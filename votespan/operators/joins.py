@@ -28,7 +28,9 @@ def remap_span_rows(old: DataFrame, new: DataFrame, key: str, cell_bits: int = 6
     ``old`` (key, pos, start, end, value), ``new`` (key, pos, start, end); gives (key,
     pos, value) with the value of the last old span around each new one.  A containing
     span covers the cell its content starts in, so an equality on (key, cell) replaces the
-    comparison of all spans of a key, and spreads a large key over its cells.
+    comparison of all spans of a key, and spreads a large key over its cells.  Spans are many
+    times the rows they come from, which Spark's estimate of their size does not see, so neither
+    side may be sent to all tasks.
     """
     def cell_of(c):
         return F.shiftright(F.greatest(F.col(c), F.lit(0)), cell_bits)
@@ -41,7 +43,7 @@ def remap_span_rows(old: DataFrame, new: DataFrame, key: str, cell_bits: int = 6
         (F.col(f"o.{key}") == F.col(f"n.{key}")) & (F.col("o.cell") == F.col("n.cell"))
         & (F.col("n.start") >= F.col("o.start")) & (F.col("n.end") <= F.col("o.end")))
     # A new span has one cell, so grouping by it too changes nothing and spares a shuffle.
-    best = n.join(o, inside).groupBy(F.col(f"n.{key}").alias(key), "n.cell", F.col("n.pos").alias("pos")).agg(
+    best = n.join(o.hint("merge"), inside).groupBy(F.col(f"n.{key}").alias(key), "n.cell", F.col("n.pos").alias("pos")).agg(
         F.max_by("o.value", "o.old_pos").alias("value"))
     return best.drop("cell")
 

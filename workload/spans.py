@@ -68,17 +68,26 @@ def w5_detokenized(spark, sf):
     return rows.select("doc_id", F.size("spans").alias("n"), spans_digest(F.col("spans")).alias("spans"))
 
 
-def _old_and_new(spark, sf):
-    """Word spans of the blank-joined text with the number of annotators who mark a word in the
-    values, and new spans that cut every word in pieces of four characters."""
+def _word_spans(spark, sf):
+    """Words and their spans in the blank-joined text."""
     words = word_lists(spark, sf).select("doc_id", "words", F.array_join("words", " ").alias("joined"))
-    rows = words.select("doc_id", "words", align_words(F.col("words"), F.col("joined")).alias("old"))
+    return words.select("doc_id", "words", align_words(F.col("words"), F.col("joined")).alias("old"))
+
+
+def _value(doc, pos, word):
+    """A number for the word and, in thousands, how many annotators mark it."""
+    return (pos % 97 + sum(mark(doc, F.lit(a), pos, word) for a in range(3)) * 1000).cast("double")
+
+
+def _old_and_new(spark, sf):
+    """Word spans with the number of annotators who mark a word in the values, and new spans that
+    cut every word in pieces of four characters."""
+    rows = _word_spans(spark, sf)
     pieces = F.flatten(F.transform("old", lambda s: F.transform(
         indices(F.ceil((s["end"] - s["start"]) / 4).cast("int")),
         lambda k: span(s["start"] + k * 4, F.least(s["start"] + k * 4 + 4, s["end"])))))
     marked = F.filter(
-        F.transform("words", lambda w, i: F.struct(
-            i.alias("key"), (i % 97 + sum(mark(F.col("doc_id"), F.lit(a), i, w) for a in range(3)) * 1000).cast("double").alias("value"))),
+        F.transform("words", lambda w, i: F.struct(i.alias("key"), _value(F.col("doc_id"), i, w).alias("value"))),
         lambda e: e["value"] >= 1000)
     return rows.select("doc_id", "old", pieces.alias("new"), F.map_from_entries(marked).alias("values"))
 
@@ -99,12 +108,26 @@ def j4(spark, sf):
 
 @query("j4_remap_span_rows", REMAP_SQL)
 def j4_rows(spark, sf):
-    """Old and new spans as rows, laid out once."""
-    def entry(kind, pos, s, value):
-        return F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), s["start"].alias("start"), s["end"].alias("end"), value.alias("value"))
-
-    rows = _old_and_new(spark, sf)
-    old = F.transform(F.map_entries("values"), lambda e: entry("old", e["key"], F.get("old", e["key"]), e["value"]))
-    new = F.transform("new", lambda s, i: entry("new", i, s, F.lit(None).cast("double")))
-    spans = rows.select("doc_id", F.inline(F.concat(old, new)))
-    return remap_span_rows(spans.where("kind = 'old'"), spans.where("kind = 'new'").drop("value"), "doc_id")
+    """Old and new spans as rows.
+
+    Words and pieces become rows before anything is computed for them: inside a lambda Spark
+    interprets an expression for every element, on rows it runs compiled.
+    """
+    rows, word = _word_spans(spark, sf), F.col("_w")
+    old = rows.select("doc_id", F.posexplode(F.arrays_zip("words", "old")).alias("pos", "_w")).select(
+        "doc_id", "pos", word["old"]["start"].alias("start"), word["old"]["end"].alias("end"),
+        _value(F.col("doc_id"), F.col("pos"), word["words"]).alias("value")).where("value >= 1000")
+
+    def pieces(s):
+        """Where each piece starts, in the upper half of a long, next to the end of its word."""
+        def packed(start):
+            return F.shiftleft(start.cast("bigint"), 32) + s["end"]
+
+        some = F.sequence(packed(s["start"]), packed(s["end"] - 1), F.lit(4 << 32))
+        return F.when(s["end"] > s["start"], some).otherwise(F.array().cast("array<bigint>"))
+
+    start = F.shiftright("_p", 32).cast("int")
+    new = rows.select("doc_id", F.posexplode(F.flatten(F.transform("old", pieces))).alias("pos", "_p")).select(
+        "doc_id", "pos", start.alias("start"),
+        F.least(start + 4, F.col("_p").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("end"))
+    return remap_span_rows(old, new, "doc_id")
