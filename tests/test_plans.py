@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from votespan.operators.metrics import task_metrics, weighted_bce
 from votespan.operators.stats import dataset_stats
+from votespan.operators.votes import nested_consensus
 from votespan.plans.evaluate import evaluate
 from votespan.plans.prepare import label_posts, prepare_annotated
 from workload import QUERIES
@@ -136,3 +137,9 @@ def test_spans_are_not_sent_to_all_tasks(spark, sf, plan_of):
     """Spans are many more than the rows whose size Spark's estimate goes by."""
     plan = plan_of(QUERIES["j4_remap_span_rows"](spark, sf))
     assert nodes(plan, "BroadcastExchange", "BroadcastHashJoin") == 0 and nodes(plan, "SortMergeJoin") == 1
+
+
+def test_marks_are_not_folded_word_by_word(spark, sf, plan_of):
+    """Positions without a mark cost a look at each mark, and no struct."""
+    for df in (posts(spark, sf).select(nested_consensus(F.col("rationales"))), QUERIES["a5_nested_consensus"](spark, sf)):
+        assert "zip_with" not in plan_of(df)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -68,6 +70,23 @@ def test_consensus_denominators(spark, posts):
         nested_consensus(F.col("rationales"), "?")
 
 
+def test_consensus_of_uneven_marks(spark):
+    rng = random.Random(5)
+    marks = [None, 0.0, 0.0, 1.0, -1.0, 0.5, float("nan")]
+    data = [(i, [[rng.choice(marks[: rng.choice([3, 6, 6, 7])]) for _ in range(rng.randrange(6))] if rng.random() < 0.9 else None
+                 for _ in range(rng.randrange(5))]) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, r array<array<double>>")
+    for kind, counts in (("nonzero", lambda v: v is not None and v != 0), ("annotators", lambda v: v is not None)):
+        got = dict(df.select("id", nested_consensus(F.col("r"), kind)).collect())
+        for i, rows_of in data:
+            want = {}
+            for at in range(5):
+                some = [m[at] for m in rows_of if m is not None and at < len(m) and counts(m[at])]
+                if some and (kind == "nonzero" or sum(some) != 0):
+                    want[at] = sum(some) / len(some)
+            assert repr(sorted(got[i].items())) == repr(sorted(want.items())), (kind, rows_of)
+
+
 def test_agg_cols_and_dedupe(spark):
     df = spark.createDataFrame([("a", 1.0, "z"), ("a", 3.0, "y"), ("b", None, None)], "k string, score double, text string")
     assert rows(agg_cols(df, F.max, "k", "score")) == [("a", 3.0), ("b", None)]

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from votespan.functions.arrays import arr_to_pairs, bind
+from votespan.functions.arrays import arr_to_pairs, bind, indices
 from votespan.functions.columns import as_list, category_columns
 
 
@@ -94,22 +94,23 @@ def nested_consensus(rationales: Column, denominator: str = "nonzero") -> Column
     if denominator not in ("nonzero", "annotators"):
         raise ValueError(denominator)
 
-    nonzero = denominator == "nonzero"
+    def counted(v: Column) -> Column:
+        return v.isNotNull() & (v != 0) if denominator == "nonzero" else v.isNotNull()
 
-    def add(acc: Column, marks: Column) -> Column:
-        def at(a: Column, v: Column) -> Column:
-            counted = v.isNotNull() & (v != 0) if nonzero else v.isNotNull()
-            return F.struct(
-                (F.coalesce(a["total"], F.lit(0.0)) + F.coalesce(v.cast("double"), F.lit(0.0))).alias("total"),
-                (F.coalesce(a["n"], F.lit(0)) + counted.cast("int")).alias("n"))
+    def marked(marks: Column) -> Column:
+        return F.coalesce(F.filter(indices(F.size(marks)), lambda i: F.get(marks, i) != 0), F.array().cast("array<int>"))
 
-        return F.coalesce(F.zip_with(acc, marks, at), acc)
+    def means(rows: Column) -> Column:
+        # Most words are not marked: only for positions with a mark are the rows looked at together.
+        def mean(i: Column) -> Column:
+            some = F.filter(F.transform(rows, lambda marks: F.get(marks, i)), counted)
+            total = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+            return F.struct(i.alias("key"), bind(some, lambda v: total(v) / F.size(v)).alias("value"))
 
-    sums = F.aggregate(rationales, F.array().cast("array<struct<total:double,n:int>>"), add)
-    keyed = F.transform(sums, lambda x, i: F.struct(i.alias("key"), x.alias("sum")))
-    marked = F.filter(keyed, lambda e: e["sum"]["n"] > 0 if nonzero else e["sum"]["total"] != 0)
-    return F.map_from_entries(F.transform(marked, lambda e: F.struct(
-        e["key"], (e["sum"]["total"] / e["sum"]["n"]).alias("value"))))
+        found = F.transform(F.sort_array(F.array_distinct(F.flatten(F.transform(rows, marked)))), mean)
+        return found if denominator == "nonzero" else F.filter(found, lambda e: e["value"] != 0)
+
+    return bind(rationales, lambda rows: F.map_from_entries(means(rows)))
 
 
 def dedupe_mean(df: DataFrame, key, score: str = "score", text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from votespan.functions.arrays import bind
 from votespan.functions.text import split_words
 from votespan.sources.keyed_json import ANNOTATED
 from workload.registry import table
@@ -64,10 +65,20 @@ def _digit(*parts: Column) -> Column:
 
 def mark(doc: Column, a: Column, pos: Column, word: Column) -> Column:
     """Annotator a's 0/1 mark of a word, from cheap arithmetic both engines share."""
-    mixed = doc * 7919 + a * 104729 + pos * 7 + F.length(word) * 31
+    return _flag(doc * 7919 + a * 104729 + pos * 7 + F.length(word) * 31)
+
+
+def _flag(mixed: Column) -> Column:
     return F.when(mixed % 16 < 3, F.lit(1)).otherwise(F.lit(0))
 
 
+def marks_of(doc: Column, annotators: Column, words: Column) -> Column:
+    """``mark`` of every word for each annotator; the word's share of the sum is computed once for all."""
+    places = F.transform(words, lambda w, p: p * 7 + F.length(w) * 31)
+    return bind(places, lambda each: F.transform(annotators, lambda a: bind(
+        doc * 7919 + a * 104729, lambda own: F.transform(each, lambda x: _flag(own + x)))))
+
+
 def rationales(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, annotator, flags): three annotators mark words of every document."""
     return word_lists(spark, sf).select(
@@ -95,7 +106,7 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
     return word_lists(spark, sf).select(
         doc.cast("string").alias("post_id"),
         F.transform(a, annotator).alias("annotators"),
-        F.transform(a, lambda i: F.transform("words", lambda w, p: mark(doc, i, p, w))).alias("rationales"),
+        marks_of(doc, a, F.col("words")).alias("rationales"),
         F.col("words").alias("post_tokens")).to(ANNOTATED)
 
 
