@@ -139,6 +139,15 @@ def test_spans_are_not_sent_to_all_tasks(spark, sf, plan_of):
     assert nodes(plan, "BroadcastExchange", "BroadcastHashJoin") == 0 and nodes(plan, "SortMergeJoin") == 1
 
 
+def test_spans_are_not_written_to_disk(spark, sf, plan_of):
+    """Aligned documents are dealt out once, and spans are joined where they are made."""
+    df = QUERIES["j4_remap_span_rows"](spark, sf)
+    assert "ENSURE_REQUIREMENTS" not in plan_of(df)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert re.search(r"ReusedExchange .*shufflepartitionidpassthrough", final) and nodes(final, "ArrowEvalPython") == 1
+
+
 def test_marks_are_not_folded_word_by_word(spark, sf, plan_of):
     """Positions without a mark cost a look at each mark, and no struct."""
     for df in (posts(spark, sf).select(nested_consensus(F.col("rationales"))), QUERIES["a5_nested_consensus"](spark, sf)):

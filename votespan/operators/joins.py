@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,7 +23,7 @@ def inner_join_features(df: DataFrame, features: DataFrame, key) -> DataFrame:
     return df.join(features, as_list(key), "inner")
 
 
-def remap_span_rows(old: DataFrame, new: DataFrame, key: str, cell_bits: int = 6) -> DataFrame:
+def remap_span_rows(old: DataFrame, new: DataFrame, key, cell_bits: int = 6) -> DataFrame:
     """The containment join of ``remap_spans`` on long tables, for rows of any length.
 
     ``old`` (key, pos, start, end, value), ``new`` (key, pos, start, end); gives (key,
@@ -31,19 +32,26 @@ def remap_span_rows(old: DataFrame, new: DataFrame, key: str, cell_bits: int = 6
     comparison of all spans of a key, and spreads a large key over its cells.  Spans are many
     times the rows they come from, which Spark's estimate of their size does not see, so neither
     side may be sent to all tasks.
+
+    Nor need they be written to disk: where both sides were dealt out by ``repartitionById``
+    before they became spans, its column is one of several in ``key``, and the join takes the
+    spans as they lie.  A join of frames that were dealt by the key itself would deal them anew,
+    for it asks for the cell too.
     """
+    keys = as_list(key)
+
     def cell_of(c):
         return F.shiftright(F.greatest(F.col(c), F.lit(0)), cell_bits)
 
     # Of equal old spans only the last can win.
-    last = old.groupBy(key, "start", "end").agg(F.max_by("value", "pos").alias("value"), F.max("pos").alias("old_pos"))
+    last = old.groupBy(*keys, "start", "end").agg(F.max_by("value", "pos").alias("value"), F.max("pos").alias("old_pos"))
     covered = last.withColumn("cell", F.explode(F.sequence(cell_of("start"), cell_of("end"))))
     o, n = covered.alias("o"), new.withColumn("cell", cell_of("start")).alias("n")
-    inside = (
-        (F.col(f"o.{key}") == F.col(f"n.{key}")) & (F.col("o.cell") == F.col("n.cell"))
-        & (F.col("n.start") >= F.col("o.start")) & (F.col("n.end") <= F.col("o.end")))
+    same = reduce(and_, [F.col(f"o.{c}") == F.col(f"n.{c}") for c in [*keys, "cell"]])
+    inside = same & (F.col("n.start") >= F.col("o.start")) & (F.col("n.end") <= F.col("o.end"))
     # A new span has one cell, so grouping by it too changes nothing and spares a shuffle.
-    best = n.join(o.hint("merge"), inside).groupBy(F.col(f"n.{key}").alias(key), "n.cell", F.col("n.pos").alias("pos")).agg(
+    best = n.join(o.hint("merge"), inside).groupBy(
+        *[F.col(f"n.{c}").alias(c) for c in keys], "n.cell", F.col("n.pos").alias("pos")).agg(
         F.max_by("o.value", "o.old_pos").alias("value"))
     return best.drop("cell")
 

@@ -9,7 +9,7 @@ from votespan.functions.text import align_words, detokenize, remap_spans
 from votespan.operators.joins import remap_span_rows
 from votespan.operators.positions import offset_index, runs_table
 from workload.registry import query, table
-from workload.tables import MARKS, WORDS, mark, word_lists
+from workload.tables import MARKS, WORDS, document_parts, mark_by_length, word_lists
 from workload.text import DETOKENIZED, spans_digest
 
 RUNS_SQL = """flags as (select {key}, {pos} as pos, {flag} as flag from {rows}),
@@ -74,9 +74,9 @@ def _word_spans(spark, sf):
     return words.select("doc_id", "words", align_words(F.col("words"), F.col("joined")).alias("old"))
 
 
-def _value(doc, pos, word):
+def _value(doc, pos, length):
     """A number for the word and, in thousands, how many annotators mark it."""
-    return (pos % 97 + sum(mark(doc, F.lit(a), pos, word) for a in range(3)) * 1000).cast("double")
+    return (pos % 97 + sum(mark_by_length(doc, F.lit(a), pos, length) for a in range(3)) * 1000).cast("double")
 
 
 def _old_and_new(spark, sf):
@@ -87,7 +87,7 @@ def _old_and_new(spark, sf):
         indices(F.ceil((s["end"] - s["start"]) / 4).cast("int")),
         lambda k: span(s["start"] + k * 4, F.least(s["start"] + k * 4 + 4, s["end"])))))
     marked = F.filter(
-        F.transform("words", lambda w, i: F.struct(i.alias("key"), _value(F.col("doc_id"), i, w).alias("value"))),
+        F.transform("words", lambda w, i: F.struct(i.alias("key"), _value(F.col("doc_id"), i, F.length(w)).alias("value"))),
         lambda e: e["value"] >= 1000)
     return rows.select("doc_id", "old", pieces.alias("new"), F.map_from_entries(marked).alias("values"))
 
@@ -111,23 +111,35 @@ def j4_rows(spark, sf):
     """Old and new spans as rows.
 
     Words and pieces become rows before anything is computed for them: inside a lambda Spark
-    interprets an expression for every element, on rows it runs compiled.
+    interprets an expression for every element, on rows it runs compiled.  Documents are dealt
+    out again when they are aligned, a start and a length a word, and spans are joined where they
+    are made.  Each part goes into two, by the hash it came by, for spans take more room than texts.
     """
-    rows, word = _word_spans(spark, sf), F.col("_w")
-    old = rows.select("doc_id", F.posexplode(F.arrays_zip("words", "old")).alias("pos", "_w")).select(
-        "doc_id", "pos", word["old"]["start"].alias("start"), word["old"]["end"].alias("end"),
-        _value(F.col("doc_id"), F.col("pos"), word["words"]).alias("value")).where("value >= 1000")
+    parts = 2 * document_parts(spark, sf)
+    rows = _word_spans(spark, sf).select(
+        "doc_id", F.pmod(F.hash("doc_id"), F.lit(parts)).alias("part"), F.col("old.start").alias("starts"),
+        F.transform("words", F.length).alias("lengths")).repartitionById(parts, "part")
 
-    def pieces(s):
+    def end_of(start, length):
+        """A word that was found keeps its length."""
+        return F.when(start < 0, start).otherwise(start + length)
+
+    start, length = F.col("_w.starts"), F.col("_w.lengths")
+    old = rows.select("doc_id", "part", F.posexplode(F.arrays_zip("starts", "lengths")).alias("pos", "_w")).select(
+        "doc_id", "part", "pos", start.alias("start"), end_of(start, length).alias("end"),
+        _value(F.col("doc_id"), F.col("pos"), length).alias("value")).where("value >= 1000")
+
+    def pieces(start, length):
         """Where each piece starts, in the upper half of a long, next to the end of its word."""
-        def packed(start):
-            return F.shiftleft(start.cast("bigint"), 32) + s["end"]
+        end = end_of(start, length)
+
+        def packed(at):
+            return F.shiftleft(at.cast("bigint"), 32) + end
 
-        some = F.sequence(packed(s["start"]), packed(s["end"] - 1), F.lit(4 << 32))
-        return F.when(s["end"] > s["start"], some).otherwise(F.array().cast("array<bigint>"))
+        return F.when(end > start, F.sequence(packed(start), packed(end - 1), F.lit(4 << 32))).otherwise(F.array().cast("array<bigint>"))
 
-    start = F.shiftright("_p", 32).cast("int")
-    new = rows.select("doc_id", F.posexplode(F.flatten(F.transform("old", pieces))).alias("pos", "_p")).select(
-        "doc_id", "pos", start.alias("start"),
-        F.least(start + 4, F.col("_p").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("end"))
-    return remap_span_rows(old, new, "doc_id")
+    at = F.shiftright("_p", 32).cast("int")
+    new = rows.select("doc_id", "part", F.posexplode(F.flatten(F.zip_with("starts", "lengths", pieces))).alias("pos", "_p")).select(
+        "doc_id", "part", "pos", at.alias("start"),
+        F.least(at + 4, F.col("_p").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("end"))
+    return remap_span_rows(old, new, ["doc_id", "part"]).drop("part")

@@ -37,6 +37,12 @@ VOTES = """votes as (select l_orderkey as post_id, l_linenumber as annotator_id,
 TASK_ROWS, TASK_CHARS = 20_000, 8 << 20
 
 
+def document_parts(spark: SparkSession, sf: str) -> int:
+    """How many parts ``documents`` come in."""
+    n, chars = table(spark, sf, "documents").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_chars"), F.lit(0))).first()
+    return max(spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS), -(-chars // TASK_CHARS))
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, text), dealt out to the cores, in more parts the longer the texts are in all.
 
@@ -44,10 +50,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     no such step, and no operator takes it.  Words, marks and spans are many times their text, so
     what a task holds must not grow with the table.
     """
-    rows = table(spark, sf, "documents")
-    n, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_chars"), F.lit(0))).first()
-    parts = max(spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS), -(-chars // TASK_CHARS))
-    return rows.select("doc_id", "text").repartition(parts, "doc_id")
+    return table(spark, sf, "documents").select("doc_id", "text").repartition(document_parts(spark, sf), "doc_id")
 
 
 def word_lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,7 +68,11 @@ def _digit(*parts: Column) -> Column:
 
 def mark(doc: Column, a: Column, pos: Column, word: Column) -> Column:
     """Annotator a's 0/1 mark of a word, from cheap arithmetic both engines share."""
-    return _flag(doc * 7919 + a * 104729 + pos * 7 + F.length(word) * 31)
+    return mark_by_length(doc, a, pos, F.length(word))
+
+
+def mark_by_length(doc: Column, a: Column, pos: Column, length: Column) -> Column:
+    return _flag(doc * 7919 + a * 104729 + pos * 7 + length * 31)
 
 
 def _flag(mixed: Column) -> Column:
